@@ -33,10 +33,16 @@ def norm(v):
     import decimal
     if v is None:
         return None
+    try:
+        import pandas as pd
+        if v is pd.NA or v is pd.NaT:
+            return None
+    except Exception:
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):

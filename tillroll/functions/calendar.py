@@ -33,6 +33,11 @@ def _c(col) -> Column:
 
 def date_part_columns(date_col, prefix: str = "", parts=None) -> list[Column]:
     """Date parts of ``date_col`` as a list of aliased columns."""
+    return list(date_part_map(date_col, prefix, parts).values())
+
+
+def date_part_map(date_col, prefix: str = "", parts=None) -> dict[str, Column]:
+    """Date parts of ``date_col`` as ``{name: aliased column}``."""
     d = _c(date_col)
     quarter_start = F.trunc(d, "quarter")
     exprs = {
@@ -50,13 +55,17 @@ def date_part_columns(date_col, prefix: str = "", parts=None) -> list[Column]:
         "Is_year_start": ((F.month(d) == 1) & (F.dayofmonth(d) == 1)).cast("int"),
         "Elapsed": F.unix_timestamp(F.to_timestamp(d)).cast("bigint"),
     }
-    return [exprs[p].alias(prefix + p) for p in (parts or DATE_PARTS)]
+    return {prefix + p: exprs[p].alias(prefix + p) for p in (parts or DATE_PARTS)}
 
 
 def one_hot(col, values, prefix: str) -> list[Column]:
     """Fixed-vocabulary one-hot columns ``{prefix}{v}`` as 0/1 ints."""
+    return list(one_hot_map(col, values, prefix).values())
+
+
+def one_hot_map(col, values, prefix: str) -> dict[str, Column]:
     c = _c(col)
-    return [(c == F.lit(v)).cast("int").alias(f"{prefix}{v}") for v in values]
+    return {f"{prefix}{v}": (c == F.lit(v)).cast("int").alias(f"{prefix}{v}") for v in values}
 
 
 def month_abbr(date_col) -> Column:
@@ -75,14 +84,24 @@ def season_of_month(month_col) -> Column:
     return expr
 
 
+def fourier_coefficient(freq: float, i: int) -> float:
+    """Angular step ``2*pi*i/freq`` (the SQL oracle uses the same literal)."""
+    return 2.0 * math.pi * i / freq
+
+
 def fourier_columns(time_col, freq: float, order: int) -> list[Column]:
     """``sin_{freq}_{i}``, ``cos_{freq}_{i}`` of ``2*pi*i*t/freq``, i = 1..order."""
+    return list(fourier_map(time_col, freq, order).values())
+
+
+def fourier_map(time_col, freq: float, order: int) -> dict[str, Column]:
     t = _c(time_col).cast("double")
-    out = []
+    out = {}
     label = int(freq) if float(freq).is_integer() else freq
     for i in range(1, order + 1):
-        arg = t * F.lit(2.0 * math.pi * i / freq)
-        out += [F.sin(arg).alias(f"sin_{label}_{i}"), F.cos(arg).alias(f"cos_{label}_{i}")]
+        arg = t * F.lit(fourier_coefficient(freq, i))
+        out[f"sin_{label}_{i}"] = F.sin(arg).alias(f"sin_{label}_{i}")
+        out[f"cos_{label}_{i}"] = F.cos(arg).alias(f"cos_{label}_{i}")
     return out
 
 

@@ -59,17 +59,21 @@ def sales_share(df: DataFrame, key: str = "product_code", value: str = "price")
     cum = running_sum_desc(totals, "total_sales", key, "_cum")
     grand = totals.agg(F.sum("total_sales").alias("_grand"))
     shared = (cum.crossJoin(grand)
-                 .withColumn("cum_share", (F.col("_cum") / F.col("_grand")).cast("double")))
+                 .withColumn("cum_share", F.col("_cum").cast("double") / F.col("_grand").cast("double")))
     return with_deciles(shared.drop("_cum", "_grand"), "cum_share", "decile")
 
 
 def with_deciles(df: DataFrame, value: str, out: str, bins: int = 10) -> DataFrame:
     """``bins`` equal-width, right-closed bins between min and max of
-    ``value``; the minimum falls in bin 1 (pandas ``cut(bins=10)``)."""
+    ``value`` (pandas ``cut(bins=10)``): bin = 1 + number of inner edges
+    ``lo + i*width`` (i = 1..bins-1) strictly below the value, so the
+    minimum falls in bin 1 and the maximum in bin ``bins``."""
     bounds = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.ceil((F.col(value) - F.col("_lo")) / width)
-    binned = F.when(width == 0, F.lit(1)).otherwise(F.least(F.lit(bins), F.greatest(F.lit(1), b)))
+    above = [F.when(F.col(value) > F.lit(i) * width + F.col("_lo"), 1).otherwise(0) for i in range(1, bins)]
+    binned = F.lit(1)
+    for a in above:
+        binned = binned + a
     return df.crossJoin(bounds).withColumn(out, binned.cast("int")).drop("_lo", "_hi")
 
 

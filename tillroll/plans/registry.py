@@ -46,7 +46,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits)
+            c = F.round(c, digits) + F.lit(0.0)
         elif isinstance(f.dataType, T.DecimalType):
             c = F.round(c, digits).cast("double")
         elif isinstance(f.dataType, T.ArrayType):
