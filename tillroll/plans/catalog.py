@@ -7,7 +7,8 @@ from tillroll.plans import registry
 
 def _load():
     from tillroll.plans import basket_queries  # noqa: F401
-    for mod in ("panel_queries", "model_queries", "analysis_queries", "io_queries"):
+    for mod in ("panel_queries", "metric_queries", "tsa_queries", "elasticity_queries",
+                "explore_queries", "model_queries", "io_queries"):
         try:
             __import__(f"tillroll.plans.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

@@ -202,7 +202,7 @@ def _date_parts_sql(d: str, prefix: str = "") -> dict[str, str]:
     }
 
 
-def _product_features_sql() -> str:
+def _product_features_sql(src: str = "daily", extra: str = "", ctes=None) -> str:
     m = _date_parts_sql("date")
     m["price"] = "round(price, 6)"
     for k in range(7):
@@ -210,7 +210,8 @@ def _product_features_sql() -> str:
     for k in range(1, 13):
         m[f"Month_{k}"] = f"CAST(month(date) = {k} AS INTEGER)"
     cols = ", ".join(f'{m[n]} AS "{n}"' for n in features.PRODUCT_FEATURES)
-    return with_ctes(f"SELECT product_code, date, CAST(sales AS BIGINT) AS sales, {cols} FROM daily", *_FC)
+    return with_ctes(f"SELECT product_code, date, CAST(sales AS BIGINT) AS sales, {cols}{extra} FROM {src}",
+                     *(ctes or _FC))
 
 
 @query("date_features", _product_features_sql())
