@@ -82,12 +82,13 @@ def overall_mape(errors: DataFrame) -> DataFrame:
 def rollup(errors: DataFrame, level: str, period: str, actual: str = "units_sold",
            forecast: str = "forecast") -> DataFrame:
     """Sums of actual and forecast by (level, period) with
-    absolute and percentage error (no denominator offset at this level)."""
+    absolute and percentage error (no denominator offset at this level;
+    null when the actual sum is 0)."""
     agg = errors.groupBy(level, period).agg(F.sum(actual).cast("double").alias("actual"),
                                             F.sum(forecast).cast("double").alias("forecast"))
     err = F.abs(F.col("actual") - F.col("forecast"))
     return (agg.withColumn("abs_error", err)
-               .withColumn("abs_percentage_error", err / F.col("actual")))
+               .withColumn("abs_percentage_error", F.try_divide(err, F.col("actual"))))
 
 
 def with_week_of_horizon(df: DataFrame, day: str = "day", out: str = "week") -> DataFrame:

@@ -45,16 +45,18 @@ def gap_fill(panel: DataFrame, key: str, date: str, defaults: dict, step_days: i
     return out.select(*panel.columns)
 
 
-def daily_style_panel(grid: DataFrame) -> DataFrame:
+def daily_style_panel(grid: DataFrame, carry_max=()) -> DataFrame:
     """Per (level3, level4, style_group, day) mean sales price, final
-    price and promotion share, summed units; nulls filled with 0 (P15)."""
+    price and promotion share, summed units; nulls filled with 0 (P15).
+    ``carry_max`` columns (e.g. season dates) are carried as their maximum."""
     keys = ["level3", "level4", "style_group", "transaction_date"]
     out = (grid.where(F.col("style_group").isNotNull() & F.col("transaction_date").isNotNull())
                .groupBy(*keys)
                .agg(F.avg("sales_price").alias("sales_price"),
                     F.avg("final_price").alias("final_price"),
                     F.avg("is_promotion").alias("is_promotion"),
-                    F.sum("units_sold").alias("units_sold")))
+                    F.sum("units_sold").alias("units_sold"),
+                    *[F.max(c).alias(c) for c in carry_max]))
     return out.fillna(0, subset=["sales_price", "final_price", "is_promotion", "units_sold"])
 
 

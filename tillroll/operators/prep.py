@@ -28,7 +28,7 @@ def penetration(df: DataFrame, key: str, customer: str = "customer_id") -> DataF
     total = df.agg(F.countDistinct(customer).alias("_all_customers"))
     return (per_key.crossJoin(total)
                    .select(key, "n_customers",
-                           (F.col("n_customers") / F.col("_all_customers")).alias("penetration")))
+                           F.try_divide(F.col("n_customers"), F.col("_all_customers")).alias("penetration")))
 
 
 def eligible_by_penetration(df: DataFrame, key: str, threshold: float,
@@ -59,7 +59,7 @@ def sales_share(df: DataFrame, key: str = "product_code", value: str = "price")
     cum = running_sum_desc(totals, "total_sales", key, "_cum")
     grand = totals.agg(F.sum("total_sales").alias("_grand"))
     shared = (cum.crossJoin(grand)
-                 .withColumn("cum_share", F.col("_cum").cast("double") / F.col("_grand").cast("double")))
+                 .withColumn("cum_share", F.try_divide(F.col("_cum").cast("double"), F.col("_grand").cast("double"))))
     return with_deciles(shared.drop("_cum", "_grand"), "cum_share", "decile")
 
 

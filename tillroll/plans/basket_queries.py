@@ -83,9 +83,9 @@ def _detail_sql(n: int) -> str:
                 ("rare", f"SELECT item, string_agg(partner, '|' ORDER BY rn_rare) AS rare_purchased FROM ranked WHERE rn_rare <= {n} GROUP BY item"),
                 ("dim", "SELECT DISTINCT prod_name, product_type_name, product_group_name FROM articles WHERE prod_name IS NOT NULL"),
             ])
-    cols = ", ".join([f'round(o.c{k}, 6) AS "{k}_freq_confidence"' for k in range(1, n + 1)]
-                     + ["round(s.support, 6) AS support"]
-                     + [f'round(o.l{k}, 6) AS "{k}_freq_prod_lift"' for k in range(1, n + 1)])
+    cols = ", ".join([f'CAST(round(CAST(o.c{k} AS DECIMAL(38,10)), 6) AS DOUBLE) AS "{k}_freq_confidence"' for k in range(1, n + 1)]
+                     + ["CAST(round(CAST(s.support AS DECIMAL(38,10)), 6) AS DOUBLE) AS support"]
+                     + [f'CAST(round(CAST(o.l{k} AS DECIMAL(38,10)), 6) AS DOUBLE) AS "{k}_freq_prod_lift"' for k in range(1, n + 1)])
     body = f"""
 SELECT s.item AS prod_name, CAST(s.item_order_cnt AS BIGINT) AS item_order_cnt,
        coalesce(o.often_purchased, '') AS often_purchased, coalesce(r.rare_purchased, '') AS rare_purchased,
@@ -111,7 +111,7 @@ def _pairs_sql(select: str) -> str:
 
 
 @query("item_support", _pairs_sql(
-    "SELECT item AS prod_name, CAST(item_order_cnt AS BIGINT) AS item_order_cnt, round(support, 6) AS support FROM support_t"))
+    "SELECT item AS prod_name, CAST(item_order_cnt AS BIGINT) AS item_order_cnt, CAST(round(CAST(support AS DECIMAL(38,10)), 6) AS DOUBLE) AS support FROM support_t"))
 def item_support(spark, sf_dir):
     return finish(basket.item_support(_prepared(spark, sf_dir), "prod_name"))
 
@@ -123,8 +123,8 @@ def pair_counts(spark, sf_dir):
 
 
 _PAIR_METRICS = """
-SELECT p.item, p.partner, p.pair_cnt, round(p.pair_cnt / a.item_order_cnt, 6) AS confidence,
-       round((p.pair_cnt / n.n_order) / (a.support * b.support), 6) AS lift
+SELECT p.item, p.partner, p.pair_cnt, CAST(round(CAST(p.pair_cnt / a.item_order_cnt AS DECIMAL(38,10)), 6) AS DOUBLE) AS confidence,
+       CAST(round(CAST((p.pair_cnt / n.n_order) / (a.support * b.support) AS DECIMAL(38,10)), 6) AS DOUBLE) AS lift
 FROM pairs p JOIN support_t a ON p.item = a.item JOIN support_t b ON p.partner = b.item CROSS JOIN n_orders n"""
 
 
@@ -164,7 +164,7 @@ _TX = base("transactions", "articles") + [tx_keyed()]
 
 
 @query("penetration", with_ctes("""
-SELECT article_id, CAST(nc AS BIGINT) AS n_customers, round(nc / tot, 6) AS penetration
+SELECT article_id, CAST(nc AS BIGINT) AS n_customers, CAST(round(CAST(nc / tot AS DECIMAL(38,10)), 6) AS DOUBLE) AS penetration
 FROM (SELECT article_id, count(DISTINCT customer_id) AS nc FROM tx WHERE article_id IS NOT NULL GROUP BY article_id),
      (SELECT count(DISTINCT customer_id) AS tot FROM tx)""", *_TX))
 def penetration_q(spark, sf_dir):

@@ -58,17 +58,17 @@ def naive_forecast_rounded(spark, sf_dir):
 
 @query("forecast_metrics", with_ctes("""
 SELECT product_code,
-       round(avg(abs(actual - forecast) / greatest(abs(actual), 2.220446049250313e-16)), 6) AS mape,
-       round(avg(abs(actual - forecast) / (actual + 0.1)) * 100, 6) AS mape_smoothed,
-       round(avg(abs(actual - forecast)), 6) AS mae,
-       round(round(avg(abs(forecast - actual) / ((abs(forecast) + abs(actual) + 0.1) / 2)) * 100, 2), 6) AS smape
+       CAST(round(CAST(avg(abs(actual - forecast) / greatest(abs(actual), 2.220446049250313e-16)) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mape,
+       CAST(round(CAST(avg(abs(actual - forecast) / (actual + 0.1)) * 100 AS DECIMAL(38,10)), 6) AS DOUBLE) AS mape_smoothed,
+       CAST(round(CAST(avg(abs(actual - forecast)) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mae,
+       CAST(round(CAST(round(avg(abs(forecast - actual) / ((abs(forecast) + abs(actual) + 0.1) / 2)) * 100, 2) AS DECIMAL(38,10)), 6) AS DOUBLE) AS smape
 FROM nf GROUP BY product_code""", *_NF))
 def forecast_metrics(spark, sf_dir):
     return finish(metrics.forecast_metrics(product_backtest(spark, sf_dir), "product_code"))
 
 
 @query("mean_actual_vs_forecast", with_ctes("""
-SELECT product_code, round(avg(actual), 6) AS mean_actual, round(avg(forecast), 6) AS mean_forecast
+SELECT product_code, CAST(round(CAST(avg(actual) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_actual, CAST(round(CAST(avg(forecast) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_forecast
 FROM nf GROUP BY product_code""", *_NF))
 def mean_actual_vs_forecast(spark, sf_dir):
     return finish(metrics.mean_actual_vs_forecast(product_backtest(spark, sf_dir), "product_code"))
@@ -83,21 +83,21 @@ def wide_actual_prediction(spark, sf_dir):
 
 
 @query("style_errors", with_ctes("""
-SELECT style_group, day, units_sold, forecast, level3, level4, round(abs_error, 6) AS abs_error,
-       round(abs_percentage_error, 6) AS abs_percentage_error FROM err""", *_NFS))
+SELECT style_group, day, units_sold, forecast, level3, level4, CAST(round(CAST(abs_error AS DECIMAL(38,10)), 6) AS DOUBLE) AS abs_error,
+       CAST(round(CAST(abs_percentage_error AS DECIMAL(38,10)), 6) AS DOUBLE) AS abs_percentage_error FROM err""", *_NFS))
 def style_errors_q(spark, sf_dir):
     return finish(style_errors(spark, sf_dir))
 
 
-@query("overall_mape", with_ctes("SELECT round(avg(abs_percentage_error) * 100, 6) AS overall_mape FROM err", *_NFS))
+@query("overall_mape", with_ctes("SELECT CAST(round(CAST(avg(abs_percentage_error) * 100 AS DECIMAL(38,10)), 6) AS DOUBLE) AS overall_mape FROM err", *_NFS))
 def overall_mape(spark, sf_dir):
     return finish(metrics.overall_mape(style_errors(spark, sf_dir)))
 
 
 def _rollup_sql(period_expr: str, period: str) -> str:
     return with_ctes(f"""
-SELECT level3, {period}, actual, forecast, round(abs(actual - forecast), 6) AS abs_error,
-       round(abs(actual - forecast) / actual, 6) AS abs_percentage_error
+SELECT level3, {period}, actual, forecast, CAST(round(CAST(abs(actual - forecast) AS DECIMAL(38,10)), 6) AS DOUBLE) AS abs_error,
+       CAST(round(CAST(abs(actual - forecast) / NULLIF(actual, 0) AS DECIMAL(38,10)), 6) AS DOUBLE) AS abs_percentage_error
 FROM (SELECT level3, {period_expr} AS {period}, CAST(sum(units_sold) AS DOUBLE) AS actual,
              CAST(sum(forecast) AS DOUBLE) AS forecast FROM err GROUP BY ALL)""", *_NFS)
 

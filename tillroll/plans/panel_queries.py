@@ -104,7 +104,7 @@ def prepared_forecast_rows(spark, sf_dir):
 
 
 @query("product_revenue", with_ctes(
-    "SELECT product_code, CAST(round(sum(CAST(price AS DECIMAL(18,4))), 6) AS DOUBLE) AS total_sales FROM txp "
+    "SELECT product_code, CAST(CAST(round(CAST(sum(CAST(price AS DECIMAL(18,4))) AS DECIMAL(38,10)), 6) AS DOUBLE) AS DOUBLE) AS total_sales FROM txp "
     "WHERE product_code IS NOT NULL GROUP BY product_code", *base("transactions", "articles"), *_TXP))
 def product_revenue(spark, sf_dir):
     rows = _txp(spark, sf_dir)
@@ -120,7 +120,7 @@ def product_lifespan(spark, sf_dir):
 
 
 @query("sales_share", with_ctes(
-    "SELECT product_code, CAST(round(total_sales, 6) AS DOUBLE) AS total_sales, round(cum_share, 6) AS cum_share, decile FROM share_d",
+    "SELECT product_code, CAST(CAST(round(CAST(total_sales AS DECIMAL(38,10)), 6) AS DOUBLE) AS DOUBLE) AS total_sales, CAST(round(CAST(cum_share AS DECIMAL(38,10)), 6) AS DOUBLE) AS cum_share, decile FROM share_d",
     *base("transactions", "articles"), *_TXP, _share_cte("txp"), _SHARE_DECILE))
 def sales_share(spark, sf_dir):
     return finish(prep.sales_share(_txp(spark, sf_dir)))
@@ -149,14 +149,14 @@ def long_lived_products(spark, sf_dir):
 # ---- panels -------------------------------------------------------------------
 
 @query("daily_product_sales", with_ctes(
-    "SELECT product_code, date, CAST(sales AS BIGINT) AS sales, round(price, 6) AS price FROM daily", *_FC))
+    "SELECT product_code, date, CAST(sales AS BIGINT) AS sales, CAST(round(CAST(price AS DECIMAL(38,10)), 6) AS DOUBLE) AS price FROM daily", *_FC))
 def daily_product_sales(spark, sf_dir):
     return finish(product_daily(spark, sf_dir))
 
 
 @query("daily_style_panel", with_ctes(
-    "SELECT level3, level4, style_group, transaction_date, round(sales_price, 6) AS sales_price, "
-    "round(final_price, 6) AS final_price, round(is_promotion, 6) AS is_promotion, CAST(units_sold AS BIGINT) AS units_sold FROM sp",
+    "SELECT level3, level4, style_group, transaction_date, CAST(round(CAST(sales_price AS DECIMAL(38,10)), 6) AS DOUBLE) AS sales_price, "
+    "CAST(round(CAST(final_price AS DECIMAL(38,10)), 6) AS DOUBLE) AS final_price, CAST(round(CAST(is_promotion AS DECIMAL(38,10)), 6) AS DOUBLE) AS is_promotion, CAST(units_sold AS BIGINT) AS units_sold FROM sp",
     *_STYLE))
 def daily_style_panel(spark, sf_dir):
     return finish(style_panel(spark, sf_dir))
@@ -173,7 +173,7 @@ def weekly_sales(spark, sf_dir):
 
 
 @query("daily_gap_filled", with_ctes("""
-SELECT c.product_code, c.date, CAST(coalesce(d.sales, 0) AS BIGINT) AS sales, round(d.price, 6) AS price
+SELECT c.product_code, c.date, CAST(coalesce(d.sales, 0) AS BIGINT) AS sales, CAST(round(CAST(d.price AS DECIMAL(38,10)), 6) AS DOUBLE) AS price
 FROM (SELECT product_code, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date
       FROM daily GROUP BY product_code) c
 LEFT JOIN daily d ON c.product_code = d.product_code AND c.date = d.date""", *_FC))
@@ -204,7 +204,7 @@ def _date_parts_sql(d: str, prefix: str = "") -> dict[str, str]:
 
 def _product_features_sql(src: str = "daily", extra: str = "", ctes=None) -> str:
     m = _date_parts_sql("date")
-    m["price"] = "round(price, 6)"
+    m["price"] = "CAST(round(CAST(price AS DECIMAL(38,10)), 6) AS DOUBLE)"
     for k in range(7):
         m[f"Dayofweek_{k}"] = f"CAST(isodow(date) - 1 = {k} AS INTEGER)"
     for k in range(1, 13):
@@ -223,8 +223,8 @@ def _fourier_sql(t: str, freq: int = 4, order: int = 4) -> dict[str, str]:
     out = {}
     for i in range(1, order + 1):
         c = repr(fourier_coefficient(freq, i))
-        out[f"sin_{freq}_{i}"] = f"(round(sin(CAST({t} AS DOUBLE) * {c}), 6) + 0.0)"
-        out[f"cos_{freq}_{i}"] = f"(round(cos(CAST({t} AS DOUBLE) * {c}), 6) + 0.0)"
+        out[f"sin_{freq}_{i}"] = f"(CAST(round(CAST(sin(CAST({t} AS DOUBLE) * {c}) AS DECIMAL(38,10)), 6) AS DOUBLE) + 0.0)"
+        out[f"cos_{freq}_{i}"] = f"(CAST(round(CAST(cos(CAST({t} AS DOUBLE) * {c}) AS DECIMAL(38,10)), 6) AS DOUBLE) + 0.0)"
     return out
 
 
@@ -237,9 +237,9 @@ def _style_features_sql() -> str:
     m["transaction_Year"] = f"CASE WHEN year({d}) = 2022 THEN 0 ELSE 1 END"
     m.update(_fourier_sql("t0"))
     m["trend"] = "CAST(t0 + 1 AS INTEGER)"
-    m["MA"] = "round(ma, 6)"
-    m["final_price"] = "round(final_price, 6)"
-    m["is_promotion"] = "round(is_promotion, 6)"
+    m["MA"] = "CAST(round(CAST(ma AS DECIMAL(38,10)), 6) AS DOUBLE)"
+    m["final_price"] = "CAST(round(CAST(final_price AS DECIMAL(38,10)), 6) AS DOUBLE)"
+    m["is_promotion"] = "CAST(round(CAST(is_promotion AS DECIMAL(38,10)), 6) AS DOUBLE)"
     m["holiday_flag"] = "holiday_flag"
     for k in range(1, 13):
         m[f"transaction_Month_{k}"] = f"CAST(month({d}) = {k} AS INTEGER)"
@@ -319,7 +319,7 @@ def lag_table(spark, sf_dir):
 
 
 @query("temporal_split", with_ctes(f"""
-SELECT product_code, date, CAST(sales AS BIGINT) AS sales, round(price, 6) AS price,
+SELECT product_code, date, CAST(sales AS BIGINT) AS sales, CAST(round(CAST(price AS DECIMAL(38,10)), 6) AS DOUBLE) AS price,
        CASE WHEN rd <= {HORIZON} THEN 'test' ELSE 'train' END AS split,
        CASE WHEN rd <= {HORIZON} THEN CAST({HORIZON} + 1 - rd AS INTEGER) END AS day
 FROM (SELECT *, row_number() OVER (PARTITION BY product_code ORDER BY date DESC) AS rd FROM daily)""", *_FC))
@@ -343,7 +343,7 @@ def cv_folds(spark, sf_dir):
 @query("horizon_table", with_ctes(
     "SELECT * FROM (SELECT product_code, origin_date, CAST(h AS INTEGER) AS h, "
     + ", ".join(f"lag_{k}" for k in range(1, LAGS + 1))
-    + ", round(price, 6) AS price, target FROM (SELECT product_code, date AS origin_date, "
+    + ", CAST(round(CAST(price AS DECIMAL(38,10)), 6) AS DOUBLE) AS price, target FROM (SELECT product_code, date AS origin_date, "
     + ", ".join(f"CAST(lag(sales, {k - 1}) {_PW}) AS BIGINT) AS lag_{k}" for k in range(1, LAGS + 1))
     + ", " + ", ".join(f"CAST(lead(sales, {h}) {_PW}) AS BIGINT) AS t_{h}, lead(price, {h}) {_PW}) AS p_{h}"
                        for h in range(1, HORIZON + 1))

@@ -6,8 +6,9 @@ runs one operator of the package.  Next to it sits the DuckDB SQL that
 computes the same result on the same parquet files (``None`` for operators
 that SQL cannot express, which get a row-count check only).
 
-Output conventions shared by both sides: doubles rounded to 6 places,
-arrays joined with ``|``, counts as BIGINT, days as DATE.
+Output conventions shared by both sides: doubles go through
+DECIMAL(38,10) and are rounded to 6 places, arrays are joined with ``|``,
+counts are BIGINT, days are DATE.
 """
 
 from __future__ import annotations
@@ -45,10 +46,10 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits) + F.lit(0.0)
-        elif isinstance(f.dataType, T.DecimalType):
-            c = F.round(c, digits).cast("double")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            # Through decimal(38,10) first: values that differ only in the
+            # last bits (summation order) collapse before the 6-place round.
+            c = F.round(c.cast("decimal(38,10)"), digits).cast("double")
         elif isinstance(f.dataType, T.ArrayType):
             c = F.concat_ws("|", F.transform(c, lambda x: x.cast("string")))
         cols.append(c.alias(f.name))

@@ -77,6 +77,11 @@ def hex_key(col: str) -> str:
             f"THEN {u}::HUGEINT - 18446744073709551616::HUGEINT ELSE {u}::HUGEINT END AS BIGINT)")
 
 
+def r6(expr: str) -> str:
+    """The rounding convention of :func:`tillroll.plans.registry.finish`."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,10)), 6) AS DOUBLE)"
+
+
 def with_ctes(body: str, *ctes: tuple[str, str]) -> str:
     parts = ",\n".join(f"{name} AS ({sql})" for name, sql in ctes)
     return f"WITH {parts}\n{body}"
@@ -143,7 +148,7 @@ def basket_stages(item: str) -> list[tuple[str, str]]:
 def basket_report_sql(item: str, n: int, skip_top: int = 1, penetration: float = 0.0,
                       min_cnt: int = 0, prods: list[str] | None = None) -> str:
     conf_cols = ",\n".join(
-        f"round(max(CASE WHEN rn_often = {skip_top + k} THEN pair_cnt END) / max(io.item_order_cnt), 6) AS \"{k}_freq_confidence\""
+        f"CAST(round(CAST(max(CASE WHEN rn_often = {skip_top + k} THEN pair_cnt END) / max(io.item_order_cnt) AS DECIMAL(38,10)), 6) AS DOUBLE) AS \"{k}_freq_confidence\""
         for k in range(1, n + 1))
     restrict = ""
     if prods is not None:
@@ -161,7 +166,7 @@ def basket_report_sql(item: str, n: int, skip_top: int = 1, penetration: float =
 SELECT CAST(io.item AS VARCHAR) AS items, CAST(io.item_order_cnt AS BIGINT) AS item_order_cnt,
        coalesce(o.often_purchased, '') AS often_purchased,
        coalesce(r.rare_purchased, '') AS rare_purchased,
-       round(io.item_order_cnt / n.n_order, 6) AS support, {conf_sel}
+       CAST(round(CAST(io.item_order_cnt / n.n_order AS DECIMAL(38,10)), 6) AS DOUBLE) AS support, {conf_sel}
 FROM item_orders io LEFT JOIN often o ON io.item = o.item LEFT JOIN rare r ON io.item = r.item
 CROSS JOIN n_orders n {restrict}"""
     return with_ctes(body, *ctes)

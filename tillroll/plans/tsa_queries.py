@@ -45,16 +45,16 @@ def weekly_name_sales(spark, sf_dir):
 
 
 @query("seasonal_parts", with_ctes(
-    "SELECT prod_name, week_end, sales, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, "
-    "round(resid, 6) AS resid FROM dc", *_WEEKLY, *_decompose_sql("wk", "week_end", "sales", WEEKLY_PERIOD)))
+    "SELECT prod_name, week_end, sales, CAST(round(CAST(trend AS DECIMAL(38,10)), 6) AS DOUBLE) AS trend, CAST(round(CAST(seasonal AS DECIMAL(38,10)), 6) AS DOUBLE) AS seasonal, "
+    "CAST(round(CAST(resid AS DECIMAL(38,10)), 6) AS DOUBLE) AS resid FROM dc", *_WEEKLY, *_decompose_sql("wk", "week_end", "sales", WEEKLY_PERIOD)))
 def seasonal_parts(spark, sf_dir):
     return finish(tsa.seasonal_decompose(weekly_name_sales(spark, sf_dir), "prod_name", "week_end",
                                          "sales", WEEKLY_PERIOD))
 
 
 @query("deseasonalised", with_ctes(
-    "SELECT prod_name, date, CAST(sales AS BIGINT) AS sales, round(seasonal, 6) AS seasonal, "
-    "round(sales - seasonal, 6) AS deseasonalised FROM dc",
+    "SELECT prod_name, date, CAST(sales AS BIGINT) AS sales, CAST(round(CAST(seasonal AS DECIMAL(38,10)), 6) AS DOUBLE) AS seasonal, "
+    "CAST(round(CAST(sales - seasonal AS DECIMAL(38,10)), 6) AS DOUBLE) AS deseasonalised FROM dc",
     *_NAME_DAILY, *_decompose_sql("nd", "date", "sales", DAILY_PERIOD)))
 def deseasonalised(spark, sf_dir):
     return finish(tsa.deseasonalise(name_daily(spark, sf_dir), "prod_name", "date", "sales", DAILY_PERIOD))
@@ -67,18 +67,18 @@ _DETREND = [("dt0", "SELECT prod_name, date, sales, row_number() OVER (PARTITION
 
 
 @query("detrended", with_ctes("""
-SELECT prod_name, date, CAST(sales AS BIGINT) AS sales, CAST(t AS INTEGER) AS t, round(slope, 6) AS slope,
-       round(intercept, 6) AS intercept, round(trend_fit, 6) AS trend_fit, round(sales - trend_fit, 6) AS detrended
+SELECT prod_name, date, CAST(sales AS BIGINT) AS sales, CAST(t AS INTEGER) AS t, CAST(round(CAST(slope AS DECIMAL(38,10)), 6) AS DOUBLE) AS slope,
+       CAST(round(CAST(intercept AS DECIMAL(38,10)), 6) AS DOUBLE) AS intercept, CAST(round(CAST(trend_fit AS DECIMAL(38,10)), 6) AS DOUBLE) AS trend_fit, CAST(round(CAST(sales - trend_fit AS DECIMAL(38,10)), 6) AS DOUBLE) AS detrended
 FROM dt""", *_NAME_DAILY, *_DETREND))
 def detrended(spark, sf_dir):
     return finish(tsa.linear_detrend(name_daily(spark, sf_dir), "prod_name", "date", "sales"))
 
 
 @query("periodogram", with_ctes("""
-SELECT r.prod_name, CAST(k AS INTEGER) AS k, round(365.0 * k / r.n, 6) AS frequency,
-       round(CASE WHEN k = 0 OR 2 * k = r.n THEN 1.0 ELSE 2.0 END
+SELECT r.prod_name, CAST(k AS INTEGER) AS k, CAST(round(CAST(365.0 * k / r.n AS DECIMAL(38,10)), 6) AS DOUBLE) AS frequency,
+       CAST(round(CAST(CASE WHEN k = 0 OR 2 * k = r.n THEN 1.0 ELSE 2.0 END
              * (pow(sum(r.resid * cos(2 * pi() * k * r.t0 / r.n)), 2) + pow(sum(r.resid * sin(2 * pi() * k * r.t0 / r.n)), 2))
-             / (CAST(r.n AS DOUBLE) * r.n), 6) AS power
+             / (CAST(r.n AS DOUBLE) * r.n) AS DECIMAL(38,10)), 6) AS DOUBLE) AS power
 FROM (SELECT prod_name, sales - trend_fit AS resid, t - 1 AS t0, count(*) OVER (PARTITION BY prod_name) AS n FROM dt) r,
      LATERAL (SELECT unnest(range(0, r.n // 2 + 1)) AS k) ks
 GROUP BY r.prod_name, k, r.n""", *_NAME_DAILY, *_DETREND))
