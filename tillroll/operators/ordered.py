@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def running_sum_desc(df: DataFrame, value: str, tie: str, out: str,
-                     buckets: int = 64) -> DataFrame:
-    """``out`` = sum of ``value`` over all rows ordered before or at this row
-    in the order ``value`` descending, ``tie`` ascending."""
+                     buckets: int = 64, summed: str | None = None) -> DataFrame:
+    """``out`` = sum of ``summed`` (default ``value``) over all rows ordered
+    before or at this row in the order ``value`` descending, ``tie``
+    ascending.  With a column of ones it is the 1-based position."""
+    summed = summed or value
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10000).alias("_bounds"))
     v = F.col(value).cast("double")
@@ -25,8 +27,8 @@ def running_sum_desc(df: DataFrame, value: str, tie: str, out: str,
                 .drop("_bounds"))
     inner = (Window.partitionBy("_bucket").orderBy(F.col(value).desc(), F.col(tie))
                    .rowsBetween(Window.unboundedPreceding, 0))
-    within = tagged.withColumn("_within", F.sum(value).over(inner))
-    per_bucket = tagged.groupBy("_bucket").agg(F.sum(value).alias("_bsum"))
+    within = tagged.withColumn("_within", F.sum(summed).over(inner))
+    per_bucket = tagged.groupBy("_bucket").agg(F.sum(summed).alias("_bsum"))
     # Bucket totals: at most ``buckets`` rows, so this global window and the
     # broadcast below are bounded by the parameter, not by the data.
     offsets = per_bucket.withColumn(
