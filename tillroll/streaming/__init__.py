@@ -1,0 +1,7 @@
+"""Streaming surface.
+
+The reference has no streams, watermarks or state: every analysis is a
+batch job over purchase logs.  Nothing is built here on purpose (the brief
+is to build only what the reference does).  The batch operators take plain
+DataFrames, so they also accept a micro-batch inside ``foreachBatch``.
+"""
