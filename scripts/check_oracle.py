@@ -1,93 +1,16 @@
 """Run registered queries in Spark and their SQL in DuckDB; compare.
 
 Usage: python scripts/check_oracle.py [sf_dir] [name ...]
-Prints one line per query and a summary.  Mirrors the driver's check:
-row count, column names, and order-insensitive values.
 """
 
 from __future__ import annotations
 
-import math
 import sys
-import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-def duck(sf_dir):
-    import duckdb
-    con = duckdb.connect()
-    for t in TABLES:
-        p = Path(sf_dir) / f"{t}.parquet"
-        if p.exists():
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-    return con
-
-
-def norm(v):
-    import datetime
-    import decimal
-    if v is None:
-        return None
-    try:
-        import pandas as pd
-        if v is pd.NA or v is pd.NaT:
-            return None
-    except Exception:
-        pass
-    if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 6) + 0.0
-    if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
-    if hasattr(v, "item") and not isinstance(v, (str, bytes)):
-        try:
-            return norm(v.item())
-        except Exception:
-            pass
-    if isinstance(v, datetime.datetime):
-        if v.hour == 0 and v.minute == 0 and v.second == 0:
-            return v.date().isoformat()
-        return v.isoformat()
-    if isinstance(v, datetime.date):
-        return v.isoformat()
-    if isinstance(v, bool):
-        return int(v)
-    return v
-
-
-def rows_of(pdf):
-    cols = sorted(pdf.columns)
-    out = []
-    for rec in pdf[cols].itertuples(index=False, name=None):
-        out.append(tuple(norm(v) for v in rec))
-    key = lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r)
-    return cols, sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
-
-
-def compare(spark, con, name, fn, sql, sf_dir):
-    t0 = time.time()
-    sdf = fn(spark, sf_dir)
-    spdf = sdf.toPandas()
-    t1 = time.time()
-    if sql is None:
-        return f"{name}: rows-only spark_rows={len(spdf)} ({t1 - t0:.1f}s)", True
-    dpdf = con.execute(sql).df()
-    sc, sr = rows_of(spdf)
-    dc, dr = rows_of(dpdf)
-    if sc != dc:
-        return f"{name}: COLUMNS differ spark={sc} duck={dc}", False
-    if len(sr) != len(dr):
-        return f"{name}: ROWCOUNT spark={len(sr)} duck={len(dr)}", False
-    bad = [(a, b) for a, b in zip(sr, dr) if a != b]
-    if bad:
-        return f"{name}: VALUES differ in {len(bad)} rows, e.g. spark={bad[0][0]} duck={bad[0][1]}", False
-    return f"{name}: OK rows={len(sr)} ({t1 - t0:.1f}s)", True
+from tillroll.plans.oracle_check import compare, duck  # noqa: E402
 
 
 def main():

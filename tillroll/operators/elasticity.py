@@ -24,8 +24,12 @@ def safe_corr(x, y):
     either side has no variance or fewer than two rows."""
     x = F.col(x) if isinstance(x, str) else x
     y = F.col(y) if isinstance(y, str) else y
-    ok = (F.count(F.lit(1)) > 1) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
-    return F.when(ok, F.corr(x, y))
+    # covar_pop / sqrt(var_pop * var_pop) equals ``corr``; try_divide keeps a
+    # zero variance a null instead of an ANSI divide-by-zero error (the
+    # built-in ``corr`` raises even when wrapped in a condition).
+    both = x.isNotNull() & y.isNotNull()
+    xs, ys = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(xs, ys), F.sqrt(F.var_pop(xs) * F.var_pop(ys)))
 
 
 def price_stats(panel: DataFrame, key: str = "style_group", price: str = "final_price") -> DataFrame:
