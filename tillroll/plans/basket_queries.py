@@ -11,39 +11,47 @@ from tillroll.plans.sqlparts import (base, basket_report_sql, basket_stages, hex
                                      prepared_basket, tx_keyed, with_ctes)
 
 # Parameters of the query set (fixed so both engines compute the same thing).
-BASKET_PENETRATION = 0.02
+# In the test tables rows and customers per part stay constant while the
+# number of customers grows with the scale factor, so penetration fractions
+# that split the articles at one scale remove all of them at the next.  The
+# reports therefore run over all items (penetration 0, "no filter"); the
+# filters themselves are exercised by the prepared-rows and eligibility
+# queries with thresholds that split the sf0.01 tables.
+BASKET_PENETRATION = 0.02          # prepared_rows / eligibility queries
+REPORT_PENETRATION = 0.0           # co-purchase reports: every item
 BASKET_N = 3
 LIST_ITEMS = ["red widget", "small ring", "blue bolt", "hot gear"]
-FORECAST_PENETRATION = 0.18
+FORECAST_PENETRATION = 0.01        # the reference's forecasting threshold
+ELIGIBLE_PRODUCT_PENETRATION = 0.18
 SHARE_FRACTION = 0.5
 LIFESPAN_FIRST_BY = "1995-01-10"
 LIFESPAN_LAST_FROM = "2001-07-20"
 MIN_CNT = 30
 
 
-def _prepared(spark, sf_dir):
+def _prepared(spark, sf_dir, penetration: float = REPORT_PENETRATION):
     t = tables(spark, sf_dir)
-    return prep.prepare_basket_rows(t.transactions, t.articles, penetration_min=BASKET_PENETRATION)
+    return prep.prepare_basket_rows(t.transactions, t.articles, penetration_min=penetration)
 
 
 @query("prepared_rows", with_ctes(
     "SELECT * FROM prepared",
     *base("transactions", "articles"), *prepared_basket(BASKET_PENETRATION)))
 def prepared_rows(spark, sf_dir):
-    return finish(_prepared(spark, sf_dir))
+    return finish(_prepared(spark, sf_dir, BASKET_PENETRATION))
 
 
-@query("co_purchase_report", basket_report_sql("prod_name", BASKET_N, penetration=BASKET_PENETRATION))
+@query("co_purchase_report", basket_report_sql("prod_name", BASKET_N, penetration=REPORT_PENETRATION))
 def co_purchase_report(spark, sf_dir):
     return finish(basket.co_purchase_report(_prepared(spark, sf_dir), "prod_name", BASKET_N))
 
 
-@query("co_purchase_by_type", basket_report_sql("product_type_name", 2, penetration=BASKET_PENETRATION))
+@query("co_purchase_by_type", basket_report_sql("product_type_name", 2, penetration=REPORT_PENETRATION))
 def co_purchase_by_type(spark, sf_dir):
     return finish(basket.co_purchase_report(_prepared(spark, sf_dir), "product_type_name", 2))
 
 
-@query("co_purchase_by_article", basket_report_sql("article_id", BASKET_N, penetration=BASKET_PENETRATION))
+@query("co_purchase_by_article", basket_report_sql("article_id", BASKET_N, penetration=REPORT_PENETRATION))
 def co_purchase_by_article(spark, sf_dir):
     rows = _prepared(spark, sf_dir)
     return finish(basket.co_purchase_report(rows, "article_id", BASKET_N)
@@ -52,7 +60,7 @@ def co_purchase_by_article(spark, sf_dir):
                   .withColumn("rare_purchased", F.transform("rare_purchased", lambda x: x.cast("string"))))
 
 
-@query("co_purchase_for_list", basket_report_sql("prod_name", BASKET_N, penetration=BASKET_PENETRATION,
+@query("co_purchase_for_list", basket_report_sql("prod_name", BASKET_N, penetration=REPORT_PENETRATION,
                                                  prods=LIST_ITEMS))
 def co_purchase_for_list(spark, sf_dir):
     return finish(basket.co_purchase_report(_prepared(spark, sf_dir), "prod_name", BASKET_N,
@@ -61,7 +69,7 @@ def co_purchase_for_list(spark, sf_dir):
 
 def _detail_sql(n: int) -> str:
     skip = 1
-    ctes = (base("transactions", "articles") + prepared_basket(BASKET_PENETRATION)
+    ctes = (base("transactions", "articles") + prepared_basket(REPORT_PENETRATION)
             + basket_stages("prod_name") + [
                 ("support_t", "SELECT io.item, io.item_order_cnt, io.item_order_cnt / n.n_order AS support FROM item_orders io CROSS JOIN n_orders n"),
                 ("meta", """SELECT prod_name, min(product_group_name) AS g, min(product_type_name) AS t
@@ -104,7 +112,7 @@ def co_purchase_detail(spark, sf_dir):
 
 
 def _pairs_sql(select: str) -> str:
-    ctes = (base("transactions", "articles") + prepared_basket(BASKET_PENETRATION)
+    ctes = (base("transactions", "articles") + prepared_basket(REPORT_PENETRATION)
             + basket_stages("prod_name")
             + [("support_t", "SELECT io.item, io.item_order_cnt, io.item_order_cnt / n.n_order AS support FROM item_orders io CROSS JOIN n_orders n")])
     return with_ctes(select, *ctes)
@@ -189,12 +197,12 @@ _TXP = _TX + [("txp", "SELECT t.*, a.product_code, a.prod_name FROM tx t LEFT JO
 SELECT product_code FROM
   (SELECT product_code, count(DISTINCT customer_id) AS nc FROM txp WHERE product_code IS NOT NULL GROUP BY product_code),
   (SELECT count(DISTINCT customer_id) AS tot FROM txp)
-WHERE nc / tot >= {FORECAST_PENETRATION}""", *_TXP))
+WHERE nc / tot >= {ELIGIBLE_PRODUCT_PENETRATION}""", *_TXP))
 def eligible_products(spark, sf_dir):
     t = tables(spark, sf_dir)
     df = prep.with_customer_key(t.transactions).join(
         t.articles.select("article_id", "product_code", "prod_name"), "article_id", "left")
-    return finish(prep.eligible_by_penetration(df, "product_code", FORECAST_PENETRATION))
+    return finish(prep.eligible_by_penetration(df, "product_code", ELIGIBLE_PRODUCT_PENETRATION))
 
 
 @query("min_count_articles", with_ctes(f"""

@@ -8,7 +8,7 @@ from tillroll.operators import explore, prep
 from tillroll.plans.basket_queries import _prepared
 from tillroll.plans.registry import finish, query, tables
 from tillroll.plans.sqlparts import base, hex_key, prepared_basket, r6, tx_keyed, with_ctes
-from tillroll.plans.basket_queries import BASKET_PENETRATION
+from tillroll.plans.basket_queries import REPORT_PENETRATION
 
 PROFILE_COLS = ["units_sold", "original_price", "sales_price", "final_price", "is_promotion"]
 TOP_K = 10
@@ -24,7 +24,7 @@ SELECT (SELECT count(DISTINCT customer_id) FROM prepared) AS n_customers,
        (SELECT count(DISTINCT article_id) FROM prepared) AS n_articles,
        (SELECT count(DISTINCT product_type_no) FROM prepared) AS n_types,
        (SELECT count(DISTINCT product_group_name) FROM prepared) AS n_groups""",
-                                    *base("transactions", "articles"), *prepared_basket(BASKET_PENETRATION)))
+                                    *base("transactions", "articles"), *prepared_basket(REPORT_PENETRATION)))
 def distinct_counts(spark, sf_dir):
     return finish(explore.distinct_counts(_prepared(spark, sf_dir), _COUNTS))
 
