@@ -17,13 +17,15 @@ Definitions
 Plan
 ----
 1. ``cells``: one row per (order, item) with its row count ``n``
-   (map-side partial aggregation collapses repeated items early).
-2. Pairs: self equi-join of ``cells`` on the order key.  Orders with more
+   (map-side partial aggregation collapses repeated items early).  A
+   window over the order key adds the basket size ``d`` and marks one cell
+   per order (for the order count), so neither needs its own scan.
+2. Pairs: self equi-join of the cells on the order key, reusing the
+   window's partitioning and sort (no further exchange).  Orders with more
    than ``hot_basket_items`` distinct items are salted: the left side is
    split by a hash of the item into ``ceil(d / hot_basket_items)`` slices
    and the right side is replicated per slice, so one huge basket is spread
-   over many tasks instead of one.  Normal orders reuse the order-key
-   partitioning with no extra exchange.
+   over many tasks instead of one.
 3. ``groupBy(item, partner)`` with partial aggregation.
 4. Top-n / bottom-n partners with ``row_number`` filters, which Spark turns
    into a per-partition group limit before the exchange, so only a few rows
@@ -35,6 +37,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import checkpoint_dir
+
 ORDER_COLS = ("customer_id", "t_dat")
 
 
@@ -44,30 +48,81 @@ def basket_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame
                 .groupBy(*order_cols, item).agg(F.count(F.lit(1)).alias("n")))
 
 
+def sized_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
+    """Cells of every order (a null item kept as its own cell) with
+    ``_d`` = distinct non-null items of the order and ``_first`` marking one
+    cell per order.
+
+    The window is partitioned by the order key over *pre-aggregated* cells,
+    so a window partition holds at most one row per distinct item of one
+    order (bounded by the catalogue, not by the rows of a hot order).  Its
+    output stays partitioned and sorted by the order key, which the pair
+    self-join then reuses without another exchange or sort.
+    """
+    cells = rows.groupBy(*order_cols, item).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*order_cols).orderBy(item)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (cells.withColumn("_d", F.count(item).over(whole))
+                 .withColumn("_first", F.row_number().over(w) == 1))
+
+
+def materialized_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS,
+                       materialize: bool = True) -> DataFrame:
+    """:func:`sized_cells`, written once to the shared checkpoint folder.
+
+    The report reads the cells in four branches (both join sides, the item
+    counts and the order count).  Column pruning makes those branches
+    different plans, so Spark cannot share one exchange and would scan and
+    aggregate the input four times; a reliable checkpoint computes the cells
+    once, cuts the lineage, and survives the loss of executors.
+    """
+    sized = sized_cells(rows, item, order_cols)
+    if not materialize:
+        return sized
+    checkpoint_dir(rows.sparkSession)
+    return sized.checkpoint(eager=True)
+
+
 def order_count(rows: DataFrame, order_cols=ORDER_COLS) -> DataFrame:
     """One row: ``n_order`` = distinct orders of the prepared frame."""
     return rows.agg(F.countDistinct(*order_cols).alias("n_order"))
 
 
+def order_count_sized(sized: DataFrame) -> DataFrame:
+    """One row: ``n_order`` from :func:`sized_cells` (no second scan)."""
+    return sized.where("_first").agg(F.count(F.lit(1)).alias("n_order"))
+
+
 def item_order_counts(cells: DataFrame, item: str) -> DataFrame:
     """A4: distinct orders per item (= cells per item)."""
-    return cells.groupBy(item).agg(F.count(F.lit(1)).alias("item_order_cnt"))
+    return cells.where(F.col(item).isNotNull()).groupBy(item).agg(F.count(F.lit(1)).alias("item_order_cnt"))
 
 
-def item_support(rows: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
+def item_support(rows: DataFrame, item: str, order_cols=ORDER_COLS, sized: DataFrame | None = None) -> DataFrame:
     """A4 + A5: (item, item_order_cnt, support)."""
-    cells = basket_cells(rows, item, order_cols)
-    return (item_order_counts(cells, item).crossJoin(order_count(rows, order_cols))
+    sized = sized if sized is not None else sized_cells(rows, item, order_cols)
+    return (item_order_counts(sized, item).crossJoin(order_count_sized(sized))
             .select(F.col(item), "item_order_cnt",
                     (F.col("item_order_cnt") / F.col("n_order")).alias("support")))
 
 
 def pair_counts(cells: DataFrame, item: str, order_cols=ORDER_COLS,
                 hot_basket_items: int = 1000) -> DataFrame:
-    """J3 + A6: (item, partner, pair_cnt) over all co-occurring pairs."""
+    """J3 + A6: (item, partner, pair_cnt) over all co-occurring pairs.
+    ``cells`` as from :func:`basket_cells` or :func:`sized_cells`."""
+    sized = cells if "_d" in cells.columns else sized_cells_from(cells, item, order_cols)
+    return pair_counts_sized(sized, item, order_cols, hot_basket_items)
+
+
+def sized_cells_from(cells: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
+    w = Window.partitionBy(*order_cols)
+    return cells.withColumn("_d", F.count(item).over(w))
+
+
+def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
+                      hot_basket_items: int = 1000) -> DataFrame:
     order_cols = list(order_cols)
-    sizes = cells.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_d"))
-    sized = cells.join(sizes, order_cols)
+    sized = sized.where(F.col(item).isNotNull())
 
     normal = sized.where(F.col("_d") <= hot_basket_items)
     left = normal.select(*order_cols, F.col(item).alias("item"))
@@ -130,7 +185,8 @@ def _restrict(df: DataFrame, col: str, prods) -> DataFrame:
 def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3,
                        prods=None, skip_top: int = 1, hot_basket_items: int = 1000,
                        order_cols=ORDER_COLS, keep_counts: bool = False,
-                       sort: bool = True) -> DataFrame:
+                       sort: bool = True, materialize: bool = True,
+                       sized: DataFrame | None = None) -> DataFrame:
     """One row per item of column ``hierarchy``.
 
     Columns: ``items, item_order_cnt, often_purchased, rare_purchased,
@@ -138,17 +194,20 @@ def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3
     descending (ties by item).  ``prods`` (list or one-column DataFrame)
     restricts which items are reported, not the frame the counts use.
     Items with fewer partners get shorter arrays and null confidences.
+    ``materialize`` checkpoints the cells once (see
+    :func:`materialized_cells`); the call then runs that one job eagerly.
     """
-    cells = basket_cells(rows, hierarchy, order_cols)
-    items = _restrict(item_order_counts(cells, hierarchy), hierarchy, prods) \
+    if sized is None:
+        sized = materialized_cells(rows, hierarchy, order_cols, materialize)
+    items = _restrict(item_order_counts(sized, hierarchy), hierarchy, prods) \
         .withColumnRenamed(hierarchy, "item")
-    pairs = pair_counts(cells, hierarchy, order_cols, hot_basket_items)
+    pairs = pair_counts_sized(sized, hierarchy, order_cols, hot_basket_items)
     if prods is not None:
         pairs = pairs.join(items.select("item"), "item", "left_semi")
     lists = partner_lists(ranked_partners(pairs, n, skip_top))
     empty = F.array().cast("array<string>")
     report = (items.join(lists, "item", "left")
-                   .crossJoin(order_count(rows, order_cols))
+                   .crossJoin(order_count_sized(sized))
                    .select(
                        F.col("item").alias("items"),
                        "item_order_cnt",
@@ -166,20 +225,22 @@ def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3
 
 
 def pair_metrics(rows: DataFrame, item: str = "prod_name", order_cols=ORDER_COLS,
-                 hot_basket_items: int = 1000) -> DataFrame:
+                 hot_basket_items: int = 1000, materialize: bool = True) -> DataFrame:
     """A6-A8 for every pair: (item, partner, pair_cnt, confidence, lift).
 
     confidence = pair_cnt / item_order_cnt(item);
     lift = (pair_cnt / n_order) / (support(item) * support(partner)).
     """
-    cells = basket_cells(rows, item, order_cols)
-    pairs = pair_counts(cells, item, order_cols, hot_basket_items)
-    sup = item_support(rows, item, order_cols)
+    sized = materialized_cells(rows, item, order_cols, materialize)
+    pairs = pair_counts_sized(sized, item, order_cols, hot_basket_items)
+    n_order = order_count_sized(sized)
+    sup = (item_order_counts(sized, item).crossJoin(n_order)
+           .select(F.col(item), "item_order_cnt", (F.col("item_order_cnt") / F.col("n_order")).alias("support")))
     a = sup.select(F.col(item).alias("item"), F.col("item_order_cnt").alias("_a_cnt"),
                    F.col("support").alias("_a_sup"))
     b = sup.select(F.col(item).alias("partner"), F.col("support").alias("_b_sup"))
     return (pairs.join(a, "item").join(b, "partner")
-                 .crossJoin(order_count(rows, order_cols))
+                 .crossJoin(n_order)
                  .select("item", "partner", "pair_cnt",
                          (F.col("pair_cnt") / F.col("_a_cnt")).alias("confidence"),
                          ((F.col("pair_cnt") / F.col("n_order")) / (F.col("_a_sup") * F.col("_b_sup"))).alias("lift")))
@@ -187,7 +248,7 @@ def pair_metrics(rows: DataFrame, item: str = "prod_name", order_cols=ORDER_COLS
 
 def co_purchase_detail(rows: DataFrame, articles: DataFrame, n: int = 3, names=None,
                        skip_top: int = 1, hot_basket_items: int = 1000,
-                       order_cols=ORDER_COLS) -> DataFrame:
+                       order_cols=ORDER_COLS, materialize: bool = True) -> DataFrame:
     """R4 at product-name grain, for the items in ``names`` (all when None).
 
     Adds to R3: the item's (type, group) rows from the catalogue (one output
@@ -196,9 +257,10 @@ def co_purchase_detail(rows: DataFrame, articles: DataFrame, n: int = 3, names=N
     a name has several).
     """
     item = "prod_name"
+    sized = materialized_cells(rows, item, order_cols, materialize)
     base = co_purchase_report(rows, item, n, names, skip_top, hot_basket_items,
-                              order_cols, keep_counts=True, sort=False)
-    sup = item_support(rows, item, order_cols).select(
+                              order_cols, keep_counts=True, sort=False, sized=sized)
+    sup = item_support(rows, item, order_cols, sized=sized).select(
         F.col(item).alias("partner"), F.col("support").alias("_p_sup"))
     meta = (articles.where(F.col(item).isNotNull())
                     .groupBy(item).agg(F.min("product_group_name").alias("_p_group"),

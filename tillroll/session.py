@@ -50,8 +50,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the operator of the cluster and
-    is only read here.  When it is unset (local tests) a fresh folder is made
-    under ``fallback`` or the system temporary directory and registered.
+    is only read here (an unset folder is an error there).  In local mode,
+    when it is unset (tests), a fresh folder is made under ``fallback`` or
+    the system temporary directory and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -61,6 +62,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
+                           "that every executor can reach")
     base = fallback or tempfile.gettempdir()
     path = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=base)
     spark.conf.set("spark.checkpoint.dir", path)
