@@ -84,3 +84,19 @@ def test_model_save_load(spark, tmp_path):
     a = sorted(r["prediction"] for r in model.transform(score).collect())
     b = sorted(r["prediction"] for r in again.transform(score).collect())
     assert a == b
+
+
+def test_target_adjustment_inverts(spark):
+    from tillroll.operators import forecast as fc
+    daily = _periodic_panel(spark, keys=2, days=200)
+    adj = fc.target_adjustment(daily, "product_code", "date", "sales", 14, ("deseasonalise", "detrend"), 7)
+    pdf = adj.toPandas()
+    assert np.allclose(pdf["_y"] + pdf["_shift"], pdf["sales"])
+    # A weekly pattern is removed: the adjusted series is nearly flat.
+    assert pdf.groupby("product_code")["_y"].std().max() < 1.0
+    frame = fc.supervised_frame(daily, "product_code", "date", "sales", 14, 14, 14,
+                                transforms=("deseasonalise", "detrend"), period=7)
+    out, _ = fc.rf_forecast(frame, "product_code", 14)
+    p = out.toPandas()
+    assert len(p) == 28 and (p["forecast"] >= 0).all()
+    assert (p["actual"] - p["forecast"]).abs().mean() < 2.0
