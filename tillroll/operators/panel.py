@@ -125,25 +125,27 @@ def cv_folds(panel: DataFrame, key: str, date: str, initial: int = 30, window: i
 
 
 def horizon_table(panel: DataFrame, key: str, date: str, value: str, lags: int = 30,
-                  horizon: int = 14, exog=None) -> DataFrame:
+                  horizon: int = 14, exog=None, origin_cols=()) -> DataFrame:
     """T6 (direct strategy): one row per (key, origin row, h = 1..horizon).
 
     ``lag_1 .. lag_{lags}`` are the values at the origin and before it
     (``lag_1`` = value at the origin); ``target`` is the value ``h`` rows
     after the origin; ``exog`` columns are taken at the target row (known
-    future prices).  Rows without a full lag window or target are dropped.
+    future prices); ``origin_cols`` are carried from the origin row.  Rows
+    without a full lag window or target are dropped.
     """
     exog = list(exog or [])
+    origin_cols = list(origin_cols)
     w = Window.partitionBy(key).orderBy(date)
     base = panel.select(
-        key, F.col(date).alias("origin_date"),
+        key, F.col(date).alias("origin_date"), *origin_cols,
         *[F.lag(value, k - 1).over(w).alias(f"lag_{k}") for k in range(1, lags + 1)],
         F.array(*[F.struct(F.lit(h).alias("h"), F.lead(value, h).over(w).alias("target"),
                            *[F.lead(c, h).over(w).alias(c) for c in exog])
                   for h in range(1, horizon + 1)]).alias("_hz"))
-    out = base.select(key, "origin_date", *[f"lag_{k}" for k in range(1, lags + 1)],
+    out = base.select(key, "origin_date", *origin_cols, *[f"lag_{k}" for k in range(1, lags + 1)],
                       F.explode("_hz").alias("_z"))
-    out = out.select(key, "origin_date", F.col("_z.h").alias("h"),
+    out = out.select(key, "origin_date", *origin_cols, F.col("_z.h").alias("h"),
                      *[f"lag_{k}" for k in range(1, lags + 1)],
                      *[F.col(f"_z.{c}").alias(c) for c in exog], F.col("_z.target").alias("target"))
     return out.where(F.col(f"lag_{lags}").isNotNull() & F.col("target").isNotNull())

@@ -76,3 +76,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
