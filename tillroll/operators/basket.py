@@ -120,18 +120,23 @@ def sized_cells_from(cells: DataFrame, item: str, order_cols=ORDER_COLS) -> Data
 
 
 def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
-                      hot_basket_items: int = 1000) -> DataFrame:
+                      hot_basket_items: int = 1000, items=None) -> DataFrame:
+    """Pairs from :func:`sized_cells`.  ``items`` (list or one-column
+    DataFrame) restricts the *left* item before the join, so a report for a
+    few items only generates their pairs (the filter is pushed below the
+    self-join instead of applied to all pairs afterwards)."""
     order_cols = list(order_cols)
     sized = sized.where(F.col(item).isNotNull())
+    left_cells = _restrict(sized, item, items)
 
     normal = sized.where(F.col("_d") <= hot_basket_items)
-    left = normal.select(*order_cols, F.col(item).alias("item"))
+    left = left_cells.where(F.col("_d") <= hot_basket_items).select(*order_cols, F.col(item).alias("item"))
     right = normal.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"))
     normal_pairs = left.join(right, order_cols).where(F.col("item") != F.col("partner"))
 
     hot = sized.where(F.col("_d") > hot_basket_items)
     n_slices = F.ceil(F.col("_d") / F.lit(hot_basket_items)).cast("int")
-    hot_left = hot.select(*order_cols, F.col(item).alias("item"),
+    hot_left = left_cells.where(F.col("_d") > hot_basket_items).select(*order_cols, F.col(item).alias("item"),
                           F.pmod(F.xxhash64(F.col(item)), n_slices).cast("int").alias("_slice"))
     hot_right = hot.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"),
                            F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("_slice"))
@@ -201,9 +206,7 @@ def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3
         sized = materialized_cells(rows, hierarchy, order_cols, materialize)
     items = _restrict(item_order_counts(sized, hierarchy), hierarchy, prods) \
         .withColumnRenamed(hierarchy, "item")
-    pairs = pair_counts_sized(sized, hierarchy, order_cols, hot_basket_items)
-    if prods is not None:
-        pairs = pairs.join(items.select("item"), "item", "left_semi")
+    pairs = pair_counts_sized(sized, hierarchy, order_cols, hot_basket_items, items=prods)
     lists = partner_lists(ranked_partners(pairs, n, skip_top))
     empty = F.array().cast("array<string>")
     report = (items.join(lists, "item", "left")

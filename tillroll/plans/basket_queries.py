@@ -67,7 +67,7 @@ def co_purchase_for_list(spark, sf_dir):
                                             prods=LIST_ITEMS))
 
 
-def _detail_sql(n: int) -> str:
+def _detail_sql(n: int, names: list[str] | None = None) -> str:
     skip = 1
     ctes = (base("transactions", "articles") + prepared_basket(REPORT_PENETRATION)
             + basket_stages("prod_name") + [
@@ -102,6 +102,8 @@ SELECT s.item AS prod_name, CAST(s.item_order_cnt AS BIGINT) AS item_order_cnt,
        coalesce(o.often_purchased_prod_types, '') AS often_purchased_prod_types
 FROM support_t s LEFT JOIN often_agg o ON s.item = o.item LEFT JOIN rare r ON s.item = r.item
 LEFT JOIN dim d ON s.item = d.prod_name"""
+    if names is not None:
+        body += " WHERE s.item IN (" + ", ".join("'" + x.replace("'", "''") + "'" for x in names) + ")"
     return with_ctes(body, *ctes)
 
 
@@ -111,6 +113,17 @@ def co_purchase_detail(spark, sf_dir):
     return finish(basket.co_purchase_detail(_prepared(spark, sf_dir), t.articles, BASKET_N))
 
 
+SINGLE_ITEM = ["red widget"]
+
+
+@query("co_purchase_detail_item", _detail_sql(BASKET_N, SINGLE_ITEM))
+def co_purchase_detail_item(spark, sf_dir):
+    """R4 for one named item (the single-item report): the name filter is
+    applied to the left side of the pair self-join."""
+    t = tables(spark, sf_dir)
+    return finish(basket.co_purchase_detail(_prepared(spark, sf_dir), t.articles, BASKET_N, names=SINGLE_ITEM))
+
+
 def _pairs_sql(select: str) -> str:
     ctes = (base("transactions", "articles") + prepared_basket(REPORT_PENETRATION)
             + basket_stages("prod_name")
