@@ -57,18 +57,27 @@ def sales_share(df: DataFrame, key: str = "product_code", value: str = "price")
     totals = (df.where(F.col(key).isNotNull())
                 .groupBy(key).agg(F.sum(F.col(value).cast("decimal(18,4)")).alias("total_sales")))
     cum = running_sum_desc(totals, "total_sales", key, "_cum")
-    grand = totals.agg(F.sum("total_sales").alias("_grand"))
-    shared = (cum.crossJoin(grand)
-                 .withColumn("cum_share", F.try_divide(F.col("_cum").cast("double"), F.col("_grand").cast("double"))))
-    return with_deciles(shared.drop("_cum", "_grand"), "cum_share", "decile")
-
-
-def with_deciles(df: DataFrame, value: str, out: str, bins: int = 10) -> DataFrame:
+    grand = totals.agg(F.sum("total_sales").alias("_grand"), F.max("total_sales").alias("_top"))
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("_grand").cast("double"))
+    shared = (cum.crossJoin(grand.select("_grand"))
+                 .withColumn("cum_share", share("_cum")))
+    # The sums are exact decimals, so the smallest share is the top key's
+    # total over the grand total and the largest is exactly grand / grand:
+    # the decile bounds come from the one-row totals, not a second pass.
+    bounds = grand.select(share("_top").alias("_lo"), share("_grand").alias("_hi"))
+    return with_deciles(shared.drop("_cum", "_grand"), "cum_share", "decile", bounds=bounds)
+
+
+def with_deciles(df: DataFrame, value: str, out: str, bins: int = 10,
+                 bounds: DataFrame | None = None) -> DataFrame:
     """``bins`` equal-width, right-closed bins between min and max of
     ``value`` (pandas ``cut(bins=10)``): bin = 1 + number of inner edges
     ``lo + i*width`` (i = 1..bins-1) strictly below the value, so the
-    minimum falls in bin 1 and the maximum in bin ``bins``."""
-    bounds = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    minimum falls in bin 1 and the maximum in bin ``bins``.  ``bounds`` (one
+    row ``_lo, _hi``) can be given when they are known without a pass over
+    ``df``."""
+    if bounds is None:
+        bounds = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     above = [F.when(F.col(value) > F.lit(i) * width + F.col("_lo"), 1).otherwise(0) for i in range(1, bins)]
     binned = F.lit(1)
