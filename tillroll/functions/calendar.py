@@ -53,7 +53,8 @@ def date_part_map(date_col, prefix: str = "", parts=None) -> dict[str, Column]:
         "Is_quarter_start": (d == quarter_start).cast("int"),
         "Is_year_end": ((F.month(d) == 12) & (F.dayofmonth(d) == 31)).cast("int"),
         "Is_year_start": ((F.month(d) == 1) & (F.dayofmonth(d) == 1)).cast("int"),
-        "Elapsed": F.unix_timestamp(F.to_timestamp(d)).cast("bigint"),
+        # Seconds since the epoch at midnight UTC, independent of the session zone.
+        "Elapsed": (F.unix_date(d).cast("bigint") * 86400),
     }
     return {prefix + p: exprs[p].alias(prefix + p) for p in (parts or DATE_PARTS)}
 
