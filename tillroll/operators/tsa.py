@@ -116,16 +116,24 @@ ADF_CRITICAL_CONSTANT = [
 ]
 
 
+def default_max_lag(n: int) -> int:
+    """Schwert's rule ceil(12 (n/100)^(1/4)), capped so the regression with
+    a constant keeps enough observations (n // 2 - 2)."""
+    return int(max(0, min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))))
+
+
 def adf_test(panel: DataFrame, key: str, order_col: str, value: str,
-             max_lag: int = 4, autolag: bool = True) -> DataFrame:
+             max_lag: int | None = None, autolag: bool = True) -> DataFrame:
     """Augmented Dickey-Fuller regression with a constant per key.
 
     Regress dy_t on 1, y_{t-1}, dy_{t-1} .. dy_{t-p}; the statistic is the
     t-value of y_{t-1}.  With ``autolag`` p is chosen in 0..max_lag by AIC on
     a common sample (the last n - max_lag - 1 observations), then refit on
-    all usable rows.  Critical values from the published response surface;
+    all usable rows.  ``max_lag=None`` applies :func:`default_max_lag` to
+    each series' length.  Critical values from the published response surface;
     the p-value is not computed.
     """
+    max_lag_arg = max_lag
     key_type = panel.schema[key].dataType.simpleString()
     schema = (f"{key} {key_type}, adf_stat double, used_lag int, n_obs int, "
               "crit_1pct double, crit_5pct double, crit_10pct double")
@@ -152,6 +160,7 @@ def adf_test(panel: DataFrame, key: str, order_col: str, value: str,
         yv = pdf[value].to_numpy(dtype="float64")
         dy = np.diff(yv)  # dy[t-1] = y_t - y_{t-1}
         n = len(yv)
+        max_lag = max_lag_arg if max_lag_arg is not None else default_max_lag(n)
         empty = pd.DataFrame({key: [pdf[key].iloc[0]], "adf_stat": [np.nan], "used_lag": [None],
                               "n_obs": [0], "crit_1pct": [np.nan], "crit_5pct": [np.nan],
                               "crit_10pct": [np.nan]})

@@ -88,4 +88,4 @@ def periodogram(spark, sf_dir):
 
 @query("adf_stat")
 def adf_stat(spark, sf_dir):
-    return finish(tsa.adf_test(weekly_name_sales(spark, sf_dir), "prod_name", "week_end", "sales", max_lag=4))
+    return finish(tsa.adf_test(weekly_name_sales(spark, sf_dir), "prod_name", "week_end", "sales"))
