@@ -123,3 +123,26 @@ def test_penetration_filter_uses_unfiltered_counts(spark):
     rows = prep.prepare_basket_rows(tx, art, penetration_min=0.5)
     assert sorted(r["article_id"] for r in rows.collect()) == [1, 1]
     assert rows.first()["order_instance"] in ("12020-01-01", "22020-01-01")
+
+
+def test_hot_basket_holding_a_third_of_rows(spark):
+    """One order holds a third of all rows (300 distinct items, repeated);
+    with a small ``hot_basket_items`` it is split into slices, and the
+    result still equals the brute-force pair counts."""
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for o in range(600):                       # normal orders: 2-6 items
+        for _ in range(rnd.randint(2, 6)):
+            rows.append((o, 0, f"i{rnd.randint(0, 299):03d}"))
+    hot = [(10_000, 0, f"i{rnd.randint(0, 299):03d}") for _ in range(len(rows) // 2)]
+    rows += hot
+    df = rows_df(spark, rows)
+    want = _brute_pairs(df.toPandas())
+    cells = basket.basket_cells(df, "prod_name")
+    got = {(r["item"], r["partner"]): r["pair_cnt"]
+           for r in basket.pair_counts(cells, "prod_name", hot_basket_items=50).collect()}
+    assert got == dict(want)
+    rep = basket.co_purchase_report(df, "prod_name", 3, hot_basket_items=50).collect()
+    rep2 = basket.co_purchase_report(df, "prod_name", 3).collect()
+    assert sorted(map(str, rep)) == sorted(map(str, rep2))

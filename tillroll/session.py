@@ -55,20 +55,24 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     the system temporary directory and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) session: the server owns the folder
+        return current
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
-    existing = spark.sparkContext.getCheckpointDir()
+    existing = sc.getCheckpointDir()
     if existing:
         return existing
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
                            "that every executor can reach")
     base = fallback or tempfile.gettempdir()
     path = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=base)
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
