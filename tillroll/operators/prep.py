@@ -12,23 +12,48 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.keys import hex_tail_to_long, order_instance
 from tillroll.operators.ordered import running_sum_desc
+from tillroll.session import checkpoint_dir
 
 ARTICLE_COLS = ["article_id", "product_code", "prod_name", "product_type_no",
                 "product_type_name", "product_group_name"]
 
 
+def key_stats(df: DataFrame, key: str, customer: str = "customer_id", value: str | None = None,
+              date: str | None = None) -> DataFrame:
+    """One aggregation pass: per non-null ``key`` the distinct customers
+    (``n_customers``), rows (``n_rows``) and optionally the summed ``value``
+    (``total_sales``, exact decimal) and first / last ``date``.
+
+    Distinct customers are counted in two stages, (key, customer) then key,
+    with partial aggregation in each, instead of an expanded distinct
+    aggregate; a key holding a third of all rows is combined map-side.
+    """
+    first = [F.count(F.lit(1)).alias("_rows")]
+    second = [F.count(customer).alias("n_customers"), F.sum("_rows").alias("n_rows")]
+    if value:
+        first.append(F.sum(F.col(value).cast("decimal(18,4)")).alias("_val"))
+        second.append(F.sum("_val").alias("total_sales"))
+    if date:
+        first += [F.min(date).alias("_lo"), F.max(date).alias("_hi")]
+        second += [F.min("_lo").alias("min_date"), F.max("_hi").alias("max_date")]
+    per_pair = df.where(F.col(key).isNotNull()).groupBy(key, customer).agg(*first)
+    return per_pair.groupBy(key).agg(*second)
+
+
+def customer_total(df: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """One row: all distinct customers of ``df`` (null keys included)."""
+    return df.agg(F.countDistinct(customer).alias("_all_customers"))
+
+
 def penetration(df: DataFrame, key: str, customer: str = "customer_id") -> DataFrame:
     """A2: share of all distinct customers that bought each ``key``.
 
     Output ``(key, n_customers, penetration)``; null keys are dropped as a
     pandas group-by would, but their customers count in the denominator.
     """
-    per_key = (df.where(F.col(key).isNotNull())
-                 .groupBy(key).agg(F.countDistinct(customer).alias("n_customers")))
-    total = df.agg(F.countDistinct(customer).alias("_all_customers"))
-    return (per_key.crossJoin(total)
-                   .select(key, "n_customers",
-                           F.try_divide(F.col("n_customers"), F.col("_all_customers")).alias("penetration")))
+    return (key_stats(df, key, customer).crossJoin(customer_total(df, customer))
+            .select(key, "n_customers",
+                    F.try_divide(F.col("n_customers"), F.col("_all_customers")).alias("penetration")))
 
 
 def eligible_by_penetration(df: DataFrame, key: str, threshold: float,
@@ -56,6 +81,19 @@ def sales_share(df: DataFrame, key: str = "product_code", value: str = "price")
     """
     totals = (df.where(F.col(key).isNotNull())
                 .groupBy(key).agg(F.sum(F.col(value).cast("decimal(18,4)")).alias("total_sales")))
+    return share_of_totals(small_table(totals), key)
+
+
+def small_table(df: DataFrame) -> DataFrame:
+    """Checkpoint a per-key table that several branches read, so the pass
+    over the data that produced it runs once (the table has one row per
+    key; the write is small)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def share_of_totals(totals: DataFrame, key: str) -> DataFrame:
+    """W1 + W4 over a per-key ``total_sales`` table."""
     cum = running_sum_desc(totals, "total_sales", key, "_cum")
     grand = totals.agg(F.sum("total_sales").alias("_grand"), F.max("total_sales").alias("_top"))
     share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("_grand").cast("double"))
@@ -120,18 +158,23 @@ def prepare_basket_rows(transactions: DataFrame, articles: DataFrame,
     """Transactions joined to article metadata, restricted to eligible
     articles, with the printable ``order_instance`` key.
 
-    Penetration and row counts are measured on the unfiltered transactions.
-    The keep-lists are applied to the transactions before the article join
-    (the result is the same: key and counts both come from transactions).
+    Penetration and row counts are measured on the unfiltered transactions,
+    both from one per-article statistics pass.  The keep-list is applied to
+    the transactions before the article join (the result is the same: key
+    and counts both come from transactions).
     """
     tx = transactions.select("t_dat", "customer_id", "article_id")
     if convert_customer:
         tx = with_customer_key(tx)
     keep = tx
-    if penetration_min > 0:
-        keep = keep.join(eligible_by_penetration(tx, "article_id", penetration_min), "article_id", "left_semi")
-    if min_cnt > 1:
-        keep = keep.join(eligible_by_min_count(tx, "article_id", min_cnt), "article_id", "left_semi")
+    if penetration_min > 0 or min_cnt > 1:
+        stats = key_stats(tx, "article_id").crossJoin(customer_total(tx))
+        cond = F.lit(True)
+        if penetration_min > 0:
+            cond = cond & (F.try_divide(F.col("n_customers"), F.col("_all_customers")) >= penetration_min)
+        if min_cnt > 1:
+            cond = cond & (F.col("n_rows") >= min_cnt)
+        keep = keep.join(stats.where(cond).select("article_id"), "article_id", "left_semi")
     joined = keep.join(articles.select(*ARTICLE_COLS), "article_id", "left")
     return joined.select("t_dat", "customer_id", *ARTICLE_COLS,
                          order_instance("customer_id", "t_dat").alias("order_instance"))
@@ -139,23 +182,43 @@ def prepare_basket_rows(transactions: DataFrame, articles: DataFrame,
 
 def prepare_forecast_rows(transactions: DataFrame, articles: DataFrame,
                           cum_sales_fraction: float = 0.0, penetration_min: float = 0.0,
-                          convert_customer: bool = True) -> DataFrame:
-    """R2: transactions + (product_code, prod_name), restricted to products
-    with penetration >= ``penetration_min`` and then to products inside the
-    top ``cum_sales_fraction`` of sales.  Both filters are measured at
-    product grain on the joined frame; the share uses what is left after the
-    penetration filter.  Zero thresholds mean no filter.
+                          convert_customer: bool = True, first_by=None,
+                          last_from=None) -> DataFrame:
+    """R2 (+ P8): transactions + (product_code, prod_name), restricted to
+    products with penetration >= ``penetration_min``, then to products
+    inside the top ``cum_sales_fraction`` of the remaining sales, then (when
+    ``first_by`` / ``last_from`` are given) to products first sold on or
+    before ``first_by`` and last sold on or after ``last_from``.  Zero
+    thresholds mean no filter.
+
+    Every decision is a product-level property, so all of them come from one
+    per-product statistics pass (customers, sales, first and last day) and
+    one semi join; the statistics table is checkpointed when the share's
+    running sum reads it in several branches.
     """
     tx = transactions.select("t_dat", "customer_id", "article_id", "price")
     if convert_customer:
         tx = with_customer_key(tx)
     df = tx.join(articles.select("article_id", "product_code", "prod_name"), "article_id", "left")
     df = df.select("t_dat", "customer_id", "article_id", "price", "product_code", "prod_name")
+    lifespan_filter = first_by is not None or last_from is not None
+    if not (penetration_min > 0 or cum_sales_fraction > 0 or lifespan_filter):
+        return df
+    stats = key_stats(df, "product_code", value="price", date="t_dat")
     if penetration_min > 0:
-        df = df.join(eligible_by_penetration(df, "product_code", penetration_min), "product_code", "left_semi")
+        stats = (stats.crossJoin(customer_total(df))
+                      .where(F.try_divide(F.col("n_customers"), F.col("_all_customers")) >= penetration_min)
+                      .drop("_all_customers"))
     if cum_sales_fraction > 0:
-        df = df.join(top_share_keys(df, cum_sales_fraction), "product_code", "left_semi")
-    return df.select("t_dat", "customer_id", "article_id", "price", "product_code", "prod_name")
+        stats = small_table(stats)
+        shared = share_of_totals(stats.select("product_code", "total_sales"), "product_code")
+        stats = stats.join(shared.where(F.col("cum_share") <= cum_sales_fraction).select("product_code"),
+                           "product_code", "left_semi")
+    if first_by is not None:
+        stats = stats.where(F.col("min_date") <= F.lit(first_by).cast("date"))
+    if last_from is not None:
+        stats = stats.where(F.col("max_date") >= F.lit(last_from).cast("date"))
+    return df.join(stats.select("product_code"), "product_code", "left_semi")
 
 
 def eligible_counts(df: DataFrame, key: str) -> DataFrame:

@@ -73,9 +73,9 @@ def _forecast_rows(spark, sf_dir, fraction: float = 0.0):
 
 
 def _long_lived_rows(spark, sf_dir):
-    rows = _forecast_rows(spark, sf_dir)
-    keep = prep.long_lived_keys(rows, LIFESPAN_FIRST_BY, LIFESPAN_LAST_FROM)
-    return rows.join(keep, "product_code", "left_semi")
+    t = tables(spark, sf_dir)
+    return prep.prepare_forecast_rows(t.transactions, t.articles, 0.0, FORECAST_PENETRATION,
+                                      first_by=LIFESPAN_FIRST_BY, last_from=LIFESPAN_LAST_FROM)
 
 
 def product_daily(spark, sf_dir):
