@@ -74,3 +74,14 @@ def test_fourier_values(spark):
     assert abs(rows[1]["sin_4_1"] - 1.0) < 1e-12
     assert abs(rows[2]["cos_4_1"] + 1.0) < 1e-12
     assert abs(rows[1]["sin_4_2"] - math.sin(math.pi)) < 1e-12
+
+
+def test_profile_moments_match_pandas(spark):
+    import pandas as pd
+    from tillroll.operators import explore
+    vals = [1.0, 2.0, 2.0, 3.0, 7.0, 9.0, 4.0, None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    r = explore.numeric_profile(df, ["x"]).first()
+    s = pd.Series(vals, dtype="float64")
+    assert abs(r["skewness"] - s.skew()) < 1e-12 and abs(r["kurtosis"] - s.kurt()) < 1e-12
+    assert r["missing"] == 1 and r["n"] == 8 and r["distinct"] == 6

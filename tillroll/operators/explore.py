@@ -42,19 +42,32 @@ def date_range_by(df: DataFrame, key: str, date: str) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One pass over ``df`` computing, per numeric column, rows,
-    missing, zeros and their share, distinct values, mean, sample std, min
-    and max; unpivoted to one row per column."""
+    missing, zeros and their share, distinct values, mean, sample std, min,
+    max, and the bias-corrected skewness and excess kurtosis (pandas'
+    conventions, from Spark's population moments); unpivoted to one row per
+    column."""
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         aggs += [F.count(F.lit(1)).alias(f"{c}__n"), F.sum(F.col(c).isNull().cast("long")).alias(f"{c}__missing"),
                  F.sum((x == 0).cast("long")).alias(f"{c}__zeros"), F.countDistinct(c).alias(f"{c}__distinct"),
                  F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
+                 F.count(x).alias(f"{c}__k"), F.skewness(x).alias(f"{c}__g1"), F.kurtosis(x).alias(f"{c}__g2")]
     wide = df.agg(*aggs)
+
+    def skew(c):
+        k = F.col(f"{c}__k").cast("double")
+        return F.when(k > 2, F.col(f"{c}__g1") * F.sqrt(k * (k - 1)) / (k - 2))
+
+    def kurt(c):
+        k = F.col(f"{c}__k").cast("double")
+        return F.when(k > 3, ((k + 1) * F.col(f"{c}__g2") + 6) * (k - 1) / ((k - 2) * (k - 3)))
+
     rows = F.array(*[F.struct(F.lit(c).alias("column"),
                               *[F.col(f"{c}__{s}").alias(s) for s in
-                                ("n", "missing", "zeros", "distinct", "mean", "std", "min", "max")])
+                                ("n", "missing", "zeros", "distinct", "mean", "std", "min", "max")],
+                              skew(c).alias("skewness"), kurt(c).alias("kurtosis"))
                      for c in columns])
     long = wide.select(F.explode(rows).alias("r")).select("r.*")
     return long.withColumn("zero_share", F.try_divide(F.col("zeros").cast("double"), F.col("n").cast("double")))

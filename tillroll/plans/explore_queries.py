@@ -68,10 +68,18 @@ def _profile_sql() -> str:
     parts = []
     for c in PROFILE_COLS:
         x = f"CAST({c} AS DOUBLE)"
+        z = f"(({x} - m.mu) / m.sd)"
+        g1 = f"(count({x}) * 1.0 / ((count({x}) - 1) * (count({x}) - 2))) * sum(power({z}, 3))"
+        k = f"CAST(count({x}) AS DOUBLE)"
+        g2 = (f"({k} * ({k} + 1) / (({k} - 1) * ({k} - 2) * ({k} - 3))) * sum(power({z}, 4))"
+              f" - 3 * power({k} - 1, 2) / (({k} - 2) * ({k} - 3))")
         parts.append(f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count({c}) AS BIGINT) AS missing,
             CAST(sum(CASE WHEN {x} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(count(DISTINCT {c}) AS BIGINT) AS "distinct",
             {r6(f'avg({x})')} AS mean, {r6(f'stddev_samp({x})')} AS std, {r6(f'min({x})')} AS min, {r6(f'max({x})')} AS max,
-            {r6(f'sum(CASE WHEN {x} = 0 THEN 1 ELSE 0 END) / count(*)')} AS zero_share FROM grid""")
+            {r6(f'sum(CASE WHEN {x} = 0 THEN 1 ELSE 0 END) / count(*)')} AS zero_share,
+            {r6(f'CASE WHEN count({x}) > 2 THEN {g1} END')} AS skewness,
+            {r6(f'CASE WHEN count({x}) > 3 THEN {g2} END')} AS kurtosis
+            FROM grid, (SELECT avg({x}) AS mu, stddev_samp({x}) AS sd FROM grid) m""")
     return with_ctes(" UNION ALL ".join(parts), *base("grid"))
 
 
