@@ -59,12 +59,9 @@ def date_part_map(date_col, prefix: str = "", parts=None) -> dict[str, Column]:
     return {prefix + p: exprs[p].alias(prefix + p) for p in (parts or DATE_PARTS)}
 
 
-def one_hot(col, values, prefix: str) -> list[Column]:
-    """Fixed-vocabulary one-hot columns ``{prefix}{v}`` as 0/1 ints."""
-    return list(one_hot_map(col, values, prefix).values())
-
-
 def one_hot_map(col, values, prefix: str) -> dict[str, Column]:
+    """Fixed-vocabulary one-hot columns ``{prefix}{v}`` as 0/1 ints (no fit
+    pass over the data)."""
     c = _c(col)
     return {f"{prefix}{v}": (c == F.lit(v)).cast("int").alias(f"{prefix}{v}") for v in values}
 

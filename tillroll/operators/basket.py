@@ -83,13 +83,9 @@ def materialized_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS,
     return sized.checkpoint(eager=True)
 
 
-def order_count(rows: DataFrame, order_cols=ORDER_COLS) -> DataFrame:
-    """One row: ``n_order`` = distinct orders of the prepared frame."""
-    return rows.agg(F.countDistinct(*order_cols).alias("n_order"))
-
-
 def order_count_sized(sized: DataFrame) -> DataFrame:
-    """One row: ``n_order`` from :func:`sized_cells` (no second scan)."""
+    """One row: ``n_order`` = distinct orders of the prepared frame (null
+    items included), read from :func:`sized_cells` (no second scan)."""
     return sized.where("_first").agg(F.count(F.lit(1)).alias("n_order"))
 
 
