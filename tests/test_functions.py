@@ -85,3 +85,15 @@ def test_profile_moments_match_pandas(spark):
     s = pd.Series(vals, dtype="float64")
     assert abs(r["skewness"] - s.skew()) < 1e-12 and abs(r["kurtosis"] - s.kurt()) < 1e-12
     assert r["missing"] == 1 and r["n"] == 8 and r["distinct"] == 6
+
+
+def test_describe_matches_pandas(spark):
+    import pandas as pd
+    from tillroll.operators import explore
+    vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    r = explore.describe(df, ["x"]).first()
+    d = pd.Series(vals).describe()
+    for ours, theirs in [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                         ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")]:
+        assert abs(r[ours] - d[theirs]) < 1e-12, ours

@@ -83,14 +83,24 @@ def pairwise_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample std, min, max per numeric column."""
+def describe(df: DataFrame, columns: list[str], exact_quantiles: bool = True) -> DataFrame:
+    """Count, mean, sample std, min, quartiles and max per numeric
+    column (``describe``).  Exact quartiles interpolate linearly like pandas
+    (``percentile`` holds one entry per distinct value of the column); with
+    ``exact_quantiles=False`` they come from ``percentile_approx`` (fixed
+    memory, for high-cardinality columns at scale)."""
     aggs = []
+    probs = [0.25, 0.5, 0.75]
     for c in columns:
         x = F.col(c).cast("double")
+        q = F.percentile(x, probs) if exact_quantiles else F.percentile_approx(x, probs, 10000).cast("array<double>")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").alias(s) for s in ("count", "mean", "std", "min", "max")])
+                 F.min(x).alias(f"{c}__min"), q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
+                              F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
+                              F.col(f"{c}__min").alias("min"), F.get(F.col(f"{c}__q"), 0).alias("p25"),
+                              F.get(F.col(f"{c}__q"), 1).alias("p50"), F.get(F.col(f"{c}__q"), 2).alias("p75"),
+                              F.col(f"{c}__max").alias("max"))
                      for c in columns])
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 

@@ -109,6 +109,8 @@ _SUMMARY_COLS = ["article_id", "price", "sales_channel_id"]
 @query("table_summary", with_ctes(" UNION ALL ".join(
     f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, {r6(f'avg(CAST({c} AS DOUBLE))')} AS mean,
         {r6(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std, {r6(f'min(CAST({c} AS DOUBLE))')} AS min,
+        {r6(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)')} AS p25, {r6(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)')} AS p50,
+        {r6(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)')} AS p75,
         {r6(f'max(CAST({c} AS DOUBLE))')} AS max FROM transactions""" for c in _SUMMARY_COLS), *base("transactions")))
 def table_summary(spark, sf_dir):
     return finish(explore.describe(tables(spark, sf_dir).transactions, _SUMMARY_COLS))
