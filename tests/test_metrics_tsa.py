@@ -131,3 +131,13 @@ def test_linear_detrend_residuals(spark):
     out = tsa.linear_detrend(df, "k", "t", "y")
     agg = out.agg(F.sum("detrended"), F.first("slope")).first()
     assert abs(agg[0]) < 1e-9 and agg[1] == pytest.approx(0.5, abs=0.01)
+
+
+def test_wide_table_layout_golden(spark):
+    bt = backtest(spark)
+    wide = metrics.wide_actual_prediction(bt, "k").orderBy("day").toPandas()
+    assert list(wide["day"]) == list(range(1, 15))
+    assert {"actual_507909", "prediction_507909", "actual_611415", "prediction_611415"} <= set(wide.columns)
+    for k, (act, pred, *_) in GOLDEN.items():
+        assert list(wide[f"actual_{k}"]) == [float(a) for a in act]
+        assert list(wide[f"prediction_{k}"]) == [float(p) for p in pred]
