@@ -20,8 +20,9 @@ Plan
    (map-side partial aggregation collapses repeated items early).  A
    window over the order key adds the basket size ``d`` and marks one cell
    per order (for the order count), so neither needs its own scan.
-2. Pairs: self equi-join of the cells on the order key, reusing the
-   window's partitioning and sort (no further exchange).  Orders with more
+2. Pairs: self equi-join of the cells on the order key, each unordered
+   pair once with both row counts (half the join output; both sides share
+   one shuffle of the cells).  Orders with more
    than ``hot_basket_items`` distinct items are salted: the left side is
    split by a hash of the item into ``ceil(d / hot_basket_items)`` slices
    and the right side is replicated per slice, so one huge basket is spread
@@ -117,14 +118,52 @@ def sized_cells_from(cells: DataFrame, item: str, order_cols=ORDER_COLS) -> Data
 
 def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
                       hot_basket_items: int = 1000, items=None) -> DataFrame:
-    """Pairs from :func:`sized_cells`.  ``items`` (list or one-column
-    DataFrame) restricts the *left* item before the join, so a report for a
-    few items only generates their pairs (the filter is pushed below the
-    self-join instead of applied to all pairs afterwards)."""
+    """Pairs from :func:`sized_cells`.
+
+    Each unordered pair {a, b} of an order is joined once (``a < b``) and
+    carries both row counts: ``n(o, b)`` adds to ``pair_cnt(a, b)`` and
+    ``n(o, a)`` to ``pair_cnt(b, a)`` (both sums run over the orders holding
+    a and b).  The two directions are split after the aggregation, so the
+    join output and the pair shuffle are half of an ordered-pair join, and
+    the two join sides project the same columns, so Spark shuffles the cells
+    once for both sides.
+
+    ``items`` (list or one-column DataFrame) keeps only pairs whose first
+    item is listed (reports for a few items); then ordered pairs are joined
+    directly with the listed items on the left.
+    """
     order_cols = list(order_cols)
     sized = sized.where(F.col(item).isNotNull())
-    left_cells = _restrict(sized, item, items)
+    if items is not None:
+        return _directed_pairs(sized, item, order_cols, hot_basket_items, _restrict(sized, item, items))
+
+    normal = sized.where(F.col("_d") <= hot_basket_items).select(*order_cols, item, "n")
+    left = normal.select(*order_cols, F.col(item).alias("item"), F.col("n").alias("_na"))
+    right = normal.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"))
+    normal_pairs = left.join(right, order_cols).where(F.col("item") < F.col("partner"))
+
+    hot = sized.where(F.col("_d") > hot_basket_items)
+    n_slices = F.ceil(F.col("_d") / F.lit(hot_basket_items)).cast("int")
+    hot_left = hot.select(*order_cols, F.col(item).alias("item"), F.col("n").alias("_na"),
+                          F.pmod(F.xxhash64(F.col(item)), n_slices).cast("int").alias("_slice"))
+    hot_right = hot.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"),
+                           F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("_slice"))
+    hot_pairs = (hot_left.join(hot_right, order_cols + ["_slice"])
+                         .where(F.col("item") < F.col("partner")))
+
+    cols = ["item", "partner", "_na", "_nb"]
+    half = (normal_pairs.select(*cols).unionByName(hot_pairs.select(*cols))
+            .groupBy("item", "partner").agg(F.sum("_nb").alias("_ab"), F.sum("_na").alias("_ba")))
+    both = half.select(F.explode(F.array(
+        F.struct(F.col("item").alias("item"), F.col("partner").alias("partner"), F.col("_ab").alias("pair_cnt")),
+        F.struct(F.col("partner").alias("item"), F.col("item").alias("partner"), F.col("_ba").alias("pair_cnt")),
+    )).alias("_p"))
+    return both.select("_p.item", "_p.partner", "_p.pair_cnt")
 
+
+def _directed_pairs(sized: DataFrame, item: str, order_cols, hot_basket_items: int,
+                    left_cells: DataFrame) -> DataFrame:
+    """Ordered pairs (a, b), a from ``left_cells``, with the same salting."""
     normal = sized.where(F.col("_d") <= hot_basket_items)
     left = left_cells.where(F.col("_d") <= hot_basket_items).select(*order_cols, F.col(item).alias("item"))
     right = normal.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"))
@@ -132,13 +171,12 @@ def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
 
     hot = sized.where(F.col("_d") > hot_basket_items)
     n_slices = F.ceil(F.col("_d") / F.lit(hot_basket_items)).cast("int")
-    hot_left = left_cells.where(F.col("_d") > hot_basket_items).select(*order_cols, F.col(item).alias("item"),
-                          F.pmod(F.xxhash64(F.col(item)), n_slices).cast("int").alias("_slice"))
+    hot_left = left_cells.where(F.col("_d") > hot_basket_items).select(
+        *order_cols, F.col(item).alias("item"), F.pmod(F.xxhash64(F.col(item)), n_slices).cast("int").alias("_slice"))
     hot_right = hot.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"),
                            F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("_slice"))
     hot_pairs = (hot_left.join(hot_right, order_cols + ["_slice"])
                          .where(F.col("item") != F.col("partner")))
-
     cols = ["item", "partner", "_nb"]
     return (normal_pairs.select(*cols).unionByName(hot_pairs.select(*cols))
             .groupBy("item", "partner").agg(F.sum("_nb").alias("pair_cnt")))
