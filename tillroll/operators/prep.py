@@ -85,9 +85,9 @@ def sales_share(df: DataFrame, key: str = "product_code", value: str = "price")
 
 
 def small_table(df: DataFrame) -> DataFrame:
-    """Checkpoint a per-key table that several branches read, so the pass
-    over the data that produced it runs once (the table has one row per
-    key; the write is small)."""
+    """Checkpoint an aggregated table (one row per key, or per key and day)
+    that several branches read, so the pass over the raw data that produced
+    it runs once; the write is small next to that pass."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

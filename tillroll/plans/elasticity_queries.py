@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import elasticity, panel
 from tillroll.operators.calendar_dim import with_holiday_flag
+from tillroll.operators.prep import small_table
 from tillroll.plans.panel_queries import _STYLE, style_panel
 from tillroll.plans.registry import finish, query, tables
 from tillroll.plans.sqlparts import with_ctes
@@ -119,7 +120,7 @@ PIVOT (SELECT transaction_date, 'sales_price_style_' || CAST(style_rank AS VARCH
        FROM sp JOIN labels USING (style_group))
 ON name USING first(v) GROUP BY transaction_date""", *_STYLE, _LABELS))
 def cross_price_wide(spark, sf_dir):
-    sp = style_panel(spark, sf_dir)
+    sp = small_table(style_panel(spark, sf_dir))
     return finish(elasticity.cross_price_wide(sp, elasticity.style_labels(sp)))
 
 
@@ -135,14 +136,15 @@ _PRICES = ("prices", "SELECT transaction_date, " + ", ".join(
 
 
 def _cross_design(spark, sf_dir):
-    sp = style_panel(spark, sf_dir)
+    # Targets, labels and prices all read the panel: materialise it once.
+    sp = small_table(style_panel(spark, sf_dir))
     target = sp.join(elasticity.style_labels(sp).select("style_group", "style_label"), "style_group")
     prices = elasticity.ranked_prices(sp, "level3", price="sales_price")
     return elasticity.regression_design(target, prices, N_CROSS_PRICES)
 
 
 def _l3_design(spark, sf_dir):
-    l3 = elasticity.l3_l4_panel(style_panel(spark, sf_dir))
+    l3 = small_table(elasticity.l3_l4_panel(style_panel(spark, sf_dir)))
     prices = elasticity.ranked_prices(l3, "l3_l4", price="final_price")
     return elasticity.regression_design(l3.withColumnRenamed("l3_l4", "style_label"), prices, N_L3_PRICES,
                                         log_target=True)

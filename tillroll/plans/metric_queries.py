@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.operators import features, metrics, panel
+from tillroll.operators.prep import small_table
 from tillroll.plans.panel_queries import (HORIZON, _FC, _STYLE, _forecast_rows, _long_lived_rows,
                                           _product_features_sql, product_daily, style_panel)
 from tillroll.plans.registry import finish, query
@@ -43,10 +44,12 @@ def style_backtest(spark, sf_dir):
 
 
 def style_errors(spark, sf_dir):
-    bt = style_backtest(spark, sf_dir)
+    # The backtest (actuals and forecasts) and the hierarchy read one panel.
+    sp = small_table(style_panel(spark, sf_dir))
+    bt = metrics.naive_forecast(sp, "style_group", "transaction_date", "units_sold", HORIZON, HORIZON)
     actuals = bt.select("style_group", "day", F.col("actual").cast("bigint").alias("units_sold"))
     forecasts = bt.select("style_group", "day", "forecast")
-    hier = style_panel(spark, sf_dir).select("style_group", "level3", "level4").distinct()
+    hier = sp.select("style_group", "level3", "level4").distinct()
     return metrics.style_level_errors(actuals, forecasts, hier)
 
 
