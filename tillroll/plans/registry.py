@@ -34,11 +34,14 @@ def query(name: str, oracle: str | None = None):
 
 
 def tables(spark: SparkSession, sf_dir: str):
+    """Lazy retail views of ``sf_dir`` (cached per live session: a stopped
+    and re-created session never sees frames of the old one)."""
     from tillroll.sources.testdata import load_retail_tables
-    key = (id(spark), sf_dir)
-    if key not in _TABLE_CACHE:
-        _TABLE_CACHE[key] = load_retail_tables(spark, sf_dir)
-    return _TABLE_CACHE[key]
+    hit = _TABLE_CACHE.get(sf_dir)
+    if hit is None or hit[0] is not spark or hit[1].transactions.sparkSession is not spark:
+        hit = (spark, load_retail_tables(spark, sf_dir))
+        _TABLE_CACHE[sf_dir] = hit
+    return hit[1]
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
