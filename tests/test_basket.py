@@ -1,7 +1,6 @@
 import datetime as dt
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import basket, prep

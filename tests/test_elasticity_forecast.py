@@ -1,7 +1,6 @@
 import datetime as dt
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import elasticity, forecast, metrics

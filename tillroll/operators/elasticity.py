@@ -66,7 +66,7 @@ def sensitivity_by_month(panel: DataFrame, date: str = "transaction_date") -> Da
            .groupBy("l3_l4", "month").agg(
                F.max("units_sold").alias("units_sold_max"), F.min("units_sold").alias("units_sold_min"),
                F.avg("units_sold").alias("units_sold_mean"), F.avg("final_price").alias("final_price_mean")))
-    name = F.date_format(F.make_date(F.lit(2000), F.col("month"), F.lit(1)), "MMM")
+    name = month_abbr(F.make_date(F.lit(2000), F.col("month"), F.lit(1)))
     return out.withColumn("month_name", name).orderBy("l3_l4", "month")
 
 

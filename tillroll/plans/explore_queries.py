@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import explore, prep
 from tillroll.plans.basket_queries import _prepared
 from tillroll.plans.registry import finish, query, tables
-from tillroll.plans.sqlparts import base, hex_key, prepared_basket, r6, tx_keyed, with_ctes
+from tillroll.plans.sqlparts import base, prepared_basket, r6, tx_keyed, with_ctes
 from tillroll.plans.basket_queries import REPORT_PENETRATION
 
 PROFILE_COLS = ["units_sold", "original_price", "sales_price", "final_price", "is_promotion"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import features, metrics, panel
 from tillroll.operators.prep import small_table
-from tillroll.plans.panel_queries import (HORIZON, _FC, _STYLE, _forecast_rows, _long_lived_rows,
+from tillroll.plans.panel_queries import (HORIZON, _FC, _STYLE, _long_lived_rows,
                                           _product_features_sql, product_daily, style_panel)
 from tillroll.plans.registry import finish, query
 from tillroll.plans.sqlparts import with_ctes
