@@ -111,12 +111,24 @@ def price_fit(by_day: DataFrame, key: str = "style_group", price: str = "final_p
 
 def style_labels(panel: DataFrame, key: str = "style_group") -> DataFrame:
     """``style_{k}`` by first appearance in (level3, level4, key)
-    order.  One row per style (a dimension), so the ordered window runs over
-    the style list, not over the panel."""
+    order.
+
+    The position is computed hierarchically: a row number inside each
+    level3 group (in parallel across groups) plus the number of styles in
+    the level3 groups before it, from a running sum over one row per level3
+    value that is broadcast back.
+    """
     styles = panel.select("level3", "level4", key).distinct()
-    rank = F.row_number().over(Window.orderBy("level3", "level4", key))
-    return styles.select(key, "level3", "level4", F.concat(F.lit("style_"), rank.cast("string")).alias("style_label"),
-                         rank.alias("style_rank"))
+    within = styles.withColumn("_r", F.row_number().over(Window.partitionBy("level3").orderBy("level4", key)))
+    sizes = styles.groupBy("level3").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("level3", F.coalesce(
+        F.sum("_size").over(Window.orderBy("level3").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    ranked = within.join(F.broadcast(offsets), within["level3"].eqNullSafe(offsets["level3"])) \
+        .select(within["level3"], "level4", key, (F.col("_r") + F.col("_off")).alias("style_rank"))
+    return ranked.select(key, "level3", "level4",
+                         F.concat(F.lit("style_"), F.col("style_rank").cast("string")).alias("style_label"),
+                         F.col("style_rank").cast("int").alias("style_rank"))
 
 
 def cross_price_wide(panel: DataFrame, labels: DataFrame, key: str = "style_group",
