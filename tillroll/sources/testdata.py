@@ -111,5 +111,6 @@ def load_retail_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
         transactions=tx,
         articles=articles_from(part),
         transaction_grid=grid,
-        holidays=holiday_table(grid.select(F.col("transaction_date").alias("d"))),
+        # Year range from one pruned column of lineitem (no join needed).
+        holidays=holiday_table(lineitem.select(F.to_date("l_shipdate").alias("d"))),
     )
