@@ -25,7 +25,7 @@ _BYPRICE = [("byp", """SELECT * FROM (SELECT l3_l4, CAST(round_even(final_price,
                               max(units_sold) AS units_sold_max, min(units_sold) AS units_sold_min,
                               stddev_samp(units_sold) AS units_sold_std, avg(units_sold) AS units_sold_mean
                        FROM spl GROUP BY ALL) WHERE units_sold_std > 0""")]
-_LABELS = ("labels", """SELECT style_group, level3, level4, row_number() OVER (ORDER BY level3, level4, style_group) AS style_rank
+_LABELS = ("style_lbl", """SELECT style_group, level3, level4, row_number() OVER (ORDER BY level3, level4, style_group) AS style_rank
                         FROM (SELECT DISTINCT level3, level4, style_group FROM sp)""")
 
 
@@ -107,17 +107,17 @@ def price_fit(spark, sf_dir):
 
 @query("style_labels", with_ctes("""
 SELECT style_group, level3, level4, 'style_' || CAST(style_rank AS VARCHAR) AS style_label,
-       CAST(style_rank AS INTEGER) AS style_rank FROM labels""", *_STYLE, _LABELS))
+       CAST(style_rank AS INTEGER) AS style_rank FROM style_lbl""", *_STYLE, _LABELS))
 def style_labels(spark, sf_dir):
     return finish(elasticity.style_labels(style_panel(spark, sf_dir)))
 
 
 @query("cross_price_wide", with_ctes("""
 PIVOT (SELECT transaction_date, 'sales_price_style_' || CAST(style_rank AS VARCHAR) AS name, CAST(sales_price AS DOUBLE) AS v
-       FROM sp JOIN labels USING (style_group)
+       FROM sp JOIN style_lbl USING (style_group)
        UNION ALL
        SELECT transaction_date, 'units_sold_style_' || CAST(style_rank AS VARCHAR) AS name, CAST(units_sold AS DOUBLE) AS v
-       FROM sp JOIN labels USING (style_group))
+       FROM sp JOIN style_lbl USING (style_group))
 ON name USING first(v) GROUP BY transaction_date""", *_STYLE, _LABELS))
 def cross_price_wide(spark, sf_dir):
     sp = small_table(style_panel(spark, sf_dir))
@@ -152,7 +152,7 @@ def _l3_design(spark, sf_dir):
 
 @query("cross_price_complete", with_ctes("""
 SELECT 'style_' || CAST(l.style_rank AS VARCHAR) AS style_label, CAST(count(*) AS BIGINT) AS n_complete
-FROM sp JOIN labels l USING (style_group) JOIN prices p USING (transaction_date)
+FROM sp JOIN style_lbl l USING (style_group) JOIN prices p USING (transaction_date)
 WHERE sp.units_sold IS NOT NULL GROUP BY l.style_rank""", *_STYLE, _LABELS, _PRICES))
 def cross_price_complete(spark, sf_dir):
     design = _cross_design(spark, sf_dir)
