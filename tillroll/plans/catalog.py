@@ -6,14 +6,9 @@ from tillroll.plans import registry
 
 
 def _load():
-    from tillroll.plans import basket_queries  # noqa: F401
-    for mod in ("panel_queries", "metric_queries", "tsa_queries", "elasticity_queries",
-                "explore_queries", "model_queries", "io_queries"):
-        try:
-            __import__(f"tillroll.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from tillroll.plans import (basket_queries, elasticity_queries, explore_queries,  # noqa: F401
+                                io_queries, metric_queries, model_queries, panel_queries,
+                                tsa_queries)
 
 
 def queries():
