@@ -62,3 +62,22 @@ def test_weekly_resample_matches_pandas(spark, sf_small):
         w = g.set_index("date")["sales"].resample("W").sum()
         want.update({(name, d.date()): int(v) for d, v in w.items()})
     assert got == want
+
+
+def test_date_features_match_pandas_accessors(spark, sf_small):
+    from tillroll.operators import features
+    from tillroll.plans.panel_queries import product_daily
+    got = features.product_features(product_daily(spark, sf_small)).toPandas()
+    d = pd.to_datetime(got["date"]).dt
+    expect = {
+        "Year": d.year, "Week": d.isocalendar().week.astype("int64"), "Day": d.day, "Dayofyear": d.dayofyear,
+        "Is_month_end": d.is_month_end.astype(int), "Is_month_start": d.is_month_start.astype(int),
+        "Is_quarter_end": d.is_quarter_end.astype(int), "Is_quarter_start": d.is_quarter_start.astype(int),
+        "Is_year_end": d.is_year_end.astype(int), "Is_year_start": d.is_year_start.astype(int),
+    }
+    for col, want in expect.items():
+        assert (got[col].astype("int64").to_numpy() == want.astype("int64").to_numpy()).all(), col
+    for k in range(7):
+        assert (got[f"Dayofweek_{k}"].to_numpy() == (d.dayofweek == k).astype(int).to_numpy()).all()
+    for k in range(1, 13):
+        assert (got[f"Month_{k}"].to_numpy() == (d.month == k).astype(int).to_numpy()).all()
