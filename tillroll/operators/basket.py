@@ -56,9 +56,7 @@ def sized_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
 
     The window is partitioned by the order key over *pre-aggregated* cells,
     so a window partition holds at most one row per distinct item of one
-    order (bounded by the catalogue, not by the rows of a hot order).  Its
-    output stays partitioned and sorted by the order key, which the pair
-    self-join then reuses without another exchange or sort.
+    order (bounded by the catalogue, not by the rows of a hot order).
     """
     cells = rows.groupBy(*order_cols, item).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*order_cols).orderBy(item)
