@@ -46,7 +46,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     from tillroll.session import get_spark, checkpoint_dir
-    spark = get_spark(f"local[{cpus}]", int(cpus) * 2,
+    spark = get_spark(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)),
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="tillroll-bench-"))
     from tillroll.plans.catalog import queries
