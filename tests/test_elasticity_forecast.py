@@ -99,3 +99,13 @@ def test_target_adjustment_inverts(spark):
     p = out.toPandas()
     assert len(p) == 28 and (p["forecast"] >= 0).all()
     assert (p["actual"] - p["forecast"]).abs().mean() < 2.0
+
+
+def test_gbt_search_beats_naive_on_periodic_series(spark):
+    daily = _periodic_panel(spark, keys=3, days=160)
+    frame = forecast.supervised_frame(daily, "product_code", "date", "sales", 14, 14, 14).checkpoint(eager=True)
+    out, best, results = forecast.gbt_forecast(frame, "product_code", 14, n_draws=2, max_iter=5)
+    pdf = out.toPandas()
+    assert len(pdf) == 3 * 14 and len(results) == 2 and best in [r[0] for r in results]
+    naive = metrics.naive_forecast(daily, "product_code", "date", "sales").toPandas()
+    assert (pdf["actual"] - pdf["forecast"]).abs().mean() <= (naive["actual"] - naive["forecast"]).abs().mean()
