@@ -38,6 +38,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators.ordered import one_row
 from tillroll.session import checkpoint_dir
 
 ORDER_COLS = ("customer_id", "t_dat")
@@ -96,7 +97,7 @@ def item_order_counts(cells: DataFrame, item: str) -> DataFrame:
 def item_support(rows: DataFrame, item: str, order_cols=ORDER_COLS, sized: DataFrame | None = None) -> DataFrame:
     """A4 + A5: (item, item_order_cnt, support)."""
     sized = sized if sized is not None else sized_cells(rows, item, order_cols)
-    return (item_order_counts(sized, item).crossJoin(order_count_sized(sized))
+    return (item_order_counts(sized, item).crossJoin(one_row(order_count_sized(sized)))
             .select(F.col(item), "item_order_cnt",
                     (F.col("item_order_cnt") / F.col("n_order")).alias("support")))
 
@@ -242,7 +243,7 @@ def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3
     lists = partner_lists(ranked_partners(pairs, n, skip_top))
     empty = F.array().cast("array<string>")
     report = (items.join(lists, "item", "left")
-                   .crossJoin(order_count_sized(sized))
+                   .crossJoin(one_row(order_count_sized(sized)))
                    .select(
                        F.col("item").alias("items"),
                        "item_order_cnt",
@@ -269,13 +270,13 @@ def pair_metrics(rows: DataFrame, item: str = "prod_name", order_cols=ORDER_COLS
     sized = materialized_cells(rows, item, order_cols, materialize)
     pairs = pair_counts_sized(sized, item, order_cols, hot_basket_items)
     n_order = order_count_sized(sized)
-    sup = (item_order_counts(sized, item).crossJoin(n_order)
+    sup = (item_order_counts(sized, item).crossJoin(one_row(n_order))
            .select(F.col(item), "item_order_cnt", (F.col("item_order_cnt") / F.col("n_order")).alias("support")))
     a = sup.select(F.col(item).alias("item"), F.col("item_order_cnt").alias("_a_cnt"),
                    F.col("support").alias("_a_sup"))
     b = sup.select(F.col(item).alias("partner"), F.col("support").alias("_b_sup"))
     return (pairs.join(a, "item").join(b, "partner")
-                 .crossJoin(n_order)
+                 .crossJoin(one_row(n_order))
                  .select("item", "partner", "pair_cnt",
                          (F.col("pair_cnt") / F.col("_a_cnt")).alias("confidence"),
                          ((F.col("pair_cnt") / F.col("n_order")) / (F.col("_a_sup") * F.col("_b_sup"))).alias("lift")))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.ordered import running_sum_desc
+from tillroll.operators.ordered import one_row, running_sum_desc
 
 
 def distinct_counts(df: DataFrame, columns: dict[str, list[str]], exact: bool = True) -> DataFrame:
@@ -122,7 +122,7 @@ def histogram(values: DataFrame, value: str, bins: int = 100) -> DataFrame:
     adj = (F.when(F.col("_x") < edge(j), j - 1)
             .when((j < bins - 1) & (F.col("_x") >= edge(j + 1)), j + 1)
             .otherwise(j))
-    counted = b.crossJoin(stats).withColumn("bin", adj).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    counted = b.crossJoin(one_row(stats)).withColumn("bin", adj).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counted, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     width = step

@@ -13,6 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def one_row(df: DataFrame) -> DataFrame:
+    """A global aggregate (no grouping keys, so exactly one row) attached to
+    every row of another frame by ``crossJoin``: a scalar, broadcast with a
+    size bound of one row, never a product of two data-sized tables."""
+    return F.broadcast(df)
+
+
 def running_sum_desc(df: DataFrame, value: str, tie: str, out: str,
                      buckets: int = 64, summed: str | None = None) -> DataFrame:
     """``out`` = sum of ``summed`` (default ``value``) over all rows ordered
@@ -22,7 +29,7 @@ def running_sum_desc(df: DataFrame, value: str, tie: str, out: str,
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10000).alias("_bounds"))
     v = F.col(value).cast("double")
-    tagged = (df.crossJoin(bounds)
+    tagged = (df.crossJoin(one_row(bounds))
                 .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b > v)))
                 .drop("_bounds"))
     inner = (Window.partitionBy("_bucket").orderBy(F.col(value).desc(), F.col(tie))

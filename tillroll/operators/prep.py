@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.keys import hex_tail_to_long, order_instance
-from tillroll.operators.ordered import running_sum_desc
+from tillroll.operators.ordered import one_row, running_sum_desc
 from tillroll.session import checkpoint_dir
 
 ARTICLE_COLS = ["article_id", "product_code", "prod_name", "product_type_no",
@@ -51,7 +51,7 @@ def penetration(df: DataFrame, key: str, customer: str = "customer_id") -> DataF
     Output ``(key, n_customers, penetration)``; null keys are dropped as a
     pandas group-by would, but their customers count in the denominator.
     """
-    return (key_stats(df, key, customer).crossJoin(customer_total(df, customer))
+    return (key_stats(df, key, customer).crossJoin(one_row(customer_total(df, customer)))
             .select(key, "n_customers",
                     F.try_divide(F.col("n_customers"), F.col("_all_customers")).alias("penetration")))
 
@@ -97,7 +97,7 @@ def share_of_totals(totals: DataFrame, key: str) -> DataFrame:
     cum = running_sum_desc(totals, "total_sales", key, "_cum")
     grand = totals.agg(F.sum("total_sales").alias("_grand"), F.max("total_sales").alias("_top"))
     share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("_grand").cast("double"))
-    shared = (cum.crossJoin(grand.select("_grand"))
+    shared = (cum.crossJoin(one_row(grand.select("_grand")))
                  .withColumn("cum_share", share("_cum")))
     # The sums are exact decimals, so the smallest share is the top key's
     # total over the grand total and the largest is exactly grand / grand:
@@ -121,7 +121,7 @@ def with_deciles(df: DataFrame, value: str, out: str, bins: int = 10,
     binned = F.lit(1)
     for a in above:
         binned = binned + a
-    return df.crossJoin(bounds).withColumn(out, binned.cast("int")).drop("_lo", "_hi")
+    return df.crossJoin(one_row(bounds)).withColumn(out, binned.cast("int")).drop("_lo", "_hi")
 
 
 def top_share_keys(df: DataFrame, fraction: float, key: str = "product_code",
@@ -168,7 +168,7 @@ def prepare_basket_rows(transactions: DataFrame, articles: DataFrame,
         tx = with_customer_key(tx)
     keep = tx
     if penetration_min > 0 or min_cnt > 1:
-        stats = key_stats(tx, "article_id").crossJoin(customer_total(tx))
+        stats = key_stats(tx, "article_id").crossJoin(one_row(customer_total(tx)))
         cond = F.lit(True)
         if penetration_min > 0:
             cond = cond & (F.try_divide(F.col("n_customers"), F.col("_all_customers")) >= penetration_min)
@@ -206,7 +206,7 @@ def prepare_forecast_rows(transactions: DataFrame, articles: DataFrame,
         return df
     stats = key_stats(df, "product_code", value="price", date="t_dat")
     if penetration_min > 0:
-        stats = (stats.crossJoin(customer_total(df))
+        stats = (stats.crossJoin(one_row(customer_total(df)))
                       .where(F.try_divide(F.col("n_customers"), F.col("_all_customers")) >= penetration_min)
                       .drop("_all_customers"))
     if cum_sales_fraction > 0:
