@@ -41,3 +41,20 @@ def test_pair_join_sides_share_one_exchange(spark, sf_small):
 def test_report_reads_only_the_checkpointed_cells(spark, sf_small):
     body = final_plan(basket.co_purchase_report(_prepared(spark, sf_small), "prod_name", 3)).split("\n\n(")[0]
     assert "Scan parquet" not in body and "Scan ExistingRDD" in body
+
+
+def test_forecast_panel_reads_the_input_three_times(spark, sf_small):
+    import re
+    from tillroll.plans.panel_queries import product_daily
+    df = product_daily(spark, sf_small)
+    df.collect()
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain("formatted")
+    text = buf.getvalue()
+    tree = text.split("== Initial Plan ==")[0]
+    ids = set(re.findall(r"Scan parquet\s+\((\d+)\)", tree))
+    details = {blk.split(")")[0]: blk for blk in text.split("\n\n(")[1:]}
+    lineitem = [i for i in ids if "lineitem.parquet" in details.get(i, "")]
+    # statistics pass, customer total, main pass
+    assert 0 < len(lineitem) <= 3
