@@ -111,6 +111,7 @@ def pair_counts(cells: DataFrame, item: str, order_cols=ORDER_COLS,
 
 
 def sized_cells_from(cells: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
+    """Adds the basket size ``_d`` to cells built by :func:`basket_cells`."""
     w = Window.partitionBy(*order_cols)
     return cells.withColumn("_d", F.count(item).over(w))
 
