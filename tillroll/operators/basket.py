@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.operators.ordered import one_row
-from tillroll.session import checkpoint_dir
+from tillroll.session import materialise
 
 ORDER_COLS = ("customer_id", "t_dat")
 
@@ -55,15 +55,20 @@ def sized_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
     ``_d`` = distinct non-null items of the order and ``_first`` marking one
     cell per order.
 
-    The window is partitioned by the order key over *pre-aggregated* cells,
-    so a window partition holds at most one row per distinct item of one
-    order (bounded by the catalogue, not by the rows of a hot order).
+    The size is a partially aggregated count joined back, not a window, so
+    a hot order is counted map-side and its cells can be split by adaptive
+    skew handling.
     """
     cells = rows.groupBy(*order_cols, item).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*order_cols).orderBy(item)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (cells.withColumn("_d", F.count(item).over(whole))
-                 .withColumn("_first", F.row_number().over(w) == 1))
+    order = [F.col(c) for c in order_cols]
+    sizes = cells.groupBy(*order_cols).agg(F.count(item).alias("_d"),
+                                           F.min(F.struct(F.col(item).isNotNull(), item)).alias("_least"))
+    right = sizes.select(*[F.col(c).alias(f"_o_{c}") for c in order_cols], "_d", "_least")
+    same = F.lit(True)
+    for c in order_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    first = F.struct(F.col(item).isNotNull(), item).eqNullSafe(F.col("_least"))
+    return cells.join(right, same).select(*order, item, "n", "_d", first.alias("_first"))
 
 
 def materialized_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS,
@@ -73,14 +78,13 @@ def materialized_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS,
     The report reads the cells in four branches (both join sides, the item
     counts and the order count).  Column pruning makes those branches
     different plans, so Spark cannot share one exchange and would scan and
-    aggregate the input four times; a reliable checkpoint computes the cells
-    once, cuts the lineage, and survives the loss of executors.
+    aggregate the input four times; a written table computes the cells once,
+    keeps column pruning, and survives the loss of executors.
     """
     sized = sized_cells(rows, item, order_cols)
     if not materialize:
         return sized
-    checkpoint_dir(rows.sparkSession)
-    return sized.checkpoint(eager=True)
+    return materialise(sized, "cells")
 
 
 def order_count_sized(sized: DataFrame) -> DataFrame:

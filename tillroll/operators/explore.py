@@ -28,10 +28,13 @@ def distinct_counts(df: DataFrame, columns: dict[str, list[str]], exact: bool =
 def level_inventory(df: DataFrame, by: list[str], members: list[str]) -> DataFrame:
     """Per ``by`` group, the number and the sorted list of distinct
     values of each member column (lists are bounded by the catalogue)."""
-    aggs = []
+    # Duplicates go before the shuffle: what is collected is the catalogue.
+    distinct = df.where(F.col(by[0]).isNotNull()).select(*by, *members).dropDuplicates()
+    lists = distinct.groupBy(*by).agg(*[F.array_sort(F.collect_set(m)).alias(f"{m}_unique") for m in members])
+    cols = []
     for m in members:
-        aggs += [F.countDistinct(m).alias(f"{m}_nunique"), F.array_sort(F.collect_set(m)).alias(f"{m}_unique")]
-    return df.where(F.col(by[0]).isNotNull()).groupBy(*by).agg(*aggs)
+        cols += [F.size(f"{m}_unique").cast("long").alias(f"{m}_nunique"), F.col(f"{m}_unique")]
+    return lists.select(*by, *cols)
 
 
 def date_range_by(df: DataFrame, key: str, date: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact running sums over a global order without a single-task window.
 
 A window with ``orderBy`` and no ``partitionBy`` runs in one task.  Here
-the rows are cut into value ranges (bucket bounds from ``percentile_approx``
-in a one-row aggregate), each range gets its own running sum in parallel,
-and the totals of the earlier ranges (one row per bucket, so the table is
-as small as the bucket count) are added back through a broadcast join.
+the rows are range partitioned on (value, tie), written once, each range gets
+its own running sum in parallel, and the totals of the earlier ranges (one row
+per partition) are added back.  The tie column is part of the range, so any
+number of equal values is cut into as many tasks as their rows need.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import materialise
+
 
 def one_row(df: DataFrame) -> DataFrame:
     """A global aggregate (no grouping keys, so exactly one row) attached to
@@ -20,30 +22,20 @@ def one_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def running_sum_desc(df: DataFrame, value: str, tie: str, out: str,
-                     buckets: int = 64, summed: str | None = None) -> DataFrame:
+def running_sum_desc(df: DataFrame, value: str, tie: str, out: str, summed: str | None = None) -> DataFrame:
     """``out`` = sum of ``summed`` (default ``value``) over all rows ordered
     before or at this row in the order ``value`` descending, ``tie``
     ascending.  With a column of ones it is the 1-based position."""
     summed = summed or value
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10000).alias("_bounds"))
-    v = F.col(value).cast("double")
-    tagged = (df.crossJoin(one_row(bounds))
-                .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b > v)))
-                .drop("_bounds"))
-    inner = (Window.partitionBy("_bucket").orderBy(F.col(value).desc(), F.col(tie))
-                   .rowsBetween(Window.unboundedPreceding, 0))
-    within = tagged.withColumn("_within", F.sum(summed).over(inner))
-    per_bucket = tagged.groupBy("_bucket").agg(F.sum(summed).alias("_bsum"))
-    # Bucket totals: at most ``buckets`` rows, so this global window and the
-    # broadcast below are bounded by the parameter, not by the data.
-    offsets = per_bucket.withColumn(
-        "_offset",
-        F.coalesce(F.sum("_bsum").over(Window.orderBy("_bucket")
-                                        .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0).cast(per_bucket.schema["_bsum"].dataType)),
-    ).select("_bucket", "_offset")
-    return (within.join(F.broadcast(offsets), "_bucket")
+    order = [F.col(value).desc(), F.col(tie).asc()]
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy("_part").agg(F.sum(summed).alias("_sum"))
+    # One row per partition of the shuffle above.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(totals.schema["_sum"].dataType)
+    offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(before), zero).alias("_offset"))
+    return (ranged.withColumn("_within", F.sum(summed).over(within))
+                  .join(F.broadcast(offsets), "_part")
                   .withColumn(out, F.col("_offset") + F.col("_within"))
-                  .drop("_bucket", "_within", "_offset"))
+                  .drop("_part", "_within", "_offset"))

@@ -12,37 +12,47 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.keys import hex_tail_to_long, order_instance
 from tillroll.operators.ordered import one_row, running_sum_desc
-from tillroll.session import checkpoint_dir
+from tillroll.session import materialise
 
 ARTICLE_COLS = ["article_id", "product_code", "prod_name", "product_type_no",
                 "product_type_name", "product_group_name"]
 
 
-def key_stats(df: DataFrame, key: str, customer: str = "customer_id", value: str | None = None,
-              date: str | None = None) -> DataFrame:
-    """One aggregation pass: per non-null ``key`` the distinct customers
-    (``n_customers``), rows (``n_rows``) and optionally the summed ``value``
-    (``total_sales``, exact decimal) and first / last ``date``.
-
-    Distinct customers are counted in two stages, (key, customer) then key,
-    with partial aggregation in each, instead of an expanded distinct
-    aggregate; a key holding a third of all rows is combined map-side.
-    """
-    first = [F.count(F.lit(1)).alias("_rows")]
-    second = [F.count(customer).alias("n_customers"), F.sum("_rows").alias("n_rows")]
+def customer_pairs(df: DataFrame, key: str, customer: str = "customer_id", value: str | None = None,
+                   date: str | None = None) -> DataFrame:
+    """One row per (key, customer), null keys included, written once: every
+    per-key statistic and the number of all customers come from it, so the
+    input is read in a single pass.  A key holding a third of all rows is
+    combined map-side."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     if value:
-        first.append(F.sum(F.col(value).cast("decimal(18,4)")).alias("_val"))
-        second.append(F.sum("_val").alias("total_sales"))
+        aggs.append(F.sum(F.col(value).cast("decimal(18,4)")).alias("_val"))
     if date:
-        first += [F.min(date).alias("_lo"), F.max(date).alias("_hi")]
-        second += [F.min("_lo").alias("min_date"), F.max("_hi").alias("max_date")]
-    per_pair = df.where(F.col(key).isNotNull()).groupBy(key, customer).agg(*first)
-    return per_pair.groupBy(key).agg(*second)
+        aggs += [F.min(date).alias("_lo"), F.max(date).alias("_hi")]
+    return small_table(df.groupBy(key, customer).agg(*aggs))
+
+
+def key_stats(pairs: DataFrame, key: str, customer: str = "customer_id") -> DataFrame:
+    """Per non-null ``key`` of :func:`customer_pairs`: distinct customers
+    (``n_customers``), rows (``n_rows``) and, where the pairs carry them, the
+    summed value (``total_sales``, exact decimal) and first / last date."""
+    aggs = [F.count(customer).alias("n_customers"), F.sum("_rows").alias("n_rows")]
+    if "_val" in pairs.columns:
+        aggs.append(F.sum("_val").alias("total_sales"))
+    if "_lo" in pairs.columns:
+        aggs += [F.min("_lo").alias("min_date"), F.max("_hi").alias("max_date")]
+    return pairs.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
-def customer_total(df: DataFrame, customer: str = "customer_id") -> DataFrame:
-    """One row: all distinct customers of ``df`` (null keys included)."""
-    return df.agg(F.countDistinct(customer).alias("_all_customers"))
+def customer_total(pairs: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """One row: all distinct customers of :func:`customer_pairs` (those of
+    null keys included)."""
+    return pairs.agg(F.countDistinct(customer).alias("_all_customers"))
+
+
+def mean_customers(stats: DataFrame) -> DataFrame:
+    """One row: the mean number of customers over the keys of ``stats``."""
+    return stats.agg(F.avg("n_customers").alias("_mean_customers"))
 
 
 def penetration(df: DataFrame, key: str, customer: str = "customer_id") -> DataFrame:
@@ -51,7 +61,8 @@ def penetration(df: DataFrame, key: str, customer: str = "customer_id") -> DataF
     Output ``(key, n_customers, penetration)``; null keys are dropped as a
     pandas group-by would, but their customers count in the denominator.
     """
-    return (key_stats(df, key, customer).crossJoin(one_row(customer_total(df, customer)))
+    pairs = customer_pairs(df, key, customer)
+    return (key_stats(pairs, key, customer).crossJoin(one_row(customer_total(pairs, customer)))
             .select(key, "n_customers",
                     F.try_divide(F.col("n_customers"), F.col("_all_customers")).alias("penetration")))
 
@@ -62,6 +73,16 @@ def eligible_by_penetration(df: DataFrame, key: str, threshold: float,
     return penetration(df, key, customer).where(F.col("penetration") >= threshold).select(key)
 
 
+def eligible_by_relative_penetration(df: DataFrame, key: str, factor: float,
+                                     customer: str = "customer_id") -> DataFrame:
+    """P4/P5 without a scale: keys whose penetration is at least ``factor``
+    times the mean penetration over all keys, so that about the same share
+    of the keys stays however many customers there are."""
+    stats = key_stats(customer_pairs(df, key, customer), key, customer)
+    return (stats.crossJoin(one_row(mean_customers(stats)))
+                 .where(F.col("n_customers") >= factor * F.col("_mean_customers")).select(key))
+
+
 def row_counts(df: DataFrame, key: str, out: str = "counts") -> DataFrame:
     """A3: rows per key (value counts), null key dropped."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(out))
@@ -85,11 +106,10 @@ def sales_share(df: DataFrame, key: str = "product_code", value: str = "price")
 
 
 def small_table(df: DataFrame) -> DataFrame:
-    """Checkpoint an aggregated table (one row per key, or per key and day)
-    that several branches read, so the pass over the raw data that produced
-    it runs once; the write is small next to that pass."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an aggregated table (one row per key, or per key and day) that
+    several branches read, so the pass over the raw data that produced it
+    runs once; the write is small next to that pass."""
+    return materialise(df, "aggregate")
 
 
 def share_of_totals(totals: DataFrame, key: str) -> DataFrame:
@@ -154,12 +174,13 @@ def with_customer_key(transactions: DataFrame, customer: str = "customer_id") ->
 
 def prepare_basket_rows(transactions: DataFrame, articles: DataFrame,
                         penetration_min: float = 0.0, min_cnt: int = 0,
-                        convert_customer: bool = True) -> DataFrame:
+                        convert_customer: bool = True, relative_penetration: float = 0.0) -> DataFrame:
     """Transactions joined to article metadata, restricted to eligible
     articles, with the printable ``order_instance`` key.
 
     Penetration and row counts are measured on the unfiltered transactions,
-    both from one per-article statistics pass.  The keep-list is applied to
+    both from one per-article statistics pass; ``relative_penetration`` is a
+    threshold in units of the articles' mean penetration.  The keep-list is applied to
     the transactions before the article join (the result is the same: key
     and counts both come from transactions).
     """
@@ -167,10 +188,15 @@ def prepare_basket_rows(transactions: DataFrame, articles: DataFrame,
     if convert_customer:
         tx = with_customer_key(tx)
     keep = tx
-    if penetration_min > 0 or min_cnt > 1:
-        stats = key_stats(tx, "article_id").crossJoin(one_row(customer_total(tx)))
+    if penetration_min > 0 or min_cnt > 1 or relative_penetration > 0:
+        pairs = customer_pairs(tx, "article_id")
+        stats = key_stats(pairs, "article_id")
         cond = F.lit(True)
+        if relative_penetration > 0:
+            stats = stats.crossJoin(one_row(mean_customers(stats)))
+            cond = cond & (F.col("n_customers") >= relative_penetration * F.col("_mean_customers"))
         if penetration_min > 0:
+            stats = stats.crossJoin(one_row(customer_total(pairs)))
             cond = cond & (F.try_divide(F.col("n_customers"), F.col("_all_customers")) >= penetration_min)
         if min_cnt > 1:
             cond = cond & (F.col("n_rows") >= min_cnt)
@@ -183,9 +209,10 @@ def prepare_basket_rows(transactions: DataFrame, articles: DataFrame,
 def prepare_forecast_rows(transactions: DataFrame, articles: DataFrame,
                           cum_sales_fraction: float = 0.0, penetration_min: float = 0.0,
                           convert_customer: bool = True, first_by=None,
-                          last_from=None) -> DataFrame:
+                          last_from=None, relative_penetration: float = 0.0) -> DataFrame:
     """R2 (+ P8): transactions + (product_code, prod_name), restricted to
-    products with penetration >= ``penetration_min``, then to products
+    products with penetration >= ``penetration_min`` (and at least
+    ``relative_penetration`` times the products' mean), then to products
     inside the top ``cum_sales_fraction`` of the remaining sales, then (when
     ``first_by`` / ``last_from`` are given) to products first sold on or
     before ``first_by`` and last sold on or after ``last_from``.  Zero
@@ -202,11 +229,16 @@ def prepare_forecast_rows(transactions: DataFrame, articles: DataFrame,
     df = tx.join(articles.select("article_id", "product_code", "prod_name"), "article_id", "left")
     df = df.select("t_dat", "customer_id", "article_id", "price", "product_code", "prod_name")
     lifespan_filter = first_by is not None or last_from is not None
-    if not (penetration_min > 0 or cum_sales_fraction > 0 or lifespan_filter):
+    if not (penetration_min > 0 or cum_sales_fraction > 0 or lifespan_filter or relative_penetration > 0):
         return df
-    stats = key_stats(df, "product_code", value="price", date="t_dat")
+    pairs = customer_pairs(df, "product_code", value="price", date="t_dat")
+    stats = key_stats(pairs, "product_code")
+    if relative_penetration > 0:
+        stats = (stats.crossJoin(one_row(mean_customers(stats)))
+                      .where(F.col("n_customers") >= relative_penetration * F.col("_mean_customers"))
+                      .drop("_mean_customers"))
     if penetration_min > 0:
-        stats = (stats.crossJoin(one_row(customer_total(df)))
+        stats = (stats.crossJoin(one_row(customer_total(pairs)))
                       .where(F.try_divide(F.col("n_customers"), F.col("_all_customers")) >= penetration_min)
                       .drop("_all_customers"))
     if cum_sales_fraction > 0:

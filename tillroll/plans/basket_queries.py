@@ -8,37 +8,35 @@ from tillroll.functions.keys import hex_tail_to_long, order_instance
 from tillroll.operators import basket, prep
 from tillroll.plans.registry import finish, query, tables
 from tillroll.plans.sqlparts import (base, basket_report_sql, basket_stages, hex_key,
-                                     prepared_basket, tx_keyed, with_ctes)
+                                     prepared_basket, relative_keep, tx_keyed, with_ctes)
 
 # Parameters of the query set (fixed so both engines compute the same thing).
 # In the test tables rows and customers per part stay constant while the
-# number of customers grows with the scale factor, so penetration fractions
-# that split the articles at one scale remove all of them at the next.  The
-# reports therefore run over all items (penetration 0, "no filter"); the
-# filters themselves are exercised by the prepared-rows and eligibility
-# queries with thresholds that split the sf0.01 tables.
-BASKET_PENETRATION = 0.02          # prepared_rows / eligibility queries
+# number of customers grows with the scale factor, so a fixed penetration
+# that splits the articles at one scale removes all of them at the next.  The
+# thresholds are therefore given in units of the mean penetration, and the
+# reports run over all items (penetration 0, "no filter").
+RELATIVE_PENETRATION = 1.1         # prepared_rows / eligibility queries
 REPORT_PENETRATION = 0.0           # co-purchase reports: every item
 BASKET_N = 3
 LIST_ITEMS = ["red widget", "small ring", "blue bolt", "hot gear"]
-FORECAST_PENETRATION = 0.01        # the reference's forecasting threshold
-ELIGIBLE_PRODUCT_PENETRATION = 0.18
+FORECAST_PENETRATION = 0.5         # forecasting: times the mean penetration
 SHARE_FRACTION = 0.5
 LIFESPAN_FIRST_BY = "1995-01-10"
 LIFESPAN_LAST_FROM = "2001-07-20"
 MIN_CNT = 30
 
 
-def _prepared(spark, sf_dir, penetration: float = REPORT_PENETRATION):
+def _prepared(spark, sf_dir, relative: float = 0.0):
     t = tables(spark, sf_dir)
-    return prep.prepare_basket_rows(t.transactions, t.articles, penetration_min=penetration)
+    return prep.prepare_basket_rows(t.transactions, t.articles, REPORT_PENETRATION, relative_penetration=relative)
 
 
 @query("prepared_rows", with_ctes(
     "SELECT * FROM prepared",
-    *base("transactions", "articles"), *prepared_basket(BASKET_PENETRATION)))
+    *base("transactions", "articles"), *prepared_basket(relative=RELATIVE_PENETRATION)))
 def prepared_rows(spark, sf_dir):
-    return finish(_prepared(spark, sf_dir, BASKET_PENETRATION))
+    return finish(_prepared(spark, sf_dir, RELATIVE_PENETRATION))
 
 
 @query("co_purchase_report", basket_report_sql("prod_name", BASKET_N, penetration=REPORT_PENETRATION))
@@ -193,29 +191,22 @@ def penetration_q(spark, sf_dir):
     return finish(prep.penetration(prep.with_customer_key(t.transactions), "article_id"))
 
 
-@query("eligible_articles", with_ctes("""
-SELECT article_id FROM
-  (SELECT article_id, count(DISTINCT customer_id) AS nc FROM tx WHERE article_id IS NOT NULL GROUP BY article_id),
-  (SELECT count(DISTINCT customer_id) AS tot FROM tx)
-WHERE nc / tot >= 0.02""", *_TX))
+@query("eligible_articles", with_ctes(relative_keep("article_id", "tx", RELATIVE_PENETRATION), *_TX))
 def eligible_articles(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return finish(prep.eligible_by_penetration(prep.with_customer_key(t.transactions), "article_id", 0.02))
+    return finish(prep.eligible_by_relative_penetration(prep.with_customer_key(t.transactions), "article_id",
+                                                        RELATIVE_PENETRATION))
 
 
 _TXP = _TX + [("txp", "SELECT t.*, a.product_code, a.prod_name FROM tx t LEFT JOIN articles a ON t.article_id = a.article_id")]
 
 
-@query("eligible_products", with_ctes(f"""
-SELECT product_code FROM
-  (SELECT product_code, count(DISTINCT customer_id) AS nc FROM txp WHERE product_code IS NOT NULL GROUP BY product_code),
-  (SELECT count(DISTINCT customer_id) AS tot FROM txp)
-WHERE nc / tot >= {ELIGIBLE_PRODUCT_PENETRATION}""", *_TXP))
+@query("eligible_products", with_ctes(relative_keep("product_code", "txp", 1.0), *_TXP))
 def eligible_products(spark, sf_dir):
     t = tables(spark, sf_dir)
     df = prep.with_customer_key(t.transactions).join(
         t.articles.select("article_id", "product_code", "prod_name"), "article_id", "left")
-    return finish(prep.eligible_by_penetration(df, "product_code", ELIGIBLE_PRODUCT_PENETRATION))
+    return finish(prep.eligible_by_relative_penetration(df, "product_code", 1.0))
 
 
 @query("min_count_articles", with_ctes(f"""
@@ -228,13 +219,11 @@ def min_count_articles(spark, sf_dir):
 
 @query("eligible_counts", with_ctes(f"""
 SELECT CAST(count(DISTINCT article_id) AS BIGINT) AS n_eligible FROM tx
-WHERE article_id IN (SELECT article_id FROM
-  (SELECT article_id, count(DISTINCT customer_id) AS nc FROM tx WHERE article_id IS NOT NULL GROUP BY article_id),
-  (SELECT count(DISTINCT customer_id) AS tot FROM tx) WHERE nc / tot >= 0.02)
+WHERE article_id IN ({relative_keep("article_id", "tx", RELATIVE_PENETRATION)})
   AND article_id IN (SELECT article_id FROM tx GROUP BY article_id HAVING count(*) >= {MIN_CNT})""", *_TX))
 def eligible_counts(spark, sf_dir):
     t = tables(spark, sf_dir)
-    rows = prep.prepare_basket_rows(t.transactions, t.articles, 0.02, MIN_CNT)
+    rows = prep.prepare_basket_rows(t.transactions, t.articles, 0.0, MIN_CNT, relative_penetration=RELATIVE_PENETRATION)
     return finish(prep.eligible_counts(rows, "article_id"))
 
 

@@ -10,7 +10,7 @@ from tillroll.operators.calendar_dim import with_holiday_flag
 from tillroll.plans.basket_queries import (FORECAST_PENETRATION, LIFESPAN_FIRST_BY,
                                            LIFESPAN_LAST_FROM, SHARE_FRACTION)
 from tillroll.plans.registry import finish, query, tables
-from tillroll.plans.sqlparts import base, tx_keyed, with_ctes
+from tillroll.plans.sqlparts import base, relative_keep, tx_keyed, with_ctes
 
 LAGS = 30
 HORIZON = 14
@@ -18,9 +18,7 @@ HORIZON = 14
 # ---- SQL building blocks ---------------------------------------------------
 
 _TXP = [tx_keyed(), ("txp", "SELECT t.*, a.product_code, a.prod_name FROM tx t LEFT JOIN articles a ON t.article_id = a.article_id")]
-_PEN = [("pen_keep", f"""SELECT product_code FROM
-    (SELECT product_code, count(DISTINCT customer_id) AS nc FROM txp WHERE product_code IS NOT NULL GROUP BY product_code),
-    (SELECT count(DISTINCT customer_id) AS tot FROM txp) WHERE nc / tot >= {FORECAST_PENETRATION}"""),
+_PEN = [("pen_keep", relative_keep("product_code", "txp", FORECAST_PENETRATION)),
         ("pen_rows", "SELECT * FROM txp WHERE product_code IN (SELECT product_code FROM pen_keep)")]
 
 
@@ -69,12 +67,12 @@ def _txp(spark, sf_dir):
 
 def _forecast_rows(spark, sf_dir, fraction: float = 0.0):
     t = tables(spark, sf_dir)
-    return prep.prepare_forecast_rows(t.transactions, t.articles, fraction, FORECAST_PENETRATION)
+    return prep.prepare_forecast_rows(t.transactions, t.articles, fraction, relative_penetration=FORECAST_PENETRATION)
 
 
 def _long_lived_rows(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return prep.prepare_forecast_rows(t.transactions, t.articles, 0.0, FORECAST_PENETRATION,
+    return prep.prepare_forecast_rows(t.transactions, t.articles, relative_penetration=FORECAST_PENETRATION,
                                       first_by=LIFESPAN_FIRST_BY, last_from=LIFESPAN_LAST_FROM)
 
 

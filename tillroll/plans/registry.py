@@ -52,7 +52,9 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             # Through decimal(38,10) first: values that differ only in the
             # last bits (summation order) collapse before the 6-place round.
-            c = F.round(c.try_cast("decimal(38,10)"), digits).cast("double")
+            # Values that the decimal cannot hold (huge, infinite, NaN) stay.
+            rounded = F.round(c.try_cast("decimal(38,10)"), digits).cast("double")
+            c = F.when(F.abs(c) < 1e27, rounded).otherwise(c.cast("double"))
         elif isinstance(f.dataType, T.ArrayType):
             c = F.concat_ws("|", F.transform(c, lambda x: x.cast("string")))
         cols.append(c.alias(f.name))

@@ -103,7 +103,15 @@ def tx_keyed() -> tuple[str, str]:
     return ("tx", f"SELECT t_dat, {hex_key('customer_id')} AS customer_id, article_id, price FROM transactions")
 
 
-def prepared_basket(penetration: float = 0.0, min_cnt: int = 0) -> list[tuple[str, str]]:
+def relative_keep(key: str, src: str, factor: float) -> str:
+    """Keys with at least ``factor`` times the mean number of customers."""
+    return f"""
+        SELECT {key} FROM (SELECT {key}, nc, avg(nc) OVER () AS mean_nc FROM
+          (SELECT {key}, count(DISTINCT customer_id) AS nc FROM {src} WHERE {key} IS NOT NULL GROUP BY {key}))
+        WHERE nc >= {factor} * mean_nc"""
+
+
+def prepared_basket(penetration: float = 0.0, min_cnt: int = 0, relative: float = 0.0) -> list[tuple[str, str]]:
     """R1 in SQL (expects transactions/articles CTEs)."""
     conds = []
     ctes = [tx_keyed()]
@@ -115,6 +123,9 @@ def prepared_basket(penetration: float = 0.0, min_cnt: int = 0) -> list[tuple[st
               (SELECT count(DISTINCT customer_id) AS tot FROM tx) y
             WHERE nc / tot >= {penetration}"""))
         conds.append("t.article_id IN (SELECT article_id FROM pen_keep)")
+    if relative > 0:
+        ctes.append(("rel_keep", relative_keep("article_id", "tx", relative)))
+        conds.append("t.article_id IN (SELECT article_id FROM rel_keep)")
     if min_cnt > 1:
         ctes.append(("cnt_keep", f"""
             SELECT article_id FROM tx WHERE article_id IS NOT NULL
@@ -170,3 +181,53 @@ SELECT CAST(io.item AS VARCHAR) AS items, CAST(io.item_order_cnt AS BIGINT) AS i
 FROM item_orders io LEFT JOIN often o ON io.item = o.item LEFT JOIN rare r ON io.item = r.item
 CROSS JOIN n_orders n {restrict}"""
     return with_ctes(body, *ctes)
+
+
+def elimination_ctes(src: str, keep: str, k: int, name: str = "gj") -> list[tuple[str, str]]:
+    """Gauss-Jordan elimination in SQL of the normal equations in ``src``
+    (columns xx_i_j for i <= j and xy_i, all DOUBLE, and ``keep``): CTE
+    ``{name}`` has b_i (coefficients), v_i (diagonal of the inverse) and
+    ``regular``."""
+    cell = lambda i, j: f"a_{i}_{j}"
+    width = 2 * k + 1
+    first = [f"xx_{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)]
+    start = [f"{first[i * k + j]} AS {cell(i, j)}" if j < k else
+             f"xy_{i} AS {cell(i, j)}" if j == k else
+             f"CAST({int(j - k - 1 == i)} AS DOUBLE) AS {cell(i, j)}" for i in range(k) for j in range(width)]
+    diagonal = [f"xx_{i}_{i} AS d_{i}" for i in range(k)]
+    ctes = [(f"{name}_0", f"SELECT {keep}, true AS regular, {', '.join(diagonal)}, {', '.join(start)} FROM {src}")]
+    ds = ", ".join(f"d_{i}" for i in range(k))
+    for p in range(k):
+        row = {j: f"({cell(p, j)} / CASE WHEN regular AND {cell(p, p)} > 1e-9 * d_{p} THEN {cell(p, p)} ELSE 1.0 END)"
+               for j in range(width)}
+        cells = [f"{row[j] if i == p else f'{cell(i, j)} - {cell(i, p)} * {row[j]}'} AS {cell(i, j)}"
+                 for i in range(k) for j in range(width)]
+        ctes.append((f"{name}_{p + 1}", f"SELECT {keep}, regular AND {cell(p, p)} > 1e-9 * d_{p} AS regular, {ds}, "
+                                        f"{', '.join(cells)} FROM {name}_{p}"))
+    out = [f"{cell(i, k)} AS b_{i}, {cell(i, k + 1 + i)} AS v_{i}" for i in range(k)]
+    return ctes + [(name, f"SELECT {keep}, regular, {', '.join(out)} FROM {name}_{k}")]
+
+
+def ols_ctes(design: str, group: str, ps: list[str]) -> list[tuple[str, str]]:
+    """The no-intercept regressions of ``no_intercept_ols`` over CTE
+    ``design`` (group, y, ps): CTE ``ols`` with one row per regressor."""
+    k = len(ps)
+    x = {p: f"CAST({p} AS DECIMAL(18,4))" for p in ps}
+    y = "CAST(y AS DECIMAL(18,8))"
+    sums = [f"CAST(sum({x[a]} * {x[b]}) AS DOUBLE) AS xx_{i}_{j}" for i, a in enumerate(ps) for j, b in enumerate(ps) if j >= i]
+    sums += [f"CAST(sum({x[a]} * {y}) AS DOUBLE) AS xy_{i}" for i, a in enumerate(ps)]
+    xys = ", ".join(f"xy_{i}" for i in range(k))
+    fitted = "0.0::DOUBLE" + "".join(f" + b_{i} * xy_{i}" for i in range(k))
+    rows = ", ".join(f"('{p}', b_{i}, v_{i})" for i, p in enumerate(ps))
+    return [
+        ("moments", f"SELECT {group}, {', '.join(sums)}, CAST(sum({y} * {y}) AS DOUBLE) AS yy, count(*) AS n "
+                    f"FROM {design} GROUP BY {group}"),
+        *elimination_ctes("moments", f"{group}, yy, n, {xys}", k),
+        ("fit", f"SELECT *, greatest(yy - ({fitted}), 0.0) AS ssr FROM gj"),
+        ("fit_rows", f"""SELECT {group}, r.regressor, CASE WHEN regular THEN r.b END AS coef, n, yy, ssr, regular,
+                  CASE WHEN regular AND n > {k} THEN sqrt(greatest(ssr / (n - {k}) * r.v, 0.0)) END AS std_err
+                  FROM fit, LATERAL (VALUES {rows}) r(regressor, b, v)"""),
+        ("ols", f"""SELECT {group}, regressor, {r6('coef')} AS coef, {r6('std_err')} AS std_err,
+                  {r6('CASE WHEN std_err > 0 THEN coef / std_err END')} AS t_value, CAST(n AS BIGINT) AS n_obs,
+                  {r6('CASE WHEN regular AND yy > 0 THEN 1 - ssr / yy END')} AS r2_uncentered FROM fit_rows"""),
+    ]

@@ -81,3 +81,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
+
+def materialise(df, name: str = "table"):
+    """Write ``df`` as Parquet to the shared folder and read it back: one
+    computation for several readers, with column pruning, filter push-down
+    and size statistics, and nothing to recompute when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
