@@ -97,10 +97,13 @@ def with_week_of_horizon(df: DataFrame, day: str = "day", out: str = "week") ->
 
 
 def wide_actual_prediction(backtest: DataFrame, key: str, day: str = "day",
-                           actual: str = "actual", forecast: str = "forecast") -> DataFrame:
+                           actual: str = "actual", forecast: str = "forecast", keys=None) -> DataFrame:
     """One row per horizon day, columns ``actual_{key}`` and
     ``prediction_{key}``.  The frame is first made long with a column-name
-    value, then pivoted once (the key list is discovered by Spark)."""
+    value, then pivoted once over explicit names, so no pivot limit applies.
+    ``keys`` names the columns; by default they are the distinct keys (the
+    wide table has one pair of columns for each, so the list is as bounded as
+    its header)."""
     k = F.col(key).cast("string")
     long = backtest.select(
         day, F.explode(F.array(
@@ -108,4 +111,13 @@ def wide_actual_prediction(backtest: DataFrame, key: str, day: str = "day",
             F.struct(F.concat(F.lit("prediction_"), k).alias("name"), F.col(forecast).cast("double").alias("v")),
         )).alias("_kv"))
     flat = long.select(day, F.col("_kv.name").alias("_name"), F.col("_kv.v").alias("_v"))
-    return flat.groupBy(day).pivot("_name").agg(F.first("_v"))
+    if keys is None:
+        keys = [r[0] for r in backtest.select(key).distinct().orderBy(key).collect()]
+    names = [f"{kind}_{k}" for kind in ("actual", "prediction") for k in keys]
+    return flat.groupBy(day).pivot("_name", names).agg(F.first("_v", ignorenulls=True))
+
+
+def long_form(wide: DataFrame, row: str) -> DataFrame:
+    """(row, name, v) of a wide table's cells that hold a value."""
+    values = [F.col(f"`{c}`") for c in wide.columns if c != row]
+    return wide.unpivot(row, values, "name", "v").where("v IS NOT NULL")

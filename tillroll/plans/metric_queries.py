@@ -78,11 +78,13 @@ def mean_actual_vs_forecast(spark, sf_dir):
 
 
 @query("wide_actual_prediction", with_ctes("""
-PIVOT (SELECT day, 'actual_' || CAST(product_code AS VARCHAR) AS name, actual AS v FROM nf
-       UNION ALL SELECT day, 'prediction_' || CAST(product_code AS VARCHAR) AS name, forecast AS v FROM nf)
-ON name USING first(v) GROUP BY day""", *_NF))
+SELECT * FROM (SELECT day, 'actual_' || CAST(product_code AS VARCHAR) AS name, actual AS v FROM nf
+               UNION ALL SELECT day, 'prediction_' || CAST(product_code AS VARCHAR) AS name, forecast AS v FROM nf)
+WHERE v IS NOT NULL""", *_NF))
 def wide_actual_prediction(spark, sf_dir):
-    return finish(metrics.wide_actual_prediction(product_backtest(spark, sf_dir), "product_code"))
+    """The wide table, reported by its cells (its columns depend on the data)."""
+    backtest = small_table(product_backtest(spark, sf_dir))
+    return finish(metrics.long_form(metrics.wide_actual_prediction(backtest, "product_code"), "day"))
 
 
 @query("style_errors", with_ctes("""
