@@ -3,8 +3,8 @@ F10-F12, F17, F18).
 
 The own/cross price regressions do not loop over styles: the normal
 equations (X'X, X'y, y'y and n) of every style are one grouped aggregate,
-and only the k x k solves (one small row per style) run in a grouped
-pandas function.
+and only the k x k solves (one small row per style) run in numpy, a batch of
+styles at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import month_abbr, season_of_month
 from tillroll.functions.keys import l3_l4_key
+from tillroll.functions.linear import solve_normal, t_test_p
 from tillroll.functions.numeric import round_half_even
 
 
@@ -61,13 +62,14 @@ def sensitivity_by_holiday(panel: DataFrame) -> DataFrame:
 
 def sensitivity_by_month(panel: DataFrame, date: str = "transaction_date") -> DataFrame:
     """A18 + F10 + O2: per (l3_l4, month) units max/min/mean and mean price,
-    with the month abbreviation, ordered by (l3_l4, month)."""
+    with the month abbreviation (the query that reports it sorts by
+    (l3_l4, month))."""
     out = (with_l3_l4(panel).withColumn("month", F.month(date))
            .groupBy("l3_l4", "month").agg(
                F.max("units_sold").alias("units_sold_max"), F.min("units_sold").alias("units_sold_min"),
                F.avg("units_sold").alias("units_sold_mean"), F.avg("final_price").alias("final_price_mean")))
     name = month_abbr(F.make_date(F.lit(2000), F.col("month"), F.lit(1)))
-    return out.withColumn("month_name", name).orderBy("l3_l4", "month")
+    return out.withColumn("month_name", name)
 
 
 def sensitivity_by_price(panel: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def style_labels(panel: DataFrame, key: str = "style_group") -> DataFrame:
     The position is computed hierarchically: a row number inside each
     level3 group (in parallel across groups) plus the number of styles in
     the level3 groups before it, from a running sum over one row per level3
-    value that is broadcast back.
+    value that is joined back.
     """
     styles = panel.select("level3", "level4", key).distinct()
     within = styles.withColumn("_r", F.row_number().over(Window.partitionBy("level3").orderBy("level4", key)))
@@ -124,7 +126,7 @@ def style_labels(panel: DataFrame, key: str = "style_group") -> DataFrame:
     offsets = sizes.select("level3", F.coalesce(
         F.sum("_size").over(Window.orderBy("level3").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
-    ranked = within.join(F.broadcast(offsets), within["level3"].eqNullSafe(offsets["level3"])) \
+    ranked = within.join(offsets, within["level3"].eqNullSafe(offsets["level3"])) \
         .select(within["level3"], "level4", key, (F.col("_r") + F.col("_off")).alias("style_rank"))
     return ranked.select(key, "level3", "level4",
                          F.concat(F.lit("style_"), F.col("style_rank").cast("string")).alias("style_label"),
@@ -132,17 +134,21 @@ def style_labels(panel: DataFrame, key: str = "style_group") -> DataFrame:
 
 
 def cross_price_wide(panel: DataFrame, labels: DataFrame, key: str = "style_group",
-                     date: str = "transaction_date") -> DataFrame:
+                     date: str = "transaction_date", names=None) -> DataFrame:
     """T16 (+ N21): date x style wide table with ``sales_price_{label}`` and
     ``units_sold_{label}``; (date, style) is unique in the panel, otherwise
-    prices are averaged and units summed first."""
+    prices are averaged and units summed first.  ``names`` are the labels to
+    give columns, by default all (one pair of columns each)."""
     per = (panel.groupBy(key, date).agg(F.avg("sales_price").alias("sales_price"), F.sum("units_sold").alias("units_sold"))
                 .join(labels.select(key, "style_label"), key))
     long = per.select(date, F.explode(F.array(
         F.struct(F.concat(F.lit("sales_price_"), F.col("style_label")).alias("name"), F.col("sales_price").cast("double").alias("v")),
         F.struct(F.concat(F.lit("units_sold_"), F.col("style_label")).alias("name"), F.col("units_sold").cast("double").alias("v")),
     )).alias("_kv")).select(date, F.col("_kv.name").alias("_name"), F.col("_kv.v").alias("_v"))
-    return long.groupBy(date).pivot("_name").agg(F.first("_v"))
+    if names is None:
+        names = [r[0] for r in labels.orderBy("style_rank").select("style_label").collect()]
+    columns = [f"{kind}_{n}" for kind in ("sales_price", "units_sold") for n in names]
+    return long.groupBy(date).pivot("_name", columns).agg(F.first("_v", ignorenulls=True))
 
 
 def ranked_prices(panel: DataFrame, level: str, date: str = "transaction_date",
@@ -157,12 +163,13 @@ def ranked_prices(panel: DataFrame, level: str, date: str = "transaction_date",
 
 def regression_design(target: DataFrame, prices: DataFrame, n_prices: int,
                       group: str = "style_label", date: str = "transaction_date",
-                      y: str = "units_sold", log_target: bool = False) -> DataFrame:
-    """Complete-case rows ``(group, date, y, p_1..p_k)``.
+                      y: str = "units_sold", log_target: bool = False, own: str | None = None) -> DataFrame:
+    """Complete-case rows ``(group, date, y, [p_own], p_1..p_k)``.
 
     ``prices`` holds ``(date, rank, price)``; p_j is the price ranked j on
-    that date.  Only dates with all k prices are kept (``dropna``), and only
-    rows where the regressed group has a value.
+    that date; ``own`` names the target's own price.  Only dates with all k
+    prices are kept (``dropna``), and only rows where the regressed group has
+    a value.
     """
     wide = (prices.where(F.col("rank") <= n_prices)
                   .groupBy(date).agg(*[F.max(F.when(F.col("rank") == j, F.col("price"))).alias(f"p_{j}")
@@ -171,51 +178,65 @@ def regression_design(target: DataFrame, prices: DataFrame, n_prices: int,
     yv = F.col(y).cast("double")
     if log_target:
         yv = F.log1p(yv)
-    tgt = target.where(F.col(y).isNotNull()).select(group, date, yv.alias("y"))
-    return tgt.join(complete, date)
-
-
-def no_intercept_ols(design: DataFrame, n_prices: int, group: str = "style_label") -> DataFrame:
-    """Per group, least squares ``y ~ p_1 + .. + p_k`` without
-    intercept.  Output ``(group, regressor, coef, std_err, t_value, n_obs,
-    r2_uncentered)``.
-
-    The sums forming X'X, X'y and y'y are one Spark aggregate per group; the
-    solve (with column scaling for conditioning) is a grouped pandas
-    function over one row per group.
+    mine = [F.col(own).cast("double").alias("p_own")] if own else []
+    kept = target.where(F.col(y).isNotNull())
+    if own:
+        kept = kept.where(F.col(own).isNotNull())
+    return kept.select(group, date, yv.alias("y"), *mine).join(complete, date)
+
+
+def no_intercept_ols(design: DataFrame, n_prices: int, group: str = "style_label", own: bool = False) -> DataFrame:
+    """Per group, least squares ``y ~ [p_own +] p_1 + .. + p_k``
+    without intercept.  Output ``(group, regressor, coef, std_err, t_value,
+    p_value, n_obs, r2_uncentered)``; the estimates of a group whose
+    regressors are linearly dependent are null.
+
+    The sums forming X'X, X'y and y'y are one Spark aggregate per group, over
+    decimals (prices to 4 places, the target to 8), so that they are exact.
+    One row per group is left; the systems of a batch of groups are solved
+    together.
     """
-    ps = [f"p_{j}" for j in range(1, n_prices + 1)]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"xx_{i}_{j}") for i, a in enumerate(ps) for j, b in enumerate(ps) if j >= i]
-    sums += [F.sum(F.col(a) * F.col("y")).alias(f"xy_{i}") for i, a in enumerate(ps)]
-    sums += [F.sum(F.col("y") * F.col("y")).alias("yy"), F.count(F.lit(1)).alias("n")]
-    normal = design.groupBy(group).agg(*sums)
-    k = n_prices
-    schema = f"{group} string, regressor string, coef double, std_err double, t_value double, n_obs long, r2_uncentered double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            xx = np.zeros((k, k))
+    ps = ["p_own"] * own + [f"p_{j}" for j in range(1, n_prices + 1)]
+    k = len(ps)
+    exact = design.select(group, *[F.col(p).cast("decimal(18,4)").alias(p) for p in ps],
+                          F.col("y").cast("decimal(18,8)").alias("y"))
+    sums = [F.sum(F.col(a) * F.col(b)).cast("double").alias(f"xx_{i}_{j}")
+            for i, a in enumerate(ps) for j, b in enumerate(ps) if j >= i]
+    sums += [F.sum(F.col(a) * F.col("y")).cast("double").alias(f"xy_{i}") for i, a in enumerate(ps)]
+    sums += [F.sum(F.col("y") * F.col("y")).cast("double").alias("yy"), F.count(F.lit(1)).alias("n")]
+    normal = exact.groupBy(group).agg(*sums)
+    schema = (f"{group} string, regressor string, coef double, std_err double, t_value double, p_value double, "
+              "n_obs long, r2_uncentered double")
+
+    def solve(batches):
+        for pdf in batches:
+            xx = np.stack([np.stack([pdf[f"xx_{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(k)], 1)
+                           for i in range(k)], 1)
+            xy = np.stack([pdf[f"xy_{i}"].to_numpy(float) for i in range(k)], 1)
+            yy, n = pdf["yy"].to_numpy(float), pdf["n"].to_numpy(np.int64)
+            beta, inverse, regular = solve_normal(xx, xy)
+            fitted = np.zeros(len(pdf))
             for i in range(k):
-                for j in range(i, k):
-                    xx[i, j] = xx[j, i] = r[f"xx_{i}_{j}"]
-            xy = np.array([r[f"xy_{i}"] for i in range(k)])
-            n = int(r["n"])
-            scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
-            a = xx / np.outer(scale, scale)
-            inv = np.linalg.pinv(a)
-            beta = (inv @ (xy / scale)) / scale
-            ssr = max(float(r["yy"] - 2 * beta @ xy + beta @ xx @ beta), 0.0)
+                fitted = fitted + beta[:, i] * xy[:, i]
+            ssr = np.maximum(yy - fitted, 0.0)
             dof = n - k
-            sigma2 = ssr / dof if dof > 0 else np.nan
-            se = np.sqrt(np.clip(np.diag(inv) / scale ** 2 * sigma2, 0, None))
-            r2 = 1 - ssr / r["yy"] if r["yy"] > 0 else np.nan
-            for j in range(k):
-                out.append((r[group], ps[j], float(beta[j]), float(se[j]),
-                            float(beta[j] / se[j]) if se[j] > 0 else np.nan, n, float(r2)))
-        return pd.DataFrame(out, columns=[group, "regressor", "coef", "std_err", "t_value", "n_obs", "r2_uncentered"])
-
-    return normal.groupBy(group).applyInPandas(solve, schema)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sigma2 = np.where(dof > 0, ssr / dof, np.nan)
+                se = np.sqrt(np.maximum(sigma2[:, None] * inverse, 0.0))
+                t = np.where(se > 0, beta / se, np.nan)
+                r2 = np.where(yy > 0, 1 - ssr / yy, np.nan)
+            p = t_test_p(t, dof[:, None] + np.zeros_like(t))
+            keep = np.where(regular[:, None], 1.0, np.nan)
+            yield pd.DataFrame({
+                group: np.repeat(pdf[group].to_numpy(), k), "regressor": np.tile(ps, len(pdf)),
+                "coef": (beta * keep).ravel(), "std_err": (se * keep).ravel(), "t_value": (t * keep).ravel(),
+                "p_value": (p * keep).ravel(), "n_obs": np.repeat(n, k),
+                "r2_uncentered": np.repeat(r2 * keep[:, 0], k)})
+
+    found = normal.mapInPandas(solve, schema)
+    # NaN marks what is undefined inside numpy; the result has nulls.
+    numbers = ["coef", "std_err", "t_value", "p_value", "r2_uncentered"]
+    return found.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in numbers else F.col(c) for c in found.columns])
 
 
 def l3_l4_panel(panel: DataFrame, date: str = "transaction_date") -> DataFrame:

@@ -1,10 +1,9 @@
 """Time-series analysis per series key.
 
-Decomposition, deseasonalising and detrending are window and aggregate
-expressions.  The periodogram and the ADF regression need an FFT and a
-small least-squares solve per series; they run as grouped pandas functions
-(Arrow batches, one group = one key's daily or weekly series, whose length
-is bounded by the number of days in the history).
+Decomposition, deseasonalising, detrending and the periodogram are window and
+aggregate expressions.  The lags and normal equations of the ADF regression
+are too; its small solves (one row per series) run in numpy, a batch of series
+at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tillroll.functions.linear import normal_cdf, solve_normal
+from tillroll.operators.prep import small_table
 
 
 def _indexed(panel: DataFrame, key: str, order_col: str, out: str = "_t") -> DataFrame:
@@ -82,28 +83,21 @@ def periodogram(panel: DataFrame, key: str, order_col: str, value: str,
     line; frequencies in cycles per year.  ``power_k = m |sum y_t
     exp(-2 pi i k t / n)|^2 / n^2`` with m = 2 except k = 0 and k = n/2.
 
-    One grouped pandas call per key (an FFT over that key's rows).
+    The sums are a partially aggregated group over (key, frequency); a key's
+    work is bounded by the square of the days in its history.
     """
-    key_type = panel.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, k int, frequency double, power double"
-
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_col)
-        y = pdf[value].to_numpy(dtype="float64")
-        n = len(y)
-        if n < 2:
-            return pd.DataFrame({key: [], "k": [], "frequency": [], "power": []})
-        t = np.arange(n, dtype="float64")
-        slope, intercept = np.polyfit(t, y, 1)
-        resid = y - (intercept + slope * t)
-        coef = np.fft.rfft(resid)
-        k = np.arange(len(coef))
-        scale = np.where((k == 0) | ((n % 2 == 0) & (k == n // 2)), 1.0, 2.0)
-        power = scale * np.abs(coef) ** 2 / n ** 2
-        return pd.DataFrame({key: pdf[key].iloc[0], "k": k.astype("int32"),
-                             "frequency": samples_per_year * k / n, "power": power})
-
-    return panel.select(key, order_col, value).groupBy(key).applyInPandas(spectrum, schema)
+    rest = linear_detrend(panel, key, order_col, value).select(key, (F.col("t") - 1).alias("_t"), F.col("detrended").alias("_r"))
+    size = rest.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    half = F.floor(F.col("_n") / 2).cast("int")
+    rows = rest.join(size, key).select(key, "_n", "_t", "_r", F.explode(F.sequence(F.lit(0), half)).alias("k"))
+    # k t is reduced modulo n first, so the angle stays small and exact.
+    angle = 2 * F.pi() * F.pmod(F.col("k").cast("long") * F.col("_t"), F.col("_n")) / F.col("_n")
+    sums = rows.groupBy(key, "_n", "k").agg(F.sum(F.col("_r") * F.cos(angle)).alias("_c"),
+                                            F.sum(F.col("_r") * F.sin(angle)).alias("_s"))
+    n = F.col("_n").cast("double")
+    scale = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("_n")), 1.0).otherwise(2.0)
+    return sums.select(key, "k", (samples_per_year * F.col("k") / n).alias("frequency"),
+                       (scale * (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / (n * n)).alias("power"))
 
 
 # MacKinnon (2010) response-surface coefficients for the
@@ -116,12 +110,64 @@ ADF_CRITICAL_CONSTANT = [
 ]
 
 
+# MacKinnon (1994) p-value surface of the same statistic: the
+# statistic below which the first polynomial holds, its range, and the
+# coefficients, in ascending powers, whose value goes through the normal
+# distribution.
+ADF_P_SPLIT, ADF_P_MIN, ADF_P_MAX = -1.61, -18.83, 2.74
+ADF_P_LOW = [2.1659, 1.4412, 0.038269]
+ADF_P_HIGH = [1.7339, 0.93202, -0.12745, -0.010368]
+
+
+def adf_p_value(stat: float) -> float:
+    if not np.isfinite(stat):
+        return float("nan")
+    if stat > ADF_P_MAX or stat < ADF_P_MIN:
+        return 1.0 if stat > ADF_P_MAX else 0.0
+    powers = ADF_P_LOW if stat <= ADF_P_SPLIT else ADF_P_HIGH
+    return normal_cdf(sum(c * stat ** i for i, c in enumerate(powers)))
+
+
 def default_max_lag(n: int) -> int:
     """Schwert's rule ceil(12 (n/100)^(1/4)), capped so the regression with
     a constant keeps enough observations (n // 2 - 2)."""
     return int(max(0, min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))))
 
 
+def _adf_moments(lagged: DataFrame, key: str, lags: int, lag_col: str) -> DataFrame:
+    """Per key the sums of products of 1, y(t-1), dy(t-1) .. dy(t-lags) and
+    dy(t) over the rows where the key's ``lag_col`` lags exist; lags beyond
+    that are taken as 0."""
+    inside = F.col("_t") >= F.col(lag_col) + 2
+    names = ["_one", "_level", *[f"_d{j}" for j in range(1, lags + 1)], "_dy"]
+    rows = lagged.where(inside).select(
+        key, lag_col, F.lit(1.0).alias("_one"), "_level",
+        *[F.when(F.col(lag_col) >= j, F.col(f"_d{j}")).otherwise(0.0).alias(f"_d{j}") for j in range(1, lags + 1)], "_dy")
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"m_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
+    return rows.groupBy(key, lag_col).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def _adf_matrix(pdf: pd.DataFrame, size: int) -> np.ndarray:
+    return np.stack([np.stack([pdf[f"m_{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(size)], 1)
+                     for i in range(size)], 1)
+
+
+def _adf_fit(m: np.ndarray, n: np.ndarray, lags: int):
+    """Statistic and residual sum of squares with ``lags`` lags, for stacked
+    moment matrices whose last row belongs to dy."""
+    keep = np.arange(2 + lags)
+    beta, inverse, regular = solve_normal(m[:, keep][:, :, keep], m[:, keep, -1])
+    fitted = np.zeros(len(m))
+    for i in keep:
+        fitted = fitted + beta[:, i] * m[:, i, -1]
+    ssr = np.maximum(m[:, -1, -1] - fitted, 0.0)
+    dof = n - 2 - lags
+    with np.errstate(divide="ignore", invalid="ignore"):
+        se = np.sqrt(np.where(dof > 0, ssr / dof, np.nan) * inverse[:, 1])
+        stat = np.where(regular & (se > 0), beta[:, 1] / se, np.nan)
+    return stat, ssr
+
+
 def adf_test(panel: DataFrame, key: str, order_col: str, value: str,
              max_lag: int | None = None, autolag: bool = True) -> DataFrame:
     """Augmented Dickey-Fuller regression with a constant per key.
@@ -130,55 +176,65 @@ def adf_test(panel: DataFrame, key: str, order_col: str, value: str,
     t-value of y_{t-1}.  With ``autolag`` p is chosen in 0..max_lag by AIC on
     a common sample (the last n - max_lag - 1 observations), then refit on
     all usable rows.  ``max_lag=None`` applies :func:`default_max_lag` to
-    each series' length.  Critical values from the published response surface;
-    the p-value is not computed.
+    each series' length.  Critical values and the p-value come from the
+    published response surfaces.
+
+    Lags and differences are windows, the normal equations one aggregate per
+    key; what is left (one row per key) is solved in batches.
     """
-    max_lag_arg = max_lag
+    w = Window.partitionBy(key).orderBy(order_col)
+    y = F.col(value).cast("double")
+    idx = panel.select(key, F.col(order_col), y.alias("_y")).withColumn("_t", F.row_number().over(w)) \
+               .withColumn("_level", F.lag("_y").over(w))
+    sizes = small_table(idx.groupBy(key).agg(F.count(F.lit(1)).alias("_size")))
+    longest = sizes.agg(F.max("_size")).first()[0] or 0  # one number
+    limit = [max_lag if max_lag is not None else default_max_lag(n) for n in range(longest + 1)]
+    lags = max(limit, default=0)
+    cap = F.lit(max_lag) if max_lag is not None else F.least(
+        F.floor(F.col("_size") / 2) - 2, F.ceil(12 * F.pow(F.col("_size") / 100, F.lit(0.25))))
+    caps = sizes.select(key, F.greatest(F.lit(0), cap).cast("int").alias("_cap"), "_size") \
+                .withColumn("_fits", F.col("_size") >= F.col("_cap") + 4)
+    lagged = idx.withColumn("_dy", F.col("_y") - F.col("_level"))
+    lagged = small_table(lagged.select(key, "_t", "_level", "_dy", *[F.coalesce(F.lag("_dy", j).over(w), F.lit(0.0)).alias(f"_d{j}")
+                                                                    for j in range(1, lags + 1)]))
     key_type = panel.schema[key].dataType.simpleString()
-    schema = (f"{key} {key_type}, adf_stat double, used_lag int, n_obs int, "
+    usable = caps.where("_fits")
+
+    def choose(batches):
+        for pdf in batches:
+            m, n, cap_of = _adf_matrix(pdf, lags + 3), pdf["n"].to_numpy(float), pdf["_cap"].to_numpy()
+            best = np.full(len(pdf), np.inf)
+            used = np.zeros(len(pdf), np.int64)
+            for p in range(lags + 1):
+                _, ssr = _adf_fit(m, n, p)
+                aic = n * np.log(np.where(ssr > 0, ssr / n, 1e-300)) + 2 * (2 + p)
+                better = (p <= cap_of) & (aic < best)
+                best, used = np.where(better, aic, best), np.where(better, p, used)
+            yield pd.DataFrame({key: pdf[key], "_lag": used.astype("int32")})
+
+    def test(batches):
+        for pdf in batches:
+            m, n, used = _adf_matrix(pdf, lags + 3), pdf["n"].to_numpy(float), pdf["_lag"].to_numpy()
+            stat = np.full(len(pdf), np.nan)
+            for p in np.unique(used):
+                pick = used == p
+                stat[pick] = _adf_fit(m[pick], n[pick], int(p))[0]
+            out = {key: pdf[key], "adf_stat": stat, "p_value": [adf_p_value(s) for s in stat],
+                   "used_lag": used.astype("int32"), "n_obs": n.astype("int32")}
+            for level, c0, c1, c2, c3 in ADF_CRITICAL_CONSTANT:
+                out[f"crit_{level[:-1]}pct"] = c0 + c1 / n + c2 / n ** 2 + c3 / n ** 3
+            yield pd.DataFrame(out)
+
+    if autolag:
+        chosen = _adf_moments(lagged.join(usable, key), key, lags, "_cap").mapInPandas(choose, f"{key} {key_type}, _lag int")
+    else:
+        chosen = usable.select(key, F.col("_cap").alias("_lag"))
+    found = _adf_moments(lagged.join(chosen, key), key, lags, "_lag").mapInPandas(
+        test, f"{key} {key_type}, adf_stat double, p_value double, used_lag int, n_obs int, "
               "crit_1pct double, crit_5pct double, crit_10pct double")
-
-    def fit(yv: np.ndarray, dy: np.ndarray, p: int, start: int):
-        rows = []
-        for t in range(start, len(yv)):
-            rows.append([1.0, yv[t - 1]] + [dy[t - 1 - j] for j in range(1, p + 1)])
-        X = np.asarray(rows)
-        target = dy[start - 1:len(yv) - 1]
-        beta, _, rank, _ = np.linalg.lstsq(X, target, rcond=None)
-        resid = target - X @ beta
-        nobs, k = X.shape
-        ssr = float(resid @ resid)
-        sigma2 = ssr / max(nobs - k, 1)
-        cov = sigma2 * np.linalg.pinv(X.T @ X)
-        se = np.sqrt(max(cov[1, 1], 0.0))
-        stat = beta[1] / se if se > 0 else np.nan
-        aic = nobs * np.log(ssr / nobs if ssr > 0 else 1e-300) + 2 * k
-        return stat, aic, nobs
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_col)
-        yv = pdf[value].to_numpy(dtype="float64")
-        dy = np.diff(yv)  # dy[t-1] = y_t - y_{t-1}
-        n = len(yv)
-        max_lag = max_lag_arg if max_lag_arg is not None else default_max_lag(n)
-        empty = pd.DataFrame({key: [pdf[key].iloc[0]], "adf_stat": [np.nan], "used_lag": [None],
-                              "n_obs": [0], "crit_1pct": [np.nan], "crit_5pct": [np.nan],
-                              "crit_10pct": [np.nan]})
-        if n < max_lag + 4:
-            return empty
-        lag = max_lag
-        if autolag:
-            best = None
-            for p in range(0, max_lag + 1):
-                _, aic, _ = fit(yv, dy, p, max_lag + 1)
-                if best is None or aic < best[0]:
-                    best = (aic, p)
-            lag = best[1]
-        stat, _, nobs = fit(yv, dy, lag, lag + 1)
-        crit = {lvl: c0 + c1 / nobs + c2 / nobs ** 2 + c3 / nobs ** 3
-                for lvl, c0, c1, c2, c3 in ADF_CRITICAL_CONSTANT}
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "adf_stat": [float(stat)], "used_lag": [int(lag)],
-                             "n_obs": [int(nobs)], "crit_1pct": [crit["1%"]],
-                             "crit_5pct": [crit["5%"]], "crit_10pct": [crit["10%"]]})
-
-    return panel.select(key, order_col, value).groupBy(key).applyInPandas(one, schema)
+    # Series too short for the lags keep a row of nulls.
+    numbers = ["adf_stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct"]
+    joined = caps.select(key).join(found, key, "left")
+    return joined.select(key, *[F.when(~F.isnan(c), F.col(c)).alias(c) if c in numbers else
+                                F.coalesce(c, F.lit(0)).alias(c) if c == "n_obs" else F.col(c)
+                                for c in found.columns if c != key])

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillroll.operators import elasticity, panel
+from tillroll.operators import elasticity, metrics, panel
 from tillroll.operators.calendar_dim import with_holiday_flag
 from tillroll.operators.prep import small_table
 from tillroll.plans.panel_queries import _STYLE, style_panel
 from tillroll.plans.registry import finish, query, tables
-from tillroll.plans.sqlparts import with_ctes
+from tillroll.plans.sqlparts import ols_ctes, with_ctes
 
 N_CROSS_PRICES = 8
 N_L3_PRICES = 4
@@ -70,7 +70,7 @@ SELECT l3_l4, month, strftime(make_date(2000, month, 1), '%b') AS month_name, CA
        CAST(units_sold_min AS BIGINT) AS units_sold_min, CAST(round(CAST(units_sold_mean AS DECIMAL(38,10)), 6) AS DOUBLE) AS units_sold_mean,
        CAST(round(CAST(final_price_mean AS DECIMAL(38,10)), 6) AS DOUBLE) AS final_price_mean FROM bym""", *_SP, *_MONTH))
 def sensitivity_month(spark, sf_dir):
-    return finish(elasticity.sensitivity_by_month(style_panel(spark, sf_dir)))
+    return finish(elasticity.sensitivity_by_month(style_panel(spark, sf_dir))).orderBy("l3_l4", "month")
 
 
 @query("sensitivity_price", with_ctes("""
@@ -113,15 +113,16 @@ def style_labels(spark, sf_dir):
 
 
 @query("cross_price_wide", with_ctes("""
-PIVOT (SELECT transaction_date, 'sales_price_style_' || CAST(style_rank AS VARCHAR) AS name, CAST(sales_price AS DOUBLE) AS v
-       FROM sp JOIN style_lbl USING (style_group)
-       UNION ALL
-       SELECT transaction_date, 'units_sold_style_' || CAST(style_rank AS VARCHAR) AS name, CAST(units_sold AS DOUBLE) AS v
-       FROM sp JOIN style_lbl USING (style_group))
-ON name USING first(v) GROUP BY transaction_date""", *_STYLE, _LABELS))
+SELECT transaction_date, 'sales_price_style_' || CAST(style_rank AS VARCHAR) AS name,
+       CAST(round(CAST(sales_price AS DECIMAL(38,10)), 6) AS DOUBLE) AS v FROM sp JOIN style_lbl USING (style_group)
+UNION ALL
+SELECT transaction_date, 'units_sold_style_' || CAST(style_rank AS VARCHAR) AS name, CAST(units_sold AS DOUBLE) AS v
+FROM sp JOIN style_lbl USING (style_group)""", *_STYLE, _LABELS))
 def cross_price_wide(spark, sf_dir):
+    """The wide table, reported by its cells (its columns depend on the data)."""
     sp = small_table(style_panel(spark, sf_dir))
-    return finish(elasticity.cross_price_wide(sp, elasticity.style_labels(sp)))
+    labels = small_table(elasticity.style_labels(sp))
+    return finish(metrics.long_form(elasticity.cross_price_wide(sp, labels), "transaction_date"))
 
 
 # Units of each style on the daily mean sales prices of the 8 level3
@@ -140,7 +141,7 @@ def _cross_design(spark, sf_dir):
     sp = small_table(style_panel(spark, sf_dir))
     target = sp.join(elasticity.style_labels(sp).select("style_group", "style_label"), "style_group")
     prices = elasticity.ranked_prices(sp, "level3", price="sales_price")
-    return elasticity.regression_design(target, prices, N_CROSS_PRICES)
+    return elasticity.regression_design(target, prices, N_CROSS_PRICES, own="sales_price")
 
 
 def _l3_design(spark, sf_dir):
@@ -159,11 +160,30 @@ def cross_price_complete(spark, sf_dir):
     return finish(design.groupBy("style_label").agg(F.count(F.lit(1)).alias("n_complete")))
 
 
-@query("own_cross_price")
+_PS = [f"p_{j}" for j in range(1, N_CROSS_PRICES + 1)]
+_CROSS_DESIGN = ("design", f"""SELECT 'style_' || CAST(l.style_rank AS VARCHAR) AS style_label, CAST(sp.units_sold AS DOUBLE) AS y,
+       CAST(sp.sales_price AS DOUBLE) AS p_own, {', '.join('p.' + p for p in _PS)}
+FROM sp JOIN style_lbl l USING (style_group) JOIN prices p USING (transaction_date) WHERE sp.units_sold IS NOT NULL""")
+_L3_PS = [f"p_{j}" for j in range(1, N_L3_PRICES + 1)]
+_L3 = [("l3p", """SELECT l3_l4, transaction_date, avg(final_price) AS final_price, sum(units_sold) AS units_sold
+                  FROM spl GROUP BY l3_l4, transaction_date"""),
+       ("l3_prices", "SELECT transaction_date, " + ", ".join(
+           f"max(CASE WHEN rk = {j} THEN final_price END) AS p_{j}" for j in range(1, N_L3_PRICES + 1))
+        + " FROM l3p JOIN (SELECT l3_l4, row_number() OVER (ORDER BY l3_l4) AS rk FROM (SELECT DISTINCT l3_l4 FROM l3p)) USING (l3_l4)"
+        + f" WHERE rk <= {N_L3_PRICES} GROUP BY transaction_date HAVING "
+        + " AND ".join(f"p_{j} IS NOT NULL" for j in range(1, N_L3_PRICES + 1))),
+       ("design", f"""SELECT l3_l4 AS style_label, ln(1 + CAST(units_sold AS DOUBLE)) AS y, {', '.join('p.' + p for p in _L3_PS)}
+                      FROM l3p JOIN l3_prices p USING (transaction_date) WHERE units_sold IS NOT NULL""")]
+
+
+# The p-values need Student's distribution, which SQL lacks; they are tested
+# against known values instead.
+@query("own_cross_price", with_ctes("SELECT * FROM ols", *_STYLE, _LABELS, _PRICES, _CROSS_DESIGN,
+                                    *ols_ctes("design", "style_label", ["p_own", *_PS])))
 def own_cross_price(spark, sf_dir):
-    return finish(elasticity.no_intercept_ols(_cross_design(spark, sf_dir), N_CROSS_PRICES))
+    return finish(elasticity.no_intercept_ols(_cross_design(spark, sf_dir), N_CROSS_PRICES, own=True)).drop("p_value")
 
 
-@query("log_price_model")
+@query("log_price_model", with_ctes("SELECT * FROM ols", *_SP, *_L3, *ols_ctes("design", "style_label", _L3_PS)))
 def log_price_model(spark, sf_dir):
-    return finish(elasticity.no_intercept_ols(_l3_design(spark, sf_dir), N_L3_PRICES))
+    return finish(elasticity.no_intercept_ols(_l3_design(spark, sf_dir), N_L3_PRICES)).drop("p_value")

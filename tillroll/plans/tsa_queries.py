@@ -5,7 +5,7 @@ from __future__ import annotations
 from tillroll.operators import panel, tsa
 from tillroll.plans.panel_queries import _NAME_DAILY, name_daily
 from tillroll.plans.registry import finish, query
-from tillroll.plans.sqlparts import with_ctes
+from tillroll.plans.sqlparts import elimination_ctes, with_ctes
 
 WEEKLY_PERIOD = 52
 DAILY_PERIOD = 90
@@ -86,6 +86,24 @@ def periodogram(spark, sf_dir):
     return finish(tsa.periodogram(name_daily(spark, sf_dir), "prod_name", "date", "sales"))
 
 
-@query("adf_stat")
+ADF_LAG = 1
+_ADF_X = ["one", "lev", "d1", "dy"]
+_ADF = [("adl", """SELECT prod_name, row_number() OVER w AS t, 1.0::DOUBLE AS one, CAST(lag(sales) OVER w AS DOUBLE) AS lev,
+                          CAST(sales - lag(sales) OVER w AS DOUBLE) AS dy, CAST(lag(sales) OVER w - lag(sales, 2) OVER w AS DOUBLE) AS d1
+                   FROM wk WINDOW w AS (PARTITION BY prod_name ORDER BY week_end)"""),
+        ("adm", "SELECT prod_name, count(*) AS n, sum(dy * dy) AS yy, "
+                + ", ".join(f"sum({a} * {b}) AS xx_{i}_{j}" for i, a in enumerate(_ADF_X[:3]) for j, b in enumerate(_ADF_X[:3]) if j >= i)
+                + ", " + ", ".join(f"sum({a} * dy) AS xy_{i}" for i, a in enumerate(_ADF_X[:3]))
+                + f" FROM adl WHERE t >= {ADF_LAG + 2} GROUP BY prod_name"),
+        *elimination_ctes("adm", "prod_name, n, yy, xy_0, xy_1, xy_2", 3),
+        ("adr", "SELECT *, greatest(yy - (0.0::DOUBLE + b_0 * xy_0 + b_1 * xy_1 + b_2 * xy_2), 0.0) / (n - 3) AS s2 FROM gj")]
+
+
+@query("adf_stat", with_ctes("""
+SELECT prod_name, CAST(round(CAST(CASE WHEN regular AND s2 * v_1 > 0 THEN b_1 / sqrt(s2 * v_1) END AS DECIMAL(38,10)), 6) AS DOUBLE) AS adf_stat,
+       CAST(1 AS INTEGER) AS used_lag, CAST(n AS INTEGER) AS n_obs FROM adr""", *_WEEKLY, *_ADF))
 def adf_stat(spark, sf_dir):
-    return finish(tsa.adf_test(weekly_name_sales(spark, sf_dir), "prod_name", "week_end", "sales"))
+    """T2 at a fixed lag (which SQL can state); the search for the lag, the
+    critical values and the p-value are tested against known values."""
+    out = tsa.adf_test(weekly_name_sales(spark, sf_dir), "prod_name", "week_end", "sales", ADF_LAG, autolag=False)
+    return finish(out.select("prod_name", "adf_stat", "used_lag", "n_obs"))
