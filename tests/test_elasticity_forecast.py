@@ -9,9 +9,9 @@ from tillroll.operators import elasticity, forecast, metrics
 def test_no_intercept_ols_matches_lstsq(spark):
     rng = np.random.default_rng(3)
     n, k = 80, 3
-    X = rng.uniform(5, 10, (n, k))
+    X = rng.uniform(5, 10, (n, k)).round(4)  # prices are taken to 4 places
     beta = np.array([1.5, -2.0, 0.7])
-    y = X @ beta + rng.normal(0, 0.1, n)
+    y = (X @ beta + rng.normal(0, 0.1, n)).round(8)
     rows = [("s", i, float(y[i]), *map(float, X[i])) for i in range(n)]
     design = spark.createDataFrame(rows, "style_label string, d int, y double, p_1 double, p_2 double, p_3 double")
     got = elasticity.no_intercept_ols(design, k).orderBy("regressor").toPandas()
@@ -20,6 +20,21 @@ def test_no_intercept_ols_matches_lstsq(spark):
     sigma2 = res[0] / (n - k)
     se = np.sqrt(np.diag(sigma2 * np.linalg.inv(X.T @ X)))
     np.testing.assert_allclose(got["std_err"].to_numpy(), se, rtol=1e-6)
+    np.testing.assert_allclose(got["t_value"].to_numpy(), want / se, rtol=1e-6)
+    assert (got["p_value"] < 1e-6).all()
+
+
+def test_p_values_against_known_values():
+    from tillroll.functions.linear import normal_cdf, solve_normal, t_test_p
+    # Tables of Student's t: two-sided 5 % points.
+    got = t_test_p(np.array([12.706205, 2.228139, 1.983972]), np.array([1, 10, 100]))
+    np.testing.assert_allclose(got, 0.05, atol=1e-6)
+    # One degree of freedom has a closed form; an unknown statistic has no p.
+    np.testing.assert_allclose(t_test_p(np.array([0.3]), np.array([1])), 1 - 2 * np.arctan(0.3) / np.pi, rtol=1e-9)
+    assert np.isnan(t_test_p(np.array([np.nan, 1.0]), np.array([3, 0]))).all()
+    assert abs(normal_cdf(1.959963985) - 0.975) < 1e-9
+    xx = np.array([[[1.0, 2.0], [2.0, 4.0]]])  # dependent columns
+    assert not solve_normal(xx, np.ones((1, 2)))[2][0]
 
 
 def test_regression_design_complete_cases(spark):
@@ -104,7 +119,7 @@ def test_target_adjustment_inverts(spark):
 def test_gbt_search_beats_naive_on_periodic_series(spark):
     daily = _periodic_panel(spark, keys=3, days=160)
     frame = forecast.supervised_frame(daily, "product_code", "date", "sales", 14, 14, 14).checkpoint(eager=True)
-    out, best, results = forecast.gbt_forecast(frame, "product_code", 14, n_draws=2, max_iter=5)
+    out, best, results = forecast.gbt_forecast(frame, "product_code", 14, n_draws=2, max_iter=20)
     pdf = out.toPandas()
     assert len(pdf) == 3 * 14 and len(results) == 2 and best in [r[0] for r in results]
     naive = metrics.naive_forecast(daily, "product_code", "date", "sales").toPandas()

@@ -65,17 +65,39 @@ def trend_index(key: str, order_col: str):
     return F.row_number().over(Window.partitionBy(key).orderBy(order_col))
 
 
-def product_features(daily: DataFrame, key: str = "product_code", date: str = "date") -> DataFrame:
-    """``(key, date, sales)`` + the 30 product-model features."""
+def product_calendar(date: str) -> dict:
+    """The 29 calendar features of T22 by name, for the day in ``date``."""
     d = F.col(date)
     named = date_part_map(d, parts=["Year", "Week", "Day", "Dayofyear", "Is_month_end",
                                     "Is_month_start", "Is_quarter_end", "Is_quarter_start",
                                     "Is_year_end", "Is_year_start"])
     named.update(one_hot_map(F.weekday(d), range(7), "Dayofweek_"))
     named.update(one_hot_map(F.month(d), range(1, 13), "Month_"))
+    return named
+
+
+def product_features(daily: DataFrame, key: str = "product_code", date: str = "date") -> DataFrame:
+    """``(key, date, sales)`` + the 30 product-model features."""
+    named = product_calendar(date)
     return daily.select(key, date, "sales", *[named.get(n, F.col(n)) for n in PRODUCT_FEATURES])
 
 
+def style_calendar(date: str, position, fourier_freq: int = 4, fourier_order: int = 4) -> dict:
+    """The calendar, Fourier and trend features of T23 by name, for the day
+    in ``date`` at the 0-based ``position`` in its series."""
+    d = F.col(date)
+    named = date_part_map(d, prefix="transaction_",
+                          parts=["Week", "Day", "Is_month_end", "Is_month_start",
+                                 "Is_quarter_end", "Is_quarter_start", "Is_year_end",
+                                 "Is_year_start"])
+    named["transaction_Year"] = year_flag(F.year(d)).alias("transaction_Year")
+    named.update(fourier_map(position, fourier_freq, fourier_order))
+    named["trend"] = (position + 1).alias("trend")
+    named.update(one_hot_map(F.month(d), range(1, 13), "transaction_Month_"))
+    named.update(one_hot_map(F.weekday(d), range(7), "transaction_Dayofweek_"))
+    return named
+
+
 def style_features(panel: DataFrame, holidays: DataFrame, key: str = "style_group",
                    date: str = "transaction_date", ma: str = "centred",
                    fourier_freq: int = 4, fourier_order: int = 4) -> DataFrame:
@@ -87,17 +109,8 @@ def style_features(panel: DataFrame, holidays: DataFrame, key: str = "style_grou
     """
     flagged = with_holiday_flag(panel, date, holidays)
     t0 = F.row_number().over(Window.partitionBy(key).orderBy(date)) - 1
-    d = F.col(date)
-    named = date_part_map(d, prefix="transaction_",
-                          parts=["Week", "Day", "Is_month_end", "Is_month_start",
-                                 "Is_quarter_end", "Is_quarter_start", "Is_year_end",
-                                 "Is_year_start"])
-    named["transaction_Year"] = year_flag(F.year(d)).alias("transaction_Year")
-    named.update(fourier_map(t0, fourier_freq, fourier_order))
-    named["trend"] = (t0 + 1).alias("trend")
+    named = style_calendar(date, t0, fourier_freq, fourier_order)
     ma_col = (centred_moving_average("units_sold", key, date) if ma == "centred"
               else trailing_moving_average("units_sold", key, date))
     named["MA"] = ma_col.alias("MA")
-    named.update(one_hot_map(F.month(d), range(1, 13), "transaction_Month_"))
-    named.update(one_hot_map(F.weekday(d), range(7), "transaction_Dayofweek_"))
     return flagged.select(key, date, "units_sold", *[named.get(n, F.col(n)) for n in STYLE_FEATURES])

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators import basket, forecast, metrics, prep
-from tillroll.sources.io import read_table, write_csv_table, write_partitioned, write_table
+from tillroll.session import materialise
+from tillroll.sources.io import read_csv_table, read_table, write_csv_table, write_partitioned, write_table
 
 
 def co_purchase_report_job(transactions: DataFrame, articles: DataFrame, out: str,
@@ -27,14 +28,15 @@ def co_purchase_report_job(transactions: DataFrame, articles: DataFrame, out: st
     """R1 + R3/R5 + S5: writes ``{out}/report`` and ``{out}/support``;
     returns the report as read back."""
     rows = prep.prepare_basket_rows(transactions, articles, penetration, min_cnt)
-    report = basket.co_purchase_report(rows, hierarchy, n, prods=prods)
-    support = basket.item_support(rows, hierarchy)
+    sized = basket.materialized_cells(rows, hierarchy)
+    report = basket.co_purchase_report(rows, hierarchy, n, prods=prods, sized=sized)
+    support = basket.item_support(rows, hierarchy, sized=sized)
+    write_table(support, f"{out}/support")
     if fmt == "csv":
         write_csv_table(report, f"{out}/report")
-    else:
-        write_table(report, f"{out}/report", fmt=fmt)
-    write_table(support, f"{out}/support")
-    return read_table(rows.sparkSession, f"{out}/report", "parquet") if fmt == "parquet" else report
+        return read_csv_table(rows.sparkSession, f"{out}/report", report.schema)
+    write_table(report, f"{out}/report", fmt=fmt)
+    return read_table(rows.sparkSession, f"{out}/report", fmt)
 
 
 def train_forecast_job(transactions: DataFrame, articles: DataFrame, out: str,
@@ -51,8 +53,11 @@ def train_forecast_job(transactions: DataFrame, articles: DataFrame, out: str,
     daily = (rows.groupBy("product_code", F.col("t_dat").alias("date"))
                  .agg(F.count(F.lit(1)).alias("sales"), F.avg("price").alias("price")))
     frame = forecast.supervised_frame(daily, "product_code", "date", "sales", lags, horizon, horizon,
-                                      transforms=transforms).checkpoint(eager=True)
-    backtest, model = forecast.rf_forecast(frame, "product_code", lags)
+                                      transforms=transforms)
+    frame = materialise(forecast.with_product_features(frame), "frame")
+    scored, model = forecast.rf_forecast(frame, "product_code", lags, forecast.PRODUCT_MODEL_FEATURES)
+    # The backtest is read by the wide table and by both metric tables.
+    backtest = materialise(scored, "backtest")
     paths = {k: f"{out}/{k}" for k in ("model", "backtest_wide", "metrics", "lookup", "scoring_set")}
     forecast.save_model(model, paths["model"])
     write_table(metrics.wide_actual_prediction(backtest, "product_code"), paths["backtest_wide"], fmt="csv")
