@@ -37,7 +37,12 @@ HEADLINE = [
     "sensitivity_price",
     "own_cross_price",
     "count_histogram",
+    "table_summary",
+    "wide_actual_prediction",
+    "adf_stat",
     "rf_forecast",
+    "score_all",
+    "gbt_forecast",
 ]
 
 

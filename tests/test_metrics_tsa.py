@@ -123,6 +123,30 @@ def test_adf_separates_walk_from_stationary(spark):
     assert res["ar"]["adf_stat"] < res["ar"]["crit_1pct"]
     assert res["walk"]["adf_stat"] > res["walk"]["crit_5pct"]
     assert res["ar"]["crit_1pct"] < res["ar"]["crit_5pct"] < res["ar"]["crit_10pct"]
+    assert res["ar"]["p_value"] < 0.01 < 0.05 < res["walk"]["p_value"] <= 1
+
+
+def test_adf_matches_least_squares(spark):
+    rng = np.random.default_rng(5)
+    series = {"a": rng.normal(0, 1, 90).cumsum(), "b": rng.normal(0, 1, 60), "short": np.arange(3.0)}
+    rows = [(k, i, float(v)) for k, y in series.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "k string, t int, y double")
+    res = {r["k"]: r for r in tsa.adf_test(df, "k", "t", "y", max_lag=2, autolag=False).collect()}
+    for k in "ab":
+        y = series[k]
+        dy = np.diff(y)
+        x = np.stack([np.ones(len(y) - 3), y[2:-1], dy[1:-1], dy[:-2]], 1)
+        beta, ssr, *_ = np.linalg.lstsq(x, dy[2:], rcond=None)
+        se = np.sqrt(ssr[0] / (len(x) - 4) * np.linalg.inv(x.T @ x)[1, 1])
+        assert res[k]["adf_stat"] == pytest.approx(beta[1] / se, rel=1e-8) and res[k]["n_obs"] == len(x)
+    assert res["short"]["adf_stat"] is None and res["short"]["n_obs"] == 0
+
+
+def test_adf_p_values_at_known_points():
+    # The 5 % and 10 % points of the statistic in large samples.
+    assert tsa.adf_p_value(-2.86154) == pytest.approx(0.05, abs=2e-3)
+    assert tsa.adf_p_value(-2.56677) == pytest.approx(0.10, abs=3e-3)
+    assert tsa.adf_p_value(-20.0) == 0.0 and tsa.adf_p_value(3.0) == 1.0
 
 
 def test_linear_detrend_residuals(spark):

@@ -20,11 +20,8 @@ DATE_PARTS = ["Year", "Month", "Week", "Day", "Dayofweek", "Dayofyear",
 FLAG_PARTS = ["Is_month_end", "Is_month_start", "Is_quarter_end",
               "Is_quarter_start", "Is_year_end", "Is_year_start"]
 
-# Meteorological seasons by month number.
-SEASON_OF_MONTH = {3: "spring", 4: "spring", 5: "spring",
-                   6: "summer", 7: "summer", 8: "summer",
-                   9: "autumn", 10: "autumn", 11: "autumn",
-                   12: "winter", 1: "winter", 2: "winter"}
+# Months of the meteorological seasons.
+MONTHS_OF_SEASON = {"spring": [3, 4, 5], "summer": [6, 7, 8], "autumn": [9, 10, 11], "winter": [12, 1, 2]}
 
 
 def _c(col) -> Column:
@@ -75,8 +72,7 @@ def season_of_month(month_col) -> Column:
     """Season name for a month number."""
     m = _c(month_col)
     expr = None
-    for season in ("spring", "summer", "autumn", "winter"):
-        months = [k for k, v in SEASON_OF_MONTH.items() if v == season]
+    for season, months in MONTHS_OF_SEASON.items():
         cond = m.isin(months)
         expr = F.when(cond, season) if expr is None else expr.when(cond, season)
     return expr

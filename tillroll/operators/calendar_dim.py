@@ -19,6 +19,10 @@ FIXED_HOLIDAYS = [
     (12, 25, "Christmas Day"),
     (12, 26, "Second Day of Christmas"),
 ]
+# One-off holidays as (year, month, day, name).
+SINGLE_HOLIDAYS = [
+    (2017, 10, 31, "Reformation Day"),
+]
 # Movable holidays as (days after Easter Sunday, name).
 EASTER_OFFSETS = [
     (-2, "Good Friday"),
@@ -49,7 +53,8 @@ def easter_sunday(year_col) -> F.Column:
 def holiday_table(dates: DataFrame, date_col: str = "d") -> DataFrame:
     """Holidays for every year between the first and last date of ``dates``.
 
-    The year range is a one-row aggregate; the table holds 9 rows per year.
+    The year range is a one-row aggregate; the table holds 9 rows per year
+    and the one-off days.
     """
     years = (dates.agg(F.min(F.year(date_col)).alias("y0"), F.max(F.year(date_col)).alias("y1"))
                   .where(F.col("y0").isNotNull())
@@ -61,7 +66,10 @@ def holiday_table(dates: DataFrame, date_col: str = "d") -> DataFrame:
     movable = F.array(*[F.struct(F.date_add(easter, off).alias("holiday_date"),
                                  F.lit(name).alias("holiday_name"))
                         for off, name in EASTER_OFFSETS])
-    return (years.select(F.explode(F.concat(fixed, movable)).alias("h"))
+    single = F.filter(F.array(*[F.struct(F.lit(f"{y}-{m:02}-{d:02}").cast("date").alias("holiday_date"),
+                                         F.lit(name).alias("holiday_name")) for y, m, d, name in SINGLE_HOLIDAYS]),
+                      lambda h: F.year(h["holiday_date"]) == F.col("year"))
+    return (years.select(F.explode(F.concat(fixed, movable, single)).alias("h"))
                  .select("h.holiday_date", "h.holiday_name"))
 
 

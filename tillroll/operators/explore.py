@@ -86,26 +86,52 @@ def pairwise_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def exact_quantiles_of(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
+    """One row ``{column}__q``: quantiles interpolated linearly between
+    neighbours, like pandas.
+
+    The distinct values are counted and ranked by the distributed running
+    sum; a quantile reads the values that cover its two positions, so no
+    buffer holds a column's values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")) \
+               .agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_sum_desc(counts, "v", "v", "cum", summed="c")
+    total = counts.agg(F.sum("c").alias("n"))
+    before = F.col("n") - F.col("cum")  # rows with a smaller value
+    parts = []
+    for k, p in enumerate(probs):
+        at = p * (F.col("n") - 1)
+        parts += [F.max(F.when((before <= i) & (i < before + F.col("c")), F.col("v"))).alias(f"{end}{k}")
+                  for end, i in (("lo", F.floor(at)), ("hi", F.ceil(at)))]
+    found = ranked.crossJoin(one_row(total)).agg(F.max("n").alias("n"), *parts)
+    value = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1)))
+             for k, p in enumerate(probs)]
+    return found.select(F.array(*value).alias(f"{column}__q"))
+
+
 def describe(df: DataFrame, columns: list[str], exact_quantiles: bool = True) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max per numeric
-    column (``describe``).  Exact quartiles interpolate linearly like pandas
-    (``percentile`` holds one entry per distinct value of the column); with
-    ``exact_quantiles=False`` they come from ``percentile_approx`` (fixed
-    memory, for high-cardinality columns at scale)."""
+    column (``describe``).  Exact quartiles interpolate linearly like pandas;
+    with ``exact_quantiles=False`` they come from ``percentile_approx`` (one
+    pass, fixed memory)."""
     aggs = []
     probs = [0.25, 0.5, 0.75]
     for c in columns:
         x = F.col(c).cast("double")
-        q = F.percentile(x, probs) if exact_quantiles else F.percentile_approx(x, probs, 10000).cast("array<double>")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                 F.min(x).alias(f"{c}__min"), q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+        if not exact_quantiles:
+            aggs.append(F.percentile_approx(x, probs, 10000).cast("array<double>").alias(f"{c}__q"))
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                               F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
                               F.col(f"{c}__min").alias("min"), F.get(F.col(f"{c}__q"), 0).alias("p25"),
                               F.get(F.col(f"{c}__q"), 1).alias("p50"), F.get(F.col(f"{c}__q"), 2).alias("p75"),
                               F.col(f"{c}__max").alias("max"))
                      for c in columns])
-    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    wide = df.agg(*aggs)
+    for c in columns if exact_quantiles else []:
+        wide = wide.crossJoin(one_row(exact_quantiles_of(df, c, probs)))
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def histogram(values: DataFrame, value: str, bins: int = 100) -> DataFrame:

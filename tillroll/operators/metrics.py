@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import clamp_at_zero, round_half_even
-from tillroll.operators.panel import temporal_split
 
 # Fixed value: float64 machine epsilon, the floor of the MAPE denominator.
 FLOAT64_EPS = 2.220446049250313e-16
@@ -24,16 +23,15 @@ def naive_forecast(panel: DataFrame, key: str, date: str, value: str,
 
     Output ``(key, day, date, actual, forecast)``.
     """
-    split = temporal_split(panel.select(key, date, value), key, date, test_size)
-    train = split.where(F.col("split") == "train")
-    recent = (train.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(date).desc())))
-                   .where(F.col("_r") <= window)
-                   .groupBy(key).agg(F.avg(value).alias("_mean")))
-    test = split.where(F.col("split") == "test")
-    return (test.join(recent, key, "left")
-                .select(key, F.col("day").cast("int").alias("day"), date,
-                        F.col(value).cast("double").alias("actual"),
-                        clamp_at_zero(round_half_even(F.col("_mean"))).cast("double").alias("forecast")))
+    # One window pass: the mean of the rows before the test rows, taken over
+    # the whole key, next to the position from the end.
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.col(date).desc()))
+    recent = F.when((F.col("_rd") > test_size) & (F.col("_rd") <= test_size + window), F.col(value))
+    rows = panel.select(key, date, value).withColumn("_rd", back) \
+                .withColumn("_mean", F.avg(recent).over(Window.partitionBy(key)))
+    return rows.where(F.col("_rd") <= test_size).select(
+        key, (test_size + 1 - F.col("_rd")).cast("int").alias("day"), date, F.col(value).cast("double").alias("actual"),
+        clamp_at_zero(round_half_even(F.col("_mean"))).cast("double").alias("forecast"))
 
 
 def forecast_metrics(backtest: DataFrame, key: str, actual: str = "actual",

@@ -135,9 +135,13 @@ SELECT style_group AS prod, forecast, day FROM nfs""",
                                    *_NF, _LOOKUP, *_STYLE,
                                    *_naive_sql("sp", "style_group", "transaction_date", "units_sold", "nfs")))
 def forecast_union(spark, sf_dir):
+    # One pass over the rows gives the daily panel and the names.
     rows = _long_lived_rows(spark, sf_dir)
-    lookup = rows.groupBy("product_code").agg(F.min("prod_name").alias("prod"))
-    prod = product_backtest(spark, sf_dir).join(lookup, "product_code").select("prod", "forecast", "day")
+    daily = small_table(rows.where(F.col("product_code").isNotNull()).groupBy("product_code", F.col("t_dat").alias("date"))
+                        .agg(F.count(F.lit(1)).alias("sales"), F.min("prod_name").alias("prod")))
+    lookup = daily.groupBy("product_code").agg(F.min("prod").alias("prod"))
+    backtest = metrics.naive_forecast(daily, "product_code", "date", "sales", HORIZON, HORIZON)
+    prod = backtest.join(lookup, "product_code").select("prod", "forecast", "day")
     style = style_backtest(spark, sf_dir).select(F.col("style_group").alias("prod"), "forecast", "day")
     return finish(prod.unionByName(style))
 

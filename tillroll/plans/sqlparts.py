@@ -67,6 +67,9 @@ LATERAL (VALUES
   (CAST(s5.easter + INTERVAL 39 DAY AS DATE), 'Ascension Day'),
   (CAST(s5.easter + INTERVAL 50 DAY AS DATE), 'Whit Monday')
 ) h(holiday_date, holiday_name)
+UNION ALL
+SELECT DATE '2017-10-31', 'Reformation Day'
+WHERE 2017 BETWEEN (SELECT min(year(l_shipdate)) FROM lineitem) AND (SELECT max(year(l_shipdate)) FROM lineitem)
 """
 
 
