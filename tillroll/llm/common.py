@@ -4,6 +4,7 @@ shared scratch folder and the registry of this package's queries."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,13 +32,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffle_files_removed(spark: SparkSession):
+    """Jobs in this block drop their shuffle files as soon as they end; what
+    they wrote is read from the shared folder from then on."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: later
     reads survive lost executors and prune columns."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffle_files_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """tid (64-bit hash), text and whether it has copies, of every distinct text
+    (nulls left out); kept in buckets of tid, so that joins on it move no
+    text.  Copies are combined before the shuffle."""
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    grouped = docs.where(text.isNotNull()).groupBy(F.xxhash64(text).alias("tid")).agg(
+        F.collect_set(text).alias("texts"), F.count(F.lit(1)).alias("n"))
+    rows = grouped.select("tid", F.explode("texts").alias("text"), (F.col("n") > F.size("texts")).alias("copied"))
+    path = scratch_path(spark, "texts")
+    name = "texts_" + path.rsplit("-", 1)[1]
+    with shuffle_files_removed(spark):
+        rows.write.option("path", path).option("compression", "zstd").bucketBy(
+            int(spark.conf.get("spark.sql.shuffle.partitions")), "tid").saveAsTable(name)
+    return spark.table(name)
 
 
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:

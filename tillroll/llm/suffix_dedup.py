@@ -13,8 +13,8 @@ The exact check follows: for the 128 strings that start up to 127 bytes
 before an anchor, the bytes that all of them share (core) and the bytes that
 they cover together (context) are digested.  A unique core rules all of them
 out; a core with one context, found twice or more, removes all of them; the
-rest is cut into blocks of 16 starts and then into single strings, whose
-128-bit digests decide.  No pairs are formed, groups of any size are counted
+rest is cut into blocks of 16, of 4 and of single strings, whose 128-bit
+digests decide.  No pairs are formed, groups of any size are counted
 by partial sums, and only the joins on a digest see hot keys (adaptive skew
 handling splits them).
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tillroll.llm.common import written
+from tillroll.llm.common import discard, distinct_texts, written
 from tillroll.llm.shingles import mix
 from tillroll.llm.text_features import parts
-from tillroll.session import scratch_path
 
 LENGTH = 400
 GRAM = 16
@@ -47,7 +47,7 @@ SPREAD = 128
 #: Bytes from the first to the last common anchor of two equal strings.
 SPAN = LENGTH - GRAM - 2 * SPREAD + 2
 #: String starts of one candidate, from the first check to the last.
-WIDTHS = (SPREAD, 16, 1)
+WIDTHS = (SPREAD, 16, 4, 1)
 STEP = 1 << 20
 _BYTE = np.random.default_rng(2718).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64((1 << 32) - 1)
@@ -127,13 +127,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key occurs more than once."""
     again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key)
-    return rows.join(again, key)
+    return rows.join(again.hint("shuffle_hash"), key)
 
 
 def prefix_doubling(rows: DataFrame) -> DataFrame:
     """tid and loc of the anchors whose next SPAN bytes and more (up to the
-    anchor that ends them) occur more than once."""
+    anchor that ends them) occur more than once.  ``rows`` is a written table
+    and is discarded."""
     alive, size, found = written(_repeated(rows, "rank"), "ranks"), 1, []
+    discard(rows)
     while True:
         # Ranks from here to ``size`` places on, for those still alive.
         near = Window.partitionBy("tid").orderBy("i").rangeBetween(0, size)
@@ -146,97 +148,84 @@ def prefix_doubling(rows: DataFrame) -> DataFrame:
         paired = written(ahead.select(
             "tid", "i", "loc", "m", rank_at(F.col("i") + size).alias("next"), "rank",
             F.when(done, rank_at(F.col("i") + F.col("m") - size)).alias("closing")), "pairs")
-        found.append(paired.where(done & F.col("closing").isNotNull()).select(
-            "tid", "loc", F.xxhash64("rank", "closing", "m").alias("rank")))
+        discard(alive)
+        found.append(written(paired.where(done & F.col("closing").isNotNull()).select(
+            "tid", "loc", F.xxhash64("rank", "closing", "m").alias("rank")), "closed"))
         if paired.where(F.col("m") >= 2 * size).isEmpty():
             break
         doubled = paired.where("next is not null").select(
             "tid", "i", "loc", "m", F.xxhash64("rank", "next").alias("rank"))
         alive, size = written(_repeated(doubled, "rank"), "ranks"), 2 * size
-    closed = found[0]
-    for f in found[1:]:
-        closed = closed.union(f)
-    return _repeated(closed, "rank").select("tid", "loc")
+        discard(paired)
+    out = written(_repeated(reduce(DataFrame.union, found), "rank").select("tid", "loc"), "candidates")
+    discard(paired, *found)
+    return out
 
 
 def _digests(width: int):
-    """For every candidate (loc and first start distance) of a text: digests
-    of its core and context, and the range of its string starts."""
+    """For every candidate (packed place and first distance) of a text: the
+    digests of its core and, unless it is a single string, of its context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 raw = b.column(1)[k].as_py().encode()
-                packed = b.column(2)[k].values.to_numpy()
-                size, out, digests = len(raw), [], []
-                for c in packed.tolist():
+                size, kept, digests = len(raw), [], []
+                for c in b.column(2)[k].values.to_pylist():
                     near, least, far, at = c & 0xFF, c >> 8 & 0xFF, c >> 16 & 0xFF, c >> 24
-                    # Distances from a string's start to its anchor.
-                    lo, hi = max(near, least, at + LENGTH - size), min(near + width - 1, far, at)
-                    if lo > hi:
-                        continue
                     last = near + width - 1
-                    core = raw[at - near:at - last + LENGTH]
-                    left, right = at - last, at - near + LENGTH
-                    ends = b"%d,%d" % (max(0, -left), max(0, right - size))
-                    context = hashlib.blake2b(raw[max(0, left):right] + ends, digest_size=16).digest()
-                    digests.append(hashlib.blake2b(core, digest_size=16).digest() + context)
-                    out.append((c, max(0, left), min(size - LENGTH, at - near)))
-                if out:
-                    c, s0, s1 = zip(*out)
-                    four = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
+                    # Some string of the block must lie in the text.
+                    if max(near, least, at + LENGTH - size) > min(last, far, at):
+                        continue
+                    digests.append(hashlib.blake2b(raw[at - near:at - last + LENGTH], digest_size=16).digest())
+                    if width > 1:
+                        left, right = at - last, at - near + LENGTH
+                        ends = b"%d,%d" % (max(0, -left), max(0, right - size))
+                        digests.append(hashlib.blake2b(raw[max(0, left):right] + ends, digest_size=16).digest())
+                    kept.append(c)
+                if kept:
+                    longs = np.frombuffer(b"".join(digests), np.int64).reshape(len(kept), -1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(c), b.column(0)[k].as_py())), pa.array(c, pa.int64()),
-                         *[pa.array(np.ascontiguousarray(four[:, j])) for j in range(4)],
-                         pa.array(s0, pa.int64()), pa.array(s1, pa.int64())],
-                        ["tid", "c", "k1", "k2", "c1", "c2", "s0", "s1"])
+                        [pa.array(np.full(len(kept), b.column(0)[k].as_py())), pa.array(kept, pa.int64()),
+                         *[pa.array(np.ascontiguousarray(longs[:, j])) for j in range(longs.shape[1])]],
+                        ["tid", "c", "k1", "k2", "c1", "c2"][:2 + longs.shape[1]])
     return run
 
 
+def _starts(width: int) -> list[Column]:
+    """First and last string start of a packed candidate."""
+    place = F.shiftright("c", 24) - F.col("c").bitwiseAND(0xFF)
+    return [F.greatest(F.lit(0), place - (width - 1)).alias("s0"), place.alias("s1")]
+
+
 def repeated_starts(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """tid, s0, s1: runs of starts whose 400-byte strings occur elsewhere."""
+    """tid, s0, s1: runs of starts whose 400-byte strings occur elsewhere (a
+    run may reach past the text's last string)."""
     # A candidate is packed as place, far and least (the range of its strings'
     # distances) and near (the first distance of its block).
     todo = candidates.select("tid", F.shiftleft(F.col("loc"), 8).alias("c"))
     found = []
     for width, finer in zip(WIDTHS, (*WIDTHS[1:], 0)):
         lists = todo.groupBy("tid").agg(F.collect_list("c").alias("cs"))
-        joined = texts.join(lists, "tid").select("tid", "text", "cs")
-        rows = written(joined.mapInArrow(_digests(width), "tid long, c long, k1 long, k2 long, c1 long, c2 long, "
-                                                                 "s0 long, s1 long"), "digests")
-        cores = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("a"), F.max("c1").alias("b"),
-                                             F.min("c2").alias("d"), F.max("c2").alias("e")).where("n > 1")
-        judged = rows.join(cores.select("k1", "k2", ((F.col("a") == F.col("b")) & (F.col("d") == F.col("e"))).alias("one")),
-                           ["k1", "k2"])
+        joined = texts.join(lists.hint("shuffle_hash"), "tid").select("tid", "text", "cs")
+        rows = written(joined.mapInArrow(_digests(width), "tid long, c long, k1 long, k2 long"
+                                         + ", c1 long, c2 long" * (width > 1)), "digests")
         if not finer:
-            found.append(judged.select("tid", "s0", "s1"))
+            again = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            found.append(written(rows.join(again.hint("shuffle_hash"), ["k1", "k2"]).select("tid", *_starts(1)), "found"))
+            discard(rows)
             break
-        judged = written(judged.select("tid", "c", "s0", "s1", "one"), "judged")
-        found.append(judged.where("one").select("tid", "s0", "s1"))
+        one = (F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))
+        cores = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).where("n > 1").drop("n")
+        judged = written(rows.join(cores.hint("shuffle_hash"), ["k1", "k2"]).select("tid", "c", "one"), "judged")
+        discard(rows)
+        found.append(judged.where("one").select("tid", *_starts(width)))
+        near, least, far = F.col("c").bitwiseAND(0xFF), F.shiftright("c", 8).bitwiseAND(0xFF), F.shiftright("c", 16).bitwiseAND(0xFF)
         todo = judged.where("not one").select(
             "tid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - finer), F.lit(finer)),
                                          lambda k: F.col("c") + k)).alias("c"))
         # Blocks that hold none of the candidate's strings are dropped here.
-        near, least, far = F.col("c").bitwiseAND(0xFF), F.shiftright("c", 8).bitwiseAND(0xFF), F.shiftright("c", 16).bitwiseAND(0xFF)
         todo = todo.where((near <= far) & (near + (finer - 1) >= least))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
-
-
-def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """tid (64-bit hash), text and whether it has copies; kept in buckets of
-    tid, so that the later joins on it move no text."""
-    spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    grouped = docs.where(text.isNotNull()).groupBy(F.xxhash64(text).alias("tid")).agg(
-        F.collect_set(text).alias("texts"), F.count(F.lit(1)).alias("n"))
-    rows = grouped.select("tid", F.explode("texts").alias("text"), (F.col("n") > F.size("texts")).alias("copied"))
-    path = scratch_path(spark, "passages")
-    name = "passages_" + path.rsplit("-", 1)[1]
-    rows.write.option("path", path).option("compression", "zstd").bucketBy(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "tid").saveAsTable(name)
-    return spark.table(name)
+    return reduce(DataFrame.union, found)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +234,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(b.num_rows):
             raw = b.column(1)[k].as_py().encode()
             runs = b.column(2)[k].values
-            s0, s1 = runs.field("s0").to_numpy(), runs.field("s1").to_numpy() + LENGTH
+            s0, s1 = runs.field("s0").to_numpy(), np.minimum(runs.field("s1").to_numpy() + LENGTH, len(raw))
             order = np.argsort(s0, kind="stable")
             s0, s1 = s0[order], np.maximum.accumulate(s1[order])
             new = np.append(True, s0[1:] > s1[:-1])
@@ -267,9 +256,9 @@ def removed_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts = distinct_texts(docs, text_col)
     long = texts.where(F.octet_length("text") >= LENGTH)
     rows = long.select("tid", "text").mapInArrow(_anchor_rows, "tid long, i int, loc long, m int, rank long")
-    starts = repeated_starts(written(prefix_doubling(written(rows, "anchors")), "candidates"), long)
+    starts = repeated_starts(prefix_doubling(written(rows, "anchors")), long)
     runs = starts.groupBy("tid").agg(F.collect_list(F.struct("s0", "s1")).alias("runs"))
-    single = long.where("not copied").join(runs, "tid").select("tid", "text", "runs").mapInArrow(
+    single = long.where("not copied").join(runs.hint("shuffle_hash"), "tid").select("tid", "text", "runs").mapInArrow(
         _kept, "tid long, n_removed long, n_spans long, kept_sha256 string, kept string")
     # Every byte of a text of LENGTH or more that has copies is covered.
     empty = F.lit("")
