@@ -4,12 +4,17 @@ A text's five-word shingles, weighted by 1 + ln(count), each send a Poisson
 process of arrivals at rate weight into ``REGISTERS`` registers; a register
 keeps the element that arrives first, and an element stops as soon as its
 next arrival is later than every register's.  Two texts agree in a register
-with the probability Jaccard of their shingles.  Registers are banded; in
-every bucket of a band the members are compared with the bucket's least
-member, and buckets that still hold several classes compare the members of
-different classes, so no link between bucket mates is lost.  A link needs a
-Jaccard similarity of the shingle sets of ``THRESHOLD`` or more, computed from
-the whole texts.  Classes are the connected components.
+with the probability Jaccard of their shingles.  Registers are banded.  A link
+needs a Jaccard similarity of the shingle sets of ``THRESHOLD`` or more,
+computed from the whole texts; classes are the connected components.
+
+Buckets are not expanded into pairs.  First every member is compared with its
+bucket's most popular member (the one with most bucket mates: the text that
+the others were copied from).  Then, in buckets that still hold several
+classes, members of different classes are compared if they can be similar at
+all: the common shingles of two texts are at most those that each shares with
+any other text of an open bucket, which rules out all but a few exactly.  So
+no link between bucket mates is lost.
 
 Exact copies are one text from the start (keyed by 64-bit hash and text), so
 a group of copies costs one row.  Defined results: null texts and texts
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import written
+from tillroll.llm.common import discard, distinct_texts, written
 from tillroll.llm.components import connected_components
 from tillroll.llm.shingles import mix, shingle_hashes
 from tillroll.llm.text_features import parts
@@ -124,44 +129,77 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole texts reach the threshold.
 
-    v is the fewer-valued side (bucket representatives): its texts are picked
-    first, and its join, where one representative may have very many members,
-    can be split by adaptive skew handling.
+    The texts lie in buckets of tid, so only the paired ones move.  v is the
+    side with fewer values: its texts are picked first, and the join on it,
+    where one v may have very many u, can be split by adaptive skew handling.
     """
-    left = pairs.join(texts.select(F.col("tid").alias("u"), F.col("text").alias("text_u")), "u")
-    right = texts.join(pairs.select(F.col("v").alias("tid")).distinct(), "tid") \
+    left = texts.join(pairs.withColumnRenamed("u", "tid").hint("shuffle_hash"), "tid") \
+        .select(F.col("tid").alias("u"), "v", F.col("text").alias("text_u"))
+    right = texts.join(pairs.select(F.col("v").alias("tid")).distinct().hint("shuffle_hash"), "tid") \
         .select(F.col("tid").alias("v"), F.col("text").alias("text_v"))
     return left.join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_jaccard, "u long, v long")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, _, raw, offsets in parts(b.column(1)):
+            row, h, _ = weighted_shingles(raw, offsets)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row)), pa.array(h.view(np.int64))], ["u", "h"])
+
+
+def shared_sizes(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, n (distinct shingles) and s (those that another text of ``members``
+    holds too).  Counts are combined before the shuffles."""
+    picked = texts.join(members.select(F.col("u").alias("tid")).distinct().hint("shuffle_hash"), "tid")
+    rows = written(picked.select("tid", "text").mapInArrow(_shingle_rows, "u long, h long"), "shingles")
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    sizes = written(rows.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+                    .join(rows.join(common.hint("shuffle_hash"), "h").groupBy("u").agg(F.count(F.lit(1)).alias("s")), "u"), "sizes")
+    discard(rows)
+    return sizes
+
+
+def open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of bucket mates (key, u, class c) of different classes that can
+    be similar: |A and B| >= t / (1 + t) * (|A| + |B|) needs as many shingles
+    of each that occur elsewhere at all."""
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    members = written(placed.join(mixed.hint("shuffle_hash"), "key"), "open")
+    sized = members.join(shared_sizes(members, texts), "u")
+    share = THRESHOLD / (1 + THRESHOLD)
+    # Members that fit with no size in their bucket go before the pairing.
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    sized = written(sized.join(least, "key").where(F.col("s") + 1e-6 >= share * (F.col("n") + F.col("least"))), "fitting")
+    a, b = sized.alias("a"), sized.alias("b")
+    fits = F.least("a.s", "b.s") + 1e-6 >= share * (F.col("a.n") + F.col("b.n"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & fits)
+    return pairs.select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """tid (text key) and component of every text that has a near copy."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    texts = written(rows.groupBy(F.xxhash64("text").alias("tid"), "text").count().drop("count"), "texts")
+    texts = distinct_texts(docs, text_col).select("tid", "text")
     keyed = written(texts.mapInArrow(_signatures, "tid long, keys array<long>"), "signatures")
     members = keyed.select("tid", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("tid").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(members.join(buckets, "key").select("key", F.col("tid").alias("u"), "v"), "buckets")
-    stars = written(shared.where("u <> v").select("u", "v").distinct(), "stars")
-    links = written(verified_links(stars, texts), "verified")
-    # Members that no link has tied to their bucket's class are compared with
-    # the bucket's other classes.
-    component = connected_components(links) if not links.isEmpty() else links.select(
-        F.col("u").alias("node"), F.col("v").alias("component"))
-    placed = shared.join(component.withColumnRenamed("node", "u"), "u", "left") \
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = written(members.join(buckets.hint("shuffle_hash"), "key").select("key", F.col("tid").alias("u"), "size"), "buckets")
+    discard(keyed)
+    popular = shared.groupBy("u").agg(F.sum("size").alias("mates"))
+    ranked = written(shared.select("key", "u").join(popular, "u"), "popular")
+    heads = ranked.groupBy("key").agg(F.max_by("u", F.struct("mates", "u")).alias("v"))
+    stars = ranked.join(heads, "key").where("u <> v").select("u", "v").distinct()
+    links = written(verified_links(written(stars, "stars"), texts), "verified")
+    if links.isEmpty():
+        component = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    else:
+        component = connected_components(links)
+    placed = shared.select("key", "u").join(component.withColumnRenamed("node", "u"), "u", "left") \
         .select("key", "u", F.coalesce("component", "u").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_members = written(placed.join(mixed, "key"), "open")
-    a, b = open_members.alias("a"), open_members.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c"))) \
-        .select(F.greatest("a.u", "b.u").alias("u"), F.least("a.u", "b.u").alias("v")).distinct()
-    rest = written(rest.join(stars, ["u", "v"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return component.withColumnRenamed("node", "tid")
-    more = written(verified_links(rest, texts), "verified")
-    if more.isEmpty():
-        return component.withColumnRenamed("node", "tid")
-    return connected_components(links.union(more)).withColumnRenamed("node", "tid")
+    rest = written(open_pairs(written(placed, "placed"), texts), "rest")
+    more = written(verified_links(rest, texts), "verified") if not rest.isEmpty() else None
+    if more is not None and not more.isEmpty():
+        component = connected_components(links.union(more))
+    return component.withColumnRenamed("node", "tid")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
