@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,9 +38,19 @@ GROUP_PIECES = 4096
 #: Gaps up to this many ids stay padded rather than filled with crumbs.
 MIN_GAP = 16
 #: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 500_000
-#: The tokenizer always parts a letter from the stop behind it.
-BEFORE_STOP = re.compile(rb"([a-z])(?=[.,][ \n])")
+CACHE_WORDS = 800_000
+#: The tokenizer always parts an ASCII letter from the mark behind it.
+BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
+
+
+def _byte_chars() -> list[str]:
+    """The tokenizer's character for each byte: printable Latin-1 stands for
+    itself, the others follow from U+0100 on."""
+    own = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    return [chr(b) if own[b] else chr(256 + sum(not o for o in own[:b])) for b in range(256)]
+
+
+BYTE_CHARS = dict(enumerate(_byte_chars()))
 
 
 class WordEncoder:
@@ -47,27 +58,41 @@ class WordEncoder:
 
     The tokenizer ignores case, drops white space and never merges across it,
     so ASCII letters are lowered, and words between ASCII white space are
-    encoded one by one and cached."""
+    encoded one by one and cached.  A word of lower-case Latin letters passes
+    its normaliser and splitter unchanged and goes to the merges directly."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        merge, others = self.tokenizer.model.tokenize, []
+        for raw in words:
+            word = raw.decode()
+            if word.isalpha() and max(word) < "\u0250" and word == word.lower():
+                if not word.isascii():
+                    word = raw.decode("latin-1").translate(BYTE_CHARS)
+                self.cache[raw] = array(self.code, [t.id for t in merge(word)]).tobytes()
+            else:
+                others.append(raw)
+        for k in range(0, len(others), 4096):
+            part = others[k:k + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for raw, e in zip(part, found):
+                self.cache[raw] = array(self.code, e.ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [BEFORE_STOP.sub(rb"\1 ", t.lower()).split() for t in texts]
+        split = [BEFORE_MARK.sub(b" ", t.lower()).split() for t in texts]
         words = set().union(*split)
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(words)
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, e in zip(part, found):
-                self.cache[word] = np.asarray(e.ids, self.dtype).tobytes()
+        self._learn(new)
         return [b"".join(map(self.cache.__getitem__, ws)) for ws in split]
 
 
