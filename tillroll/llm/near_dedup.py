@@ -9,12 +9,13 @@ needs a Jaccard similarity of the shingle sets of ``THRESHOLD`` or more,
 computed from the whole texts; classes are the connected components.
 
 Buckets are not expanded into pairs.  First every member is compared with its
-bucket's most popular member (the one with most bucket mates: the text that
-the others were copied from).  Then, in buckets that still hold several
-classes, members of different classes are compared if they can be similar at
-all: the common shingles of two texts are at most those that each shares with
-any other text of an open bucket, which rules out all but a few exactly.  So
-no link between bucket mates is lost.
+bucket's head, the most popular member (the one with most bucket mates: the
+text that the others were copied from).  Then, in buckets that still hold
+several classes, members of different classes are compared if they can be
+similar at all: the shingles that each shares with the head, and those that
+each shares outside the head with any text of an open bucket, bound what two
+members have in common, which rules out all but a few exactly.  So no link
+between bucket mates is lost.
 
 Exact copies are one text from the start (keyed by 64-bit hash and text), so
 a group of copies costs one row.  Defined results: null texts and texts
@@ -103,10 +104,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [b.column(0).take(pa.array(lo + have)), pa.array(list(keys), pa.list_(pa.int64()))], ["tid", "keys"])
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of both shingle sets and of their intersection for each pair."""
     for b in batches:
         u, v, own, other = (b.column(k) for k in range(4))
-        good, memory = [], {}
+        found, memory = [], {}
         for k in range(b.num_rows):
             sets = []
             for ids, texts in ((u, own), (v, other)):
@@ -121,13 +123,15 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Both sets are sorted: common elements are neighbours after a merge.
             both = np.sort(np.concatenate([a, c]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            good.append(common >= THRESHOLD * (len(a) + len(c) - common) - 1e-9)
-        keep = pa.array(np.flatnonzero(good))
-        yield pa.RecordBatch.from_arrays([u.take(keep), v.take(keep)], ["u", "v"])
+            found.append((len(a), len(c), common))
+        n_u, n_v, common = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([u, v, *(pa.array(x, pa.int64()) for x in (n_u, n_v, common))],
+                                         ["u", "v", "n_u", "n_v", "common"])
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole texts reach the threshold.
+def verified_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the sizes of their shingle sets and of the common
+    part, from the whole texts, and whether they are linked.
 
     The texts lie in buckets of tid, so only the paired ones move.  v is the
     side with fewer values: its texts are picked first, and the join on it,
@@ -137,7 +141,10 @@ def verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .select(F.col("tid").alias("u"), "v", F.col("text").alias("text_u"))
     right = texts.join(pairs.select(F.col("v").alias("tid")).distinct().hint("shuffle_hash"), "tid") \
         .select(F.col("tid").alias("v"), F.col("text").alias("text_v"))
-    return left.join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_jaccard, "u long, v long")
+    counted = left.join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(
+        _common, "u long, v long, n_u long, n_v long, common long")
+    reached = F.col("common") + 1e-9 >= THRESHOLD * (F.col("n_u") + F.col("n_v") - F.col("common"))
+    return counted.withColumn("linked", reached)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,19 +166,27 @@ def shared_sizes(members: DataFrame, texts: DataFrame) -> DataFrame:
     return sizes
 
 
-def open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+def open_pairs(placed: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of bucket mates (key, u, class c) of different classes that can
-    be similar: |A and B| >= t / (1 + t) * (|A| + |B|) needs as many shingles
-    of each that occur elsewhere at all."""
+    be similar, given each member's intersection with its bucket's head v.
+
+    A link needs |A and B| >= t / (1 + t) * (|A| + |B|).  What A and B have in
+    common lies inside the head (at most the smaller part that either shares
+    with it) or outside (at most what either shares outside the head with any
+    text of an open bucket at all).
+    """
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     members = written(placed.join(mixed.hint("shuffle_hash"), "key"), "open")
-    sized = members.join(shared_sizes(members, texts), "u")
+    inside = stars.select("u", "v", F.col("common").alias("i"))
+    sized = members.where("u <> v").join(inside, ["u", "v"]).join(shared_sizes(members, texts), "u") \
+        .withColumn("o", F.greatest(F.col("s") - F.col("i"), F.lit(0)))
     share = THRESHOLD / (1 + THRESHOLD)
     # Members that fit with no size in their bucket go before the pairing.
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
     sized = written(sized.join(least, "key").where(F.col("s") + 1e-6 >= share * (F.col("n") + F.col("least"))), "fitting")
     a, b = sized.alias("a"), sized.alias("b")
-    fits = F.least("a.s", "b.s") + 1e-6 >= share * (F.col("a.n") + F.col("b.n"))
+    bound = F.least("a.i", "b.i") + F.least("a.o", "b.o")
+    fits = bound + 1e-6 >= share * (F.col("a.n") + F.col("b.n"))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & fits)
     return pairs.select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
 
@@ -187,17 +202,19 @@ def near_duplicate_classes(docs: DataFrame, text_col: str = "text") -> DataFrame
     popular = shared.groupBy("u").agg(F.sum("size").alias("mates"))
     ranked = written(shared.select("key", "u").join(popular, "u"), "popular")
     heads = ranked.groupBy("key").agg(F.max_by("u", F.struct("mates", "u")).alias("v"))
-    stars = ranked.join(heads, "key").where("u <> v").select("u", "v").distinct()
-    links = written(verified_links(written(stars, "stars"), texts), "verified")
+    headed = written(ranked.select("key", "u").join(heads, "key"), "headed")
+    discard(shared, ranked)
+    stars = written(verified_pairs(headed.where("u <> v").select("u", "v").distinct(), texts), "stars")
+    links = stars.where("linked").select("u", "v")
     if links.isEmpty():
         component = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     else:
         component = connected_components(links)
-    placed = shared.select("key", "u").join(component.withColumnRenamed("node", "u"), "u", "left") \
-        .select("key", "u", F.coalesce("component", "u").alias("c"))
-    rest = written(open_pairs(written(placed, "placed"), texts), "rest")
-    more = written(verified_links(rest, texts), "verified") if not rest.isEmpty() else None
-    if more is not None and not more.isEmpty():
+    placed = headed.join(component.withColumnRenamed("node", "u"), "u", "left") \
+        .select("key", "u", "v", F.coalesce("component", "u").alias("c"))
+    rest = open_pairs(written(placed, "placed"), stars, texts)
+    more = written(verified_pairs(rest, texts), "verified").where("linked").select("u", "v")
+    if not more.isEmpty():
         component = connected_components(links.union(more))
     return component.withColumnRenamed("node", "tid")
 
