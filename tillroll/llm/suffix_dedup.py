@@ -124,17 +124,22 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.array(rank, np.uint64).view(np.int64))], ["tid", "i", "loc", "m", "rank"])
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key occurs more than once."""
-    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key)
-    return rows.join(again.hint("shuffle_hash"), key)
+def _repeated(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows whose key occurs more than once, written.
+
+    The keys are written before the join, so that it has an exchange on either
+    side and adaptive execution can split a hot key's rows."""
+    again = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "again")
+    out = written(rows.join(again.hint("shuffle_hash"), key), name)
+    discard(again)
+    return out
 
 
 def prefix_doubling(rows: DataFrame) -> DataFrame:
     """tid and loc of the anchors whose next SPAN bytes and more (up to the
     anchor that ends them) occur more than once.  ``rows`` is a written table
     and is discarded."""
-    alive, size, found = written(_repeated(rows, "rank"), "ranks"), 1, []
+    alive, size, found = _repeated(rows, "rank", "ranks"), 1, []
     discard(rows)
     while True:
         # Ranks from here to ``size`` places on, for those still alive.
@@ -155,9 +160,9 @@ def prefix_doubling(rows: DataFrame) -> DataFrame:
             break
         doubled = paired.where("next is not null").select(
             "tid", "i", "loc", "m", F.xxhash64("rank", "next").alias("rank"))
-        alive, size = written(_repeated(doubled, "rank"), "ranks"), 2 * size
+        alive, size = _repeated(doubled, "rank", "ranks"), 2 * size
         discard(paired)
-    out = written(_repeated(reduce(DataFrame.union, found), "rank").select("tid", "loc"), "candidates")
+    out = _repeated(reduce(DataFrame.union, found), "rank", "candidates").select("tid", "loc")
     discard(paired, *found)
     return out
 
@@ -210,14 +215,15 @@ def repeated_starts(candidates: DataFrame, texts: DataFrame) -> DataFrame:
         rows = written(joined.mapInArrow(_digests(width), "tid long, c long, k1 long, k2 long"
                                          + ", c1 long, c2 long" * (width > 1)), "digests")
         if not finer:
-            again = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            again = written(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
             found.append(written(rows.join(again.hint("shuffle_hash"), ["k1", "k2"]).select("tid", *_starts(1)), "found"))
-            discard(rows)
+            discard(rows, again)
             break
         one = (F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))
-        cores = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).where("n > 1").drop("n")
+        cores = written(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).where("n > 1").drop("n"),
+                        "cores")
         judged = written(rows.join(cores.hint("shuffle_hash"), ["k1", "k2"]).select("tid", "c", "one"), "judged")
-        discard(rows)
+        discard(rows, cores)
         found.append(judged.where("one").select("tid", *_starts(width)))
         near, least, far = F.col("c").bitwiseAND(0xFF), F.shiftright("c", 8).bitwiseAND(0xFF), F.shiftright("c", 16).bitwiseAND(0xFF)
         todo = judged.where("not one").select(
