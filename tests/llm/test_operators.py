@@ -262,6 +262,20 @@ def test_chain_of_near_copies(spark):
     assert {r.class_id for r in near_dedup.near_duplicates(df).collect()} == {0}
 
 
+def test_near_copies_with_a_repeated_block(spark):
+    """Copies that add a block again and again: alike as sets, not as weighted ones."""
+    rng = random.Random(13)
+    texts = []
+    for k in range(30):
+        base, block = words(rng, 200), words(rng, 40)
+        texts += [" ".join(base), " ".join(base + block * (3, 10, 30, 100)[k % 4])]
+    expected = classes_by_definition(texts)
+    assert expected == [k - k % 2 for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert [got[k] for k in range(60)] == expected
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     element = rng.integers(1, 1 << 63, 60, dtype=np.uint64)

@@ -8,6 +8,11 @@ with the probability Jaccard of their shingles.  Registers are banded.  A link
 needs a Jaccard similarity of the shingle sets of ``THRESHOLD`` or more,
 computed from the whole texts; classes are the connected components.
 
+Repeated shingles can push the weighted registers of two texts apart whose
+sets are alike, so a text that repeats a shingle is banded by the same process
+with unit weights too, whose registers agree with the Jaccard similarity of
+the sets.  Without repeats both give the same keys, and a text has them once.
+
 Buckets are not expanded into pairs.  First every member is compared with its
 bucket's head, the most popular member (the one with most bucket mates: the
 text that the others were copied from).  Then, in buckets that still hold
@@ -38,7 +43,8 @@ from tillroll.llm.components import connected_components
 from tillroll.llm.shingles import mix, shingle_hashes
 from tillroll.llm.text_features import parts
 
-#: 32 bands of 5: a pair at 0.8 misses every band with chance 3e-6.
+#: 32 bands of 5: a pair at 0.8 misses every band of unit weights with chance
+#: 3e-6, whatever its counts.
 BANDS = 32
 BAND_ROWS = 5
 REGISTERS = BANDS * BAND_ROWS
@@ -87,21 +93,37 @@ def weighted_shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 def band_keys(owner: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each row."""
-    split = owner.reshape(len(owner), -1, BAND_ROWS)
+    split = owner.reshape(len(owner), owner.shape[1] // BAND_ROWS, BAND_ROWS)
     key = np.broadcast_to(mix(np.arange(split.shape[1], dtype=np.uint64) + np.uint64(77)), split.shape[:2]).copy()
     for k in range(BAND_ROWS):
         key = mix(key * np.uint64(0xD6E8FEB86659FD93) + split[:, :, k])
     return key.view(np.int64)
 
 
+def text_keys(row: np.ndarray, element: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and band key of every text with a word, sorted by row: the weighted
+    keys, and those of unit weights that differ from them."""
+    have = np.flatnonzero(np.bincount(row, minlength=rows))
+    weighted = band_keys(prob_min_hash(row, element, 1 + np.log(count), rows)[have])
+    place = np.full(rows, -1)
+    again = np.unique(row[count > 1])
+    place[again] = np.arange(len(again))
+    own = place[row] >= 0
+    unit = band_keys(prob_min_hash(place[row[own]], element[own], np.ones(int(own.sum())), len(again)))
+    fresh = unit != weighted[np.searchsorted(have, again)]
+    of = np.concatenate([np.repeat(have, BANDS), np.repeat(again, fresh.sum(axis=1))])
+    order = np.argsort(of, kind="stable")
+    return of[order], np.concatenate([weighted.ravel(), unit[fresh]])[order]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, raw, offsets in parts(b.column(1)):
             row, element, count = weighted_shingles(raw, offsets)
-            have = np.flatnonzero(np.bincount(row, minlength=hi - lo))
-            keys = band_keys(prob_min_hash(row, element, 1 + np.log(count), hi - lo)[have])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(lo + have)), pa.array(list(keys), pa.list_(pa.int64()))], ["tid", "keys"])
+            of, keys = text_keys(row, element, count, hi - lo)
+            have, first = np.unique(of, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + have)), lists], ["tid", "keys"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
