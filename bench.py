@@ -39,7 +39,7 @@ HEADLINE = [
     "count_histogram",
     "table_summary",
     "wide_actual_prediction",
-    "adf_stat",
+    "adf_search",
     "rf_forecast",
     "score_all",
     "gbt_forecast",

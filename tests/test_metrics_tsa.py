@@ -142,6 +142,38 @@ def test_adf_matches_least_squares(spark):
     assert res["short"]["adf_stat"] is None and res["short"]["n_obs"] == 0
 
 
+def test_adf_search_query_by_definition(spark, sf_small):
+    """The registered query searches the lag of every series of the given table."""
+    from tillroll.plans.catalog import queries
+    from tillroll.plans.tsa_queries import weekly_name_sales
+
+    def fit(y, lags, first):
+        dy = np.diff(y)
+        t = np.arange(first, len(dy))
+        x = np.stack([np.ones(len(t)), y[t], *[dy[t - j] for j in range(1, lags + 1)]], 1)
+        beta = np.linalg.lstsq(x, dy[t], rcond=None)[0]
+        ssr = ((dy[t] - x @ beta) ** 2).sum()
+        return beta[1] / np.sqrt(ssr / (len(t) - 2 - lags) * np.linalg.inv(x.T @ x)[1, 1]), ssr, len(t)
+
+    res = {r["prod_name"]: r for r in queries()["adf_search"](spark, sf_small).collect()}
+    weekly = weekly_name_sales(spark, sf_small).toPandas().sort_values("week_end")
+    series = {k: g["sales"].to_numpy(float) for k, g in weekly.groupby("prod_name")}
+    assert res.keys() == series.keys() and len({r["used_lag"] for r in res.values()}) > 1
+    for k in sorted(series)[:40]:
+        y, r = series[k], res[k]
+        cap = tsa.default_max_lag(len(y))
+        aic = []
+        for p in range(cap + 1):
+            _, ssr, n = fit(y, p, cap)
+            aic.append(n * np.log(ssr / n) + 2 * (2 + p))
+        assert r["used_lag"] == int(np.argmin(aic))
+        stat, _, n = fit(y, r["used_lag"], r["used_lag"])
+        assert r["n_obs"] == n and r["adf_stat"] == pytest.approx(stat, abs=2e-6)
+        assert r["p_value"] == pytest.approx(tsa.adf_p_value(stat), abs=2e-6)
+        for level, *c in tsa.ADF_CRITICAL_CONSTANT:
+            assert r[f"crit_{level[:-1]}pct"] == pytest.approx(sum(v / n ** i for i, v in enumerate(c)), abs=2e-6)
+
+
 def test_adf_p_values_at_known_points():
     # The 5 % and 10 % points of the statistic in large samples.
     assert tsa.adf_p_value(-2.86154) == pytest.approx(0.05, abs=2e-3)

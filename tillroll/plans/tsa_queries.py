@@ -103,7 +103,13 @@ _ADF = [("adl", """SELECT prod_name, row_number() OVER w AS t, 1.0::DOUBLE AS on
 SELECT prod_name, CAST(round(CAST(CASE WHEN regular AND s2 * v_1 > 0 THEN b_1 / sqrt(s2 * v_1) END AS DECIMAL(38,10)), 6) AS DOUBLE) AS adf_stat,
        CAST(1 AS INTEGER) AS used_lag, CAST(n AS INTEGER) AS n_obs FROM adr""", *_WEEKLY, *_ADF))
 def adf_stat(spark, sf_dir):
-    """T2 at a fixed lag (which SQL can state); the search for the lag, the
-    critical values and the p-value are tested against known values."""
+    """T2 at a fixed lag (which SQL can state); ``adf_search`` is the whole test."""
     out = tsa.adf_test(weekly_name_sales(spark, sf_dir), "prod_name", "week_end", "sales", ADF_LAG, autolag=False)
     return finish(out.select("prod_name", "adf_stat", "used_lag", "n_obs"))
+
+
+@query("adf_search")
+def adf_search(spark, sf_dir):
+    """T2 in full: the lag chosen by AIC up to Schwert's bound, critical
+    values and p-value.  SQL cannot state the search."""
+    return finish(tsa.adf_test(weekly_name_sales(spark, sf_dir), "prod_name", "week_end", "sales"))
