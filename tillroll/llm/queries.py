@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import (ann, bpe_codec, edit_counts, host_rules, langid, near_dedup, packing, quality_knn,
-                          suffix_dedup, url_filter)
+from tillroll.llm import (ann, bpe_codec, edit_counts, host_rules, langid, lexical_search, near_dedup, packing,
+                          quality_knn, simhash, suffix_dedup, url_filter, whitening)
 from tillroll.llm.common import ORACLES, QUERIES, crc_mod, query, table
 
 
@@ -102,6 +102,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+dw AS (SELECT k, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+len AS (SELECT k, doc_id, CAST(count(*) AS BIGINT) AS n FROM dw GROUP BY k, doc_id),
+size AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM len),
+tf AS (SELECT k, term, CAST(count(*) AS BIGINT) AS tf FROM dw GROUP BY k, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, size),
+it AS (SELECT row_number() OVER () AS q, item_id, t FROM (SELECT DISTINCT item_id,
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark)),
+qt AS (SELECT DISTINCT q, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM it),
+s AS (SELECT q, item_id, len.k, len.doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+      FROM qt JOIN wt USING (term) JOIN tf USING (term) JOIN len ON tf.k = len.k, size GROUP BY q, item_id, len.k, len.doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+@query("op11_lexical_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return dict(QUERIES)
 
