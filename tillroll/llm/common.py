@@ -45,6 +45,32 @@ def shuffle_files_removed(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+_OPEN: list[list] = []
+
+
+@contextmanager
+def scratch_tables():
+    """Tables that :func:`written` and :func:`distinct_texts` make in this block
+    are deleted at its end, but for those handed to the function it yields."""
+    made: list = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.scratch)
+        return table
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        for t in made:
+            if t.scratch not in kept:
+                discard(t)
+            elif _OPEN:
+                _OPEN[-1].append(t)  # the block around this one decides
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: later
     reads survive lost executors and prune columns."""
@@ -54,6 +80,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -61,25 +89,38 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`written` that nothing will read again."""
     for t in tables:
         spark = t.sparkSession
+        if getattr(t, "named", None):
+            spark.sql(f"DROP TABLE IF EXISTS {t.named}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of text that a bucket of distinct_texts takes about.
+BUCKET_BYTES = 256 << 20
+
+
 def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     """tid (64-bit hash), text and whether it has copies, of every distinct text
     (nulls left out); kept in buckets of tid, so that joins on it move no
-    text.  Copies are combined before the shuffle."""
+    text.  Copies are combined before the shuffle.  There are as many buckets
+    as shuffle partitions, more if the texts are too large for that.  Only a
+    table with a name can have buckets; :func:`discard` drops the name."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     grouped = docs.where(text.isNotNull()).groupBy(F.xxhash64(text).alias("tid")).agg(
         F.collect_set(text).alias("texts"), F.count(F.lit(1)).alias("n"))
     rows = grouped.select("tid", F.explode("texts").alias("text"), (F.col("n") > F.size("texts")).alias("copied"))
     path = scratch_path(spark, "texts")
     name = "texts_" + path.rsplit("-", 1)[1]
     with shuffle_files_removed(spark):
-        rows.write.option("path", path).option("compression", "zstd").bucketBy(
-            int(spark.conf.get("spark.sql.shuffle.partitions")), "tid").saveAsTable(name)
-    return spark.table(name)
+        rows.write.option("path", path).option("compression", "zstd").bucketBy(min(buckets, 100_000), "tid").saveAsTable(name)
+    out = spark.table(name)
+    out.scratch, out.named = path, name
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
 
 
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:

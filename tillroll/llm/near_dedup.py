@@ -19,8 +19,9 @@ text that the others were copied from).  Then, in buckets that still hold
 several classes, members of different classes are compared if they can be
 similar at all: the shingles that each shares with the head, and those that
 each shares outside the head with any text of an open bucket, bound what two
-members have in common, which rules out all but a few exactly.  So no link
-between bucket mates is lost.
+members have in common, which rules out all but a few exactly.  Buckets with
+the same members count once, and a pair is made in the first bucket that it
+shares only.  So no link between bucket mates is lost, and none is met twice.
 
 Exact copies are one text from the start (keyed by 64-bit hash and text), so
 a group of copies costs one row.  Defined results: null texts and texts
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import discard, distinct_texts, written
+from tillroll.llm.common import discard, distinct_texts, scratch_tables, written
 from tillroll.llm.components import connected_components
 from tillroll.llm.shingles import mix, shingle_hashes
 from tillroll.llm.text_features import parts
@@ -197,8 +198,11 @@ def open_pairs(placed: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFra
     with it) or outside (at most what either shares outside the head with any
     text of an open bucket at all).
     """
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    members = written(placed.join(mixed.hint("shuffle_hash"), "key"), "open")
+    name = F.xxhash64("u")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"),
+                                      F.bit_xor(name).alias("one"), F.bit_xor(F.xxhash64(name, "u")).alias("two"))
+    apart = mixed.where("lo <> hi").groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key")
+    members = written(placed.join(apart.hint("shuffle_hash"), "key"), "open")
     inside = stars.select("u", "v", F.col("common").alias("i"))
     sized = members.where("u <> v").join(inside, ["u", "v"]).join(shared_sizes(members, texts), "u") \
         .withColumn("o", F.greatest(F.col("s") - F.col("i"), F.lit(0)))
@@ -206,39 +210,44 @@ def open_pairs(placed: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFra
     # Members that fit with no size in their bucket go before the pairing.
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
     sized = written(sized.join(least, "key").where(F.col("s") + 1e-6 >= share * (F.col("n") + F.col("least"))), "fitting")
+    keys = sized.groupBy("u").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    sized = written(sized.join(keys, "u"), "fitting")
     a, b = sized.alias("a"), sized.alias("b")
     bound = F.least("a.i", "b.i") + F.least("a.o", "b.o")
     fits = bound + 1e-6 >= share * (F.col("a.n") + F.col("b.n"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & fits)
-    return pairs.select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
+    # A text has 64 keys at most.
+    first = F.array_intersect("a.keys", "b.keys")[0] == F.col("a.key")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & fits & first)
+    return pairs.select(F.col("a.u").alias("u"), F.col("b.u").alias("v"))
 
 
 def near_duplicate_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """tid (text key) and component of every text that has a near copy."""
-    texts = distinct_texts(docs, text_col).select("tid", "text")
-    keyed = written(texts.mapInArrow(_signatures, "tid long, keys array<long>"), "signatures")
-    members = keyed.select("tid", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(members.join(buckets.hint("shuffle_hash"), "key").select("key", F.col("tid").alias("u"), "size"), "buckets")
-    discard(keyed)
-    popular = shared.groupBy("u").agg(F.sum("size").alias("mates"))
-    ranked = written(shared.select("key", "u").join(popular, "u"), "popular")
-    heads = ranked.groupBy("key").agg(F.max_by("u", F.struct("mates", "u")).alias("v"))
-    headed = written(ranked.select("key", "u").join(heads, "key"), "headed")
-    discard(shared, ranked)
-    stars = written(verified_pairs(headed.where("u <> v").select("u", "v").distinct(), texts), "stars")
-    links = stars.where("linked").select("u", "v")
-    if links.isEmpty():
-        component = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    else:
-        component = connected_components(links)
-    placed = headed.join(component.withColumnRenamed("node", "u"), "u", "left") \
-        .select("key", "u", "v", F.coalesce("component", "u").alias("c"))
-    rest = open_pairs(written(placed, "placed"), stars, texts)
-    more = written(verified_pairs(rest, texts), "verified").where("linked").select("u", "v")
-    if not more.isEmpty():
-        component = connected_components(links.union(more))
-    return component.withColumnRenamed("node", "tid")
+    with scratch_tables() as keep:
+        texts = distinct_texts(docs, text_col).select("tid", "text")
+        keyed = written(texts.mapInArrow(_signatures, "tid long, keys array<long>"), "signatures")
+        members = keyed.select("tid", F.explode("keys").alias("key"))
+        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        shared = written(members.join(buckets.hint("shuffle_hash"), "key").select("key", F.col("tid").alias("u"), "size"), "buckets")
+        discard(keyed)
+        popular = shared.groupBy("u").agg(F.sum("size").alias("mates"))
+        ranked = written(shared.select("key", "u").join(popular, "u"), "popular")
+        heads = ranked.groupBy("key").agg(F.max_by("u", F.struct("mates", "u")).alias("v"))
+        headed = written(ranked.select("key", "u").join(heads, "key"), "headed")
+        discard(shared, ranked)
+        stars = written(verified_pairs(headed.where("u <> v").select("u", "v").distinct(), texts), "stars")
+        links = stars.where("linked").select("u", "v")
+        if links.isEmpty():
+            component = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        else:
+            component = connected_components(links)
+        placed = headed.join(component.withColumnRenamed("node", "u"), "u", "left") \
+            .select("key", "u", "v", F.coalesce("component", "u").alias("c"))
+        rest = open_pairs(written(placed, "placed"), stars, texts)
+        more = written(verified_pairs(rest, texts), "verified").where("linked").select("u", "v")
+        if not more.isEmpty():
+            component = connected_components(links.union(more))
+        return keep(written(component.withColumnRenamed("node", "tid"), "classes"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,8 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
     # Texts without a word have no class key and so match no class.
     named = rows.join(classes, "tid", "left").withColumn("c", F.when(F.col("words"), F.coalesce("component", "tid")))
-    heads = named.where("c is not null").groupBy(F.col("c").alias("head")).agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # Written before the join, whose other side then has a hot class in an
+    # exchange of its own that adaptive execution can split.
+    heads = written(named.where("c is not null").groupBy(F.col("c").alias("head")).agg(
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "heads")
     return named.join(heads, F.col("c") == F.col("head"), "left").select(
         "doc_id", "tid", F.when(F.col("words"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("words"), F.col("class_size")).otherwise(F.lit(1)).alias("class_size"))
