@@ -38,6 +38,32 @@ def removed_by_definition(texts, length=400):
     return out
 
 
+def left_by_definition(text, texts, scale):
+    """``text`` without the runs covered by strings of ``scale.length`` bytes
+    that start elsewhere too, of ``scale.words`` words or more."""
+    raw, length = text.encode(), scale.length
+    if texts is not getattr(left_by_definition, "texts", None):
+        left_by_definition.texts = texts
+        left_by_definition.seen = {}
+    seen = left_by_definition.seen.get(length)
+    if seen is None:
+        seen = Counter(t[k:k + length] for t in (x.encode() for x in texts) for k in range(len(t) - length + 1))
+        left_by_definition.seen[length] = seen
+    covered = bytearray(len(raw))
+    for k in range(len(raw) - length + 1):
+        if seen[raw[k:k + length]] > 1:
+            covered[k:k + length] = b"\1" * length
+    rest, k = b"", 0
+    while k < len(raw):
+        end = k
+        while end < len(raw) and covered[end] == covered[k]:
+            end += 1
+        if not covered[k] or len(raw[k:end].split()) < scale.words:
+            rest += raw[k:end]
+        k = end
+    return rest.decode("utf-8", "ignore")
+
+
 def shingle_set(text, n=5):
     words = text.split()
     if not words:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from helpers import MID, SF, classes_by_definition, removed_by_definition
+from helpers import MID, SF, classes_by_definition, left_by_definition, removed_by_definition
 from pyspark.sql import functions as F
 
 from tillroll.llm import (ann, bpe_codec, edit_counts, host_rules, langid, near_dedup, packing, queries, quality_knn,
@@ -58,13 +58,39 @@ def test_passages_by_definition(spark):
         texts.append(noise(300) + shared[a:a + rng.randint(360, 600)] + noise(300))
     texts += [shared[:700]] * 3 + [shared[100:500] + shared[100:500]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_passages(df).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_passages(df).collect()}
     assert [got[k] for k in range(len(texts))] == removed_by_definition([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("scale", [suffix_dedup.Scale(150, 64), suffix_dedup.WORDS_50])
+def test_shorter_passages_by_definition(spark, scale):
+    rng = random.Random(6)
+    shared = [words(rng, 400), words(rng, 400, "xyzw")]
+    texts = ["", "ab " * 60, "z" * 149, "z" * 150]
+    for _ in range(60):
+        a, n = rng.randint(0, 300), rng.randint(20, 90)
+        texts.append(" ".join(words(rng, 30, "klmnop") + rng.choice(shared)[a:a + n] + words(rng, 30, "qrst")))
+    texts += texts[-2:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.strip_passages(df, scale=scale).collect()}
+    assert [got[k] for k in range(len(texts))] == [left_by_definition(t, texts, scale) for t in texts]
+    assert sum(got[k] != t for k, t in enumerate(texts)) > 30
+
+
+def test_digests_of_spans(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP", 700)
+    raw = np.frombuffer(bytes(random.Random(2).choices(b"ab", k=3000)), np.uint8)
+    begin = np.arange(2500)
+    for n in (1, 3, 12, 400):
+        one, two = suffix_dedup.span_digests(raw, begin, begin + n, np.zeros(2500, np.int64))
+        names = [bytes(raw[k:k + n]) for k in begin]
+        assert len(set(zip(names, one, two))) == len(set(names)) == len(set(one)) == len(set(two))
+        assert not set(one) & set(suffix_dedup.span_digests(raw, begin, begin + n, np.ones(2500, np.int64))[0])
+
+
 def test_passages_of_documents(spark, docs):
     ids = sorted(docs)
-    got = {r.doc_id: tuple(r)[1:] for r in queries.op2(spark, SF).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in queries.op2(spark, SF).collect()}
     assert [got[k] for k in ids] == removed_by_definition([(docs[k].text or "").encode() for k in ids])
 
 
