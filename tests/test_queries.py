@@ -6,18 +6,21 @@ import pytest
 from tillroll.plans.catalog import oracle_sql, queries
 from tillroll.plans.oracle_check import compare, duck
 
-SF = "/root/testdata/sf0.001"
+SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+#: No day of the small tables has all prices, which leaves these empty there.
+LARGER = {"own_cross_price", "log_price_model", "cross_price_complete"}
 NAMES = sorted(queries())
 
 
 @pytest.fixture(scope="module")
-def con():
-    return duck(SF)
+def connections():
+    return {sf: duck(sf) for sf in (SMALL, MID)}
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_oracle(spark, con, name):
-    msg, ok = compare(spark, con, name, queries()[name], oracle_sql().get(name), SF)
+def test_query_matches_oracle(spark, connections, name):
+    sf = MID if name in LARGER else SMALL
+    msg, ok = compare(spark, connections[sf], name, queries()[name], oracle_sql().get(name), sf)
     assert ok, msg
 
 

@@ -9,6 +9,8 @@ import numpy as np
 
 #: A pivot this small against its diagonal entry makes a system singular.
 PIVOT_FLOOR = 1e-9
+#: Residuals this small against the total are rounding: the fit is perfect.
+RESIDUAL_FLOOR = 1e-20
 
 
 def solve_normal(xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,6 +34,42 @@ def solve_normal(xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[:, :, k], a[:, np.arange(k), k + 1 + np.arange(k)], regular
 
 
+def stacked_triangles(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Triangular factors (groups, c, c) of consecutive runs of ``rows``
+    (n, c) of the given sizes, by orthogonal reflections.  Runs of similar
+    size are padded with zero rows, which change no factor, and factored
+    together."""
+    c = rows.shape[1]
+    out = np.zeros((len(size), c, c))
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    padded = np.maximum(c, 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    for height in np.unique(padded):
+        own = np.flatnonzero(padded == height)
+        place = np.arange(height)[None, :]
+        inside = place < size[own, None]
+        stack = np.where(inside[:, :, None], rows[np.where(inside, begin[own, None] + place, 0)], 0.0)
+        out[own] = np.linalg.qr(stack, mode="r")
+    return out
+
+
+def fit_triangles(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least squares of the last column on the others, from triangular factors
+    (n, k + 1, k + 1): coefficients, diagonal of the inverse of X'X, residual
+    and total sums of squares, and a mask of the systems of full rank."""
+    k = r.shape[2] - 1
+    x = r[:, :k, :k]
+    own = np.abs(x[:, np.arange(k), np.arange(k)])
+    length = np.sqrt((x ** 2).sum(axis=1))
+    regular = (own ** 2 > PIVOT_FLOOR * length ** 2).all(axis=1)
+    x = np.where(regular[:, None, None], x, np.eye(k))
+    scale = np.where(regular[:, None], length, 1.0)
+    inverse = np.linalg.solve(x / scale[:, None, :], np.broadcast_to(np.eye(k), x.shape)) / scale[:, :, None]
+    beta = (inverse @ r[:, :k, k:])[:, :, 0]
+    total = (r[:, :, k] ** 2).sum(axis=1)
+    rest = r[:, k, k] ** 2
+    return beta, (inverse ** 2).sum(axis=2), np.where(rest > RESIDUAL_FLOOR * total, rest, 0.0), total, regular
+
+
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function by its continued fraction."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))

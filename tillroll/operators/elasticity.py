@@ -1,22 +1,24 @@
 """Price sensitivity and elasticity (A15-A21, T16, T18-T21, W12, P12, P14,
 F10-F12, F17, F18).
 
-The own/cross price regressions do not loop over styles: the normal
-equations (X'X, X'y, y'y and n) of every style are one grouped aggregate,
-and only the k x k solves (one small row per style) run in numpy, a batch of
-styles at a time.
+The own/cross price regressions do not loop over styles: every batch of rows
+is reduced to one small triangular factor a style, the factors of a style are
+merged after one shuffle, and the solves run a batch of styles at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import month_abbr, season_of_month
 from tillroll.functions.keys import l3_l4_key
-from tillroll.functions.linear import solve_normal, t_test_p
+from tillroll.functions.linear import fit_triangles, stacked_triangles, t_test_p
 from tillroll.functions.numeric import round_half_even
 
 
@@ -185,58 +187,100 @@ def regression_design(target: DataFrame, prices: DataFrame, n_prices: int,
     return kept.select(group, date, yv.alias("y"), *mine).join(complete, date)
 
 
+def _runs(table: pa.Table, group: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Group values of a table, a stable order of its rows by group, and the
+    number of rows of each."""
+    codes = table.column(group).combine_chunks().dictionary_encode("encode")
+    index = codes.indices.to_numpy()
+    return codes.dictionary, np.argsort(index, kind="stable"), np.bincount(index, minlength=len(codes.dictionary))
+
+
+def triangular_rows(design: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """``design`` with each group's rows of a batch replaced by at most as many
+    rows as there are columns that have the same inner products (their
+    triangular factor); ``n`` counts the rows behind each.  Factors of factors
+    are factors, so a group may lie in any number of tasks and steps."""
+    c = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names, order, size = _runs(pa.Table.from_batches([b]), group)
+            rows = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False) for k in range(c)], 1)[order]
+            n = b.column(1 + c).to_numpy()[order]
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+            many = np.flatnonzero(size > c)
+            few = np.repeat(size <= c, size)
+            large = stacked_triangles(rows[~few], size[many]).reshape(-1, c)
+            counts = np.zeros((len(many), c), np.int64)
+            counts[:, 0] = np.add.reduceat(n, begin)[many]
+            of = np.concatenate([np.repeat(np.arange(len(size)), size)[few], np.repeat(many, c)])
+            out = np.concatenate([rows[few], large])
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(of)), *(pa.array(np.ascontiguousarray(x)) for x in out.T),
+                 pa.array(np.concatenate([n[few], counts.ravel()]))], [group, *columns, "n"])
+
+    schema = f"{group} string, " + ", ".join(f"{name} double" for name in columns) + ", n long"
+    return design.mapInArrow(run, schema)
+
+
 def no_intercept_ols(design: DataFrame, n_prices: int, group: str = "style_label", own: bool = False) -> DataFrame:
     """Per group, least squares ``y ~ [p_own +] p_1 + .. + p_k``
     without intercept.  Output ``(group, regressor, coef, std_err, t_value,
     p_value, n_obs, r2_uncentered)``; the estimates of a group whose
     regressors are linearly dependent are null.
 
-    The sums forming X'X, X'y and y'y are one Spark aggregate per group, over
-    decimals (prices to 4 places, the target to 8), so that they are exact.
-    One row per group is left; the systems of a batch of groups are solved
-    together.
+    Moments would square the condition of the design, so the rows are reduced
+    by orthogonal factors (a tall, narrow factorisation): every batch leaves
+    one small triangle a group, the triangles of a group meet after one
+    shuffle and are factored again, and the systems of a batch of groups are
+    solved together.  A group that holds most rows is reduced before the
+    shuffle like any other.
     """
     ps = ["p_own"] * own + [f"p_{j}" for j in range(1, n_prices + 1)]
-    k = len(ps)
-    exact = design.select(group, *[F.col(p).cast("decimal(18,4)").alias(p) for p in ps],
-                          F.col("y").cast("decimal(18,8)").alias("y"))
-    sums = [F.sum(F.col(a) * F.col(b)).cast("double").alias(f"xx_{i}_{j}")
-            for i, a in enumerate(ps) for j, b in enumerate(ps) if j >= i]
-    sums += [F.sum(F.col(a) * F.col("y")).cast("double").alias(f"xy_{i}") for i, a in enumerate(ps)]
-    sums += [F.sum(F.col("y") * F.col("y")).cast("double").alias("yy"), F.count(F.lit(1)).alias("n")]
-    normal = exact.groupBy(group).agg(*sums)
+    columns, k = [*ps, "y"], len(ps)
+    rows = design.select(F.col(group).cast("string").alias(group), *[F.col(c).cast("double").alias(c) for c in columns],
+                         F.lit(1).cast("long").alias("n"))
     schema = (f"{group} string, regressor string, coef double, std_err double, t_value double, p_value double, "
               "n_obs long, r2_uncentered double")
 
-    def solve(batches):
-        for pdf in batches:
-            xx = np.stack([np.stack([pdf[f"xx_{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(k)], 1)
-                           for i in range(k)], 1)
-            xy = np.stack([pdf[f"xy_{i}"].to_numpy(float) for i in range(k)], 1)
-            yy, n = pdf["yy"].to_numpy(float), pdf["n"].to_numpy(np.int64)
-            beta, inverse, regular = solve_normal(xx, xy)
-            fitted = np.zeros(len(pdf))
-            for i in range(k):
-                fitted = fitted + beta[:, i] * xy[:, i]
-            ssr = np.maximum(yy - fitted, 0.0)
-            dof = n - k
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sigma2 = np.where(dof > 0, ssr / dof, np.nan)
-                se = np.sqrt(np.maximum(sigma2[:, None] * inverse, 0.0))
-                t = np.where(se > 0, beta / se, np.nan)
-                r2 = np.where(yy > 0, 1 - ssr / yy, np.nan)
-            p = t_test_p(t, dof[:, None] + np.zeros_like(t))
-            keep = np.where(regular[:, None], 1.0, np.nan)
-            yield pd.DataFrame({
-                group: np.repeat(pdf[group].to_numpy(), k), "regressor": np.tile(ps, len(pdf)),
-                "coef": (beta * keep).ravel(), "std_err": (se * keep).ravel(), "t_value": (t * keep).ravel(),
-                "p_value": (p * keep).ravel(), "n_obs": np.repeat(n, k),
-                "r2_uncentered": np.repeat(r2 * keep[:, 0], k)})
-
-    found = normal.mapInPandas(solve, schema)
-    # NaN marks what is undefined inside numpy; the result has nulls.
-    numbers = ["coef", "std_err", "t_value", "p_value", "r2_uncentered"]
-    return found.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in numbers else F.col(c) for c in found.columns])
+    def solved(held: pa.Table) -> pa.RecordBatch:
+        names, order, size = _runs(held, group)
+        m = np.stack([held.column(c).to_numpy() for c in columns], 1)[order]
+        n = np.add.reduceat(held.column("n").to_numpy()[order], np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64))
+        beta, inverse, ssr, yy, regular = fit_triangles(stacked_triangles(m, size))
+        dof = n - k
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sigma2 = np.where(dof > 0, ssr / dof, np.nan)
+            se = np.sqrt(sigma2[:, None] * inverse)
+            t = np.where(se > 0, beta / se, np.nan)
+            r2 = np.where(yy > 0, 1 - ssr / yy, np.nan)
+        p = t_test_p(t, dof[:, None] + np.zeros_like(t))
+        keep = np.where(regular[:, None], 1.0, np.nan)
+        each = np.repeat(np.arange(len(n)), k)
+        numbers = [(x * keep).ravel() for x in (beta, se, t, p)]
+        return pa.RecordBatch.from_arrays(
+            [names.take(pa.array(each)), pa.array(ps * len(n)), *(pa.array(x, from_pandas=True) for x in numbers),
+             pa.array(n[each]), pa.array((r2 * keep[:, 0])[each], from_pandas=True)],
+            [f.split()[0] for f in schema.split(", ")])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last group so far: it may go on in the next batch
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            last = held.column(group)[held.num_rows - 1] if held.num_rows else None
+            unnamed = last is None or not last.is_valid
+            same = pc.is_null(held.column(group)) if unnamed else pc.fill_null(pc.equal(held.column(group), last), False)
+            ended = held.filter(pc.invert(same))
+            if ended.num_rows:
+                yield solved(ended)
+                held = held.filter(same)
+        if held is not None and held.num_rows:
+            yield solved(held)
+
+    factors = triangular_rows(rows, columns, group)
+    return factors.repartition(F.col(group)).sortWithinPartitions(group).mapInArrow(solve, schema)
 
 
 def l3_l4_panel(panel: DataFrame, date: str = "transaction_date") -> DataFrame:

@@ -1,15 +1,18 @@
 """Time-series analysis per series key.
 
-Decomposition, deseasonalising, detrending and the periodogram are window and
-aggregate expressions.  The lags and normal equations of the ADF regression
-are too; its small solves (one row per series) run in numpy, a batch of series
-at a time.
+Decomposition, deseasonalising and detrending are window and aggregate
+expressions.  The lags and normal equations of the ADF regression are too; its
+small solves and the periodogram's transforms (one row per series) run in
+numpy, a batch of series at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,21 +86,30 @@ def periodogram(panel: DataFrame, key: str, order_col: str, value: str,
     line; frequencies in cycles per year.  ``power_k = m |sum y_t
     exp(-2 pi i k t / n)|^2 / n^2`` with m = 2 except k = 0 and k = n/2.
 
-    The sums are a partially aggregated group over (key, frequency); a key's
-    work is bounded by the square of the days in its history.
+    A key's residuals are one sorted array (a value a day of its history) and
+    its sums one fast Fourier transform, n log n whatever n; keys of the same
+    length in a batch are transformed together.
     """
-    rest = linear_detrend(panel, key, order_col, value).select(key, (F.col("t") - 1).alias("_t"), F.col("detrended").alias("_r"))
-    size = rest.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    half = F.floor(F.col("_n") / 2).cast("int")
-    rows = rest.join(size, key).select(key, "_n", "_t", "_r", F.explode(F.sequence(F.lit(0), half)).alias("k"))
-    # k t is reduced modulo n first, so the angle stays small and exact.
-    angle = 2 * F.pi() * F.pmod(F.col("k").cast("long") * F.col("_t"), F.col("_n")) / F.col("_n")
-    sums = rows.groupBy(key, "_n", "k").agg(F.sum(F.col("_r") * F.cos(angle)).alias("_c"),
-                                            F.sum(F.col("_r") * F.sin(angle)).alias("_s"))
-    n = F.col("_n").cast("double")
+    rest = linear_detrend(panel, key, order_col, value).select(key, "t", F.col("detrended").alias("r"))
+    arrays = rest.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "r")))["r"].alias("r")).where(F.size("r") > 1)
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, size = b.column(1).flatten().to_numpy(zero_copy_only=False), b.column(1).value_lengths().to_numpy()
+            begin = np.cumsum(size) - size
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                power = np.abs(np.fft.rfft(values[begin[own, None] + np.arange(n)], axis=1)) ** 2
+                k = np.tile(np.arange(power.shape[1]), len(own))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.repeat(own, power.shape[1]))), pa.array(k, pa.int32()),
+                     pa.array(np.full(len(k), float(n))), pa.array(power.ravel())], [key, "k", "_n", "_p"])
+
+    kind = arrays.schema[key].dataType.simpleString()
+    sums = arrays.mapInArrow(transform, f"`{key}` {kind}, k int, _n double, _p double")
     scale = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("_n")), 1.0).otherwise(2.0)
-    return sums.select(key, "k", (samples_per_year * F.col("k") / n).alias("frequency"),
-                       (scale * (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / (n * n)).alias("power"))
+    return sums.select(key, "k", (samples_per_year * F.col("k") / F.col("_n")).alias("frequency"),
+                       (scale * F.col("_p") / (F.col("_n") * F.col("_n"))).alias("power"))
 
 
 # MacKinnon (2010) response-surface coefficients for the

@@ -176,14 +176,12 @@ _L3 = [("l3p", """SELECT l3_l4, transaction_date, avg(final_price) AS final_pric
                       FROM l3p JOIN l3_prices p USING (transaction_date) WHERE units_sold IS NOT NULL""")]
 
 
-# The p-values need Student's distribution, which SQL lacks; they are tested
-# against known values instead.
 @query("own_cross_price", with_ctes("SELECT * FROM ols", *_STYLE, _LABELS, _PRICES, _CROSS_DESIGN,
                                     *ols_ctes("design", "style_label", ["p_own", *_PS])))
 def own_cross_price(spark, sf_dir):
-    return finish(elasticity.no_intercept_ols(_cross_design(spark, sf_dir), N_CROSS_PRICES, own=True)).drop("p_value")
+    return finish(elasticity.no_intercept_ols(_cross_design(spark, sf_dir), N_CROSS_PRICES, own=True))
 
 
 @query("log_price_model", with_ctes("SELECT * FROM ols", *_SP, *_L3, *ols_ctes("design", "style_label", _L3_PS)))
 def log_price_model(spark, sf_dir):
-    return finish(elasticity.no_intercept_ols(_l3_design(spark, sf_dir), N_L3_PRICES)).drop("p_value")
+    return finish(elasticity.no_intercept_ols(_l3_design(spark, sf_dir), N_L3_PRICES))

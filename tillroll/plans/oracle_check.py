@@ -84,6 +84,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return f"{name}: COLUMNS differ spark={sc} duck={dc}", False
     if len(sr) != len(dr):
         return f"{name}: ROWCOUNT spark={len(sr)} duck={len(dr)}", False
+    if not dr:
+        return f"{name}: EMPTY on both sides, nothing is compared", False
     bad = [(a, b) for a, b in zip(sr, dr) if a != b]
     if bad:
         return f"{name}: VALUES differ in {len(bad)} rows, e.g. spark={bad[0][0]} duck={bad[0][1]}", False

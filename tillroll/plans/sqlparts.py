@@ -211,26 +211,52 @@ def elimination_ctes(src: str, keep: str, k: int, name: str = "gj") -> list[tupl
     return ctes + [(name, f"SELECT {keep}, regular, {', '.join(out)} FROM {name}_{k}")]
 
 
+def student_p(t: str, dof: str) -> str:
+    """Two-sided p-value of Student's t for whole degrees of freedom, by the
+    finite series in the angle of t."""
+    cos2, sine = f"({dof} / ({dof} + {t} * {t}))", f"(abs({t}) / sqrt({dof} + {t} * {t}))"
+    even = (f"{sine} * list_sum(list_transform(range(0, CAST({dof} // 2 AS BIGINT)), lambda m: "
+            f"exp(lgamma(m + 0.5) - lgamma(m + 1.0)) / sqrt(pi()) * pow({cos2}, m)))")
+    odd = (f"2 / pi() * (atan(abs({t}) / sqrt({dof})) + {sine} * sqrt({cos2}) * coalesce(list_sum(list_transform("
+           f"range(0, CAST(({dof} - 1) // 2 AS BIGINT)), lambda m: "
+           f"exp(lgamma(m + 1.0) - lgamma(m + 1.5)) * sqrt(pi()) / 2 * pow({cos2}, m))), 0))")
+    return f"1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
 def ols_ctes(design: str, group: str, ps: list[str]) -> list[tuple[str, str]]:
     """The no-intercept regressions of ``no_intercept_ols`` over CTE
-    ``design`` (group, y, ps): CTE ``ols`` with one row per regressor."""
+    ``design`` (group, y, ps): CTE ``ols`` with one row per regressor.
+
+    Each step takes one column's share out of the columns after it (modified
+    Gram-Schmidt on the rows), which keeps the condition of the design."""
     k = len(ps)
-    x = {p: f"CAST({p} AS DECIMAL(18,4))" for p in ps}
-    y = "CAST(y AS DECIMAL(18,8))"
-    sums = [f"CAST(sum({x[a]} * {x[b]}) AS DOUBLE) AS xx_{i}_{j}" for i, a in enumerate(ps) for j, b in enumerate(ps) if j >= i]
-    sums += [f"CAST(sum({x[a]} * {y}) AS DOUBLE) AS xy_{i}" for i, a in enumerate(ps)]
-    xys = ", ".join(f"xy_{i}" for i in range(k))
-    fitted = "0.0::DOUBLE" + "".join(f" + b_{i} * xy_{i}" for i in range(k))
-    rows = ", ".join(f"('{p}', b_{i}, v_{i})" for i, p in enumerate(ps))
-    return [
-        ("moments", f"SELECT {group}, {', '.join(sums)}, CAST(sum({y} * {y}) AS DOUBLE) AS yy, count(*) AS n "
-                    f"FROM {design} GROUP BY {group}"),
-        *elimination_ctes("moments", f"{group}, yy, n, {xys}", k),
-        ("fit", f"SELECT *, greatest(yy - ({fitted}), 0.0) AS ssr FROM gj"),
+    ctes = [("gs_0", f"SELECT {group}, " + ", ".join(
+        f"CAST({c} AS DOUBLE) AS c_{i}, CAST({c} AS DOUBLE) AS o_{i}" for i, c in enumerate([*ps, "y"])) + f" FROM {design}")]
+    for j in range(k):
+        dots = ", ".join(f"sum(c_{j} * c_{i}) OVER (PARTITION BY {group}) AS d_{j}_{i}" for i in range(j, k + 1))
+        ctes.append((f"dot_{j}", f"SELECT *, {dots} FROM gs_{j}"))
+        less = ", ".join(f"c_{i} - d_{j}_{i} / CASE WHEN d_{j}_{j} > 0 THEN d_{j}_{j} ELSE 1 END * c_{j} AS c_{i}" for i in range(j + 1, k + 1))
+        ctes.append((f"gs_{j + 1}", f"SELECT * REPLACE ({less}) FROM dot_{j}"))
+    once = ", ".join(f"max(d_{j}_{i}) AS d_{j}_{i}" for j in range(k) for i in range(j, k + 1))
+    ctes.append(("tri", f"SELECT {group}, count(*) AS n, sum(o_{k} * o_{k}) AS yy, sum(c_{k} * c_{k}) AS rest, "
+                        + ", ".join(f"sum(o_{i} * o_{i}) AS xx_{i}" for i in range(k)) + f", {once} FROM gs_{k} GROUP BY {group}"))
+    full = " AND ".join(f"d_{j}_{j} > 1e-9 * xx_{j}" for j in range(k))
+    ctes.append(("unit", f"SELECT *, {full} AS regular, CASE WHEN rest > 1e-20 * yy THEN rest ELSE 0 END AS ssr, " + ", ".join(
+        f"d_{j}_{i} / CASE WHEN d_{j}_{j} > 0 THEN d_{j}_{j} ELSE 1 END AS u_{j}_{i}" for j in range(k) for i in range(j + 1, k + 1)) + ", "
+        + ", ".join(f"1.0::DOUBLE AS w_{j}_{j}" for j in range(k)) + " FROM tri"))
+    for step in range(1, k):  # the inverse of the unit triangle, diagonal by diagonal
+        ctes.append((f"inv_{step}", "SELECT *, " + ", ".join(
+            f"-({' + '.join(f'u_{i}_{m} * w_{m}_{i + step}' for m in range(i + 1, i + step + 1))}) AS w_{i}_{i + step}"
+            for i in range(k - step)) + f" FROM {f'inv_{step - 1}' if step > 1 else 'unit'}"))
+    beta = [" + ".join(f"w_{i}_{j} * u_{j}_{k}" for j in range(i, k)) for i in range(k)]
+    spread = [" + ".join(f"w_{i}_{j} * w_{i}_{j} / CASE WHEN d_{j}_{j} > 0 THEN d_{j}_{j} ELSE 1 END" for j in range(i, k)) for i in range(k)]
+    rows = ", ".join(f"('{p}', {beta[i]}, {spread[i]})" for i, p in enumerate(ps))
+    return ctes + [
         ("fit_rows", f"""SELECT {group}, r.regressor, CASE WHEN regular THEN r.b END AS coef, n, yy, ssr, regular,
-                  CASE WHEN regular AND n > {k} THEN sqrt(greatest(ssr / (n - {k}) * r.v, 0.0)) END AS std_err
-                  FROM fit, LATERAL (VALUES {rows}) r(regressor, b, v)"""),
-        ("ols", f"""SELECT {group}, regressor, {r6('coef')} AS coef, {r6('std_err')} AS std_err,
-                  {r6('CASE WHEN std_err > 0 THEN coef / std_err END')} AS t_value, CAST(n AS BIGINT) AS n_obs,
-                  {r6('CASE WHEN regular AND yy > 0 THEN 1 - ssr / yy END')} AS r2_uncentered FROM fit_rows"""),
+                  CASE WHEN regular AND n > {k} THEN sqrt(ssr / (n - {k}) * r.v) END AS std_err
+                  FROM {f'inv_{k - 1}' if k > 1 else 'unit'}, LATERAL (VALUES {rows}) r(regressor, b, v)"""),
+        ("tested", f"SELECT *, CASE WHEN std_err > 0 THEN coef / std_err END AS t, CAST(n - {k} AS DOUBLE) AS dof FROM fit_rows"),
+        ("ols", f"""SELECT {group}, regressor, {r6('coef')} AS coef, {r6('std_err')} AS std_err, {r6('t')} AS t_value,
+                  {r6(f"CASE WHEN t IS NOT NULL THEN {student_p('t', 'dof')} END")} AS p_value, CAST(n AS BIGINT) AS n_obs,
+                  {r6('CASE WHEN regular AND yy > 0 THEN 1 - ssr / yy END')} AS r2_uncentered FROM tested"""),
     ]
