@@ -157,3 +157,76 @@ def test_gbt_search_beats_naive_on_periodic_series(spark):
     assert len(pdf) == 3 * 14 and len(results) == 2 and best in [r[0] for r in results]
     naive = metrics.naive_forecast(daily, "product_code", "date", "sales").toPandas()
     assert (pdf["actual"] - pdf["forecast"]).abs().mean() <= (naive["actual"] - naive["forecast"]).abs().mean()
+
+
+def test_fold_groups_by_definition(spark):
+    """Windows of 15 rows and horizons of 14, every 14 rows from row 30 on, over the whole history."""
+    daily = _periodic_panel(spark, keys=1, days=150)
+    frame = forecast.supervised_frame(daily, "product_code", "date", "sales", 5, 14, 14)
+    groups, role = forecast.fold_groups(30, 15, 14)
+    assert groups == 3
+    rows = frame.select("h", "behind", "ahead", *[role(g).alias(f"g{g}") for g in range(groups)], (F.col("position") + 1).alias("p")).collect()
+    train_rows, ends = 136, [30 + 14 * f for f in range(20) if 30 + 14 * f + 14 <= 136]
+    assert len(rows) > 1000 and len(ends) == 7
+    for r in rows:
+        for g in range(groups):
+            own = ends[g::groups]
+            want = None
+            if r.ahead >= 0 and r.p - r.h in own:
+                want = "valid"
+            elif r.ahead >= 0 and any(e - 15 < r.p <= e for e in own):
+                want = "train"
+            assert r[f"g{g}"] == want and train_rows - r.p == r.ahead
+    for g in range(groups):
+        trained = {r.p for r in rows if r[f"g{g}"] == "train"}
+        assert not trained & {r.p for r in rows if r[f"g{g}"] == "valid"}  # no target on both sides
+
+
+def test_fit_store(spark, tmp_path):
+    daily = _periodic_panel(spark, keys=2, days=100)
+    folder = str(tmp_path / "daily")
+    daily.write.parquet(folder)
+    source, store, made = spark.read.parquet(folder), forecast.FitStore(spark, str(tmp_path / "fits")), []
+
+    def model(digest, **settings):
+        def make():
+            made.append(settings)
+            return forecast.fit_rf(frame, 7, num_trees=settings["trees"])
+        return store.model(digest, settings, make)
+
+    digest = forecast.source_digest(source)
+    frame = store.frame(digest, {"lags": 7}, lambda: forecast.supervised_frame(source, "product_code", "date", "sales", 7, 14, 14))
+    first, again = model(digest, trees=3), model(forecast.source_digest(spark.read.parquet(folder)), trees=3)
+    score = frame.where("role = 'score'")
+    assert made == [{"trees": 3}]  # fitted once
+    same = lambda m: sorted(r.prediction for r in m.transform(score).collect())
+    assert same(first) == same(again)
+    assert model(digest, trees=4).stages[-1].getNumTrees == 4 and len(made) == 2  # a setting
+    daily.limit(50).write.mode("append").parquet(folder)
+    model(forecast.source_digest(spark.read.parquet(folder)), trees=3)
+    assert len(made) == 3  # the data
+
+
+def test_paired_skill(spark):
+    rows = [("a", 5.0, 4.0, 7.0), ("a", 2.0, 2.0, 5.0), ("a", 3.0, 5.0, 4.0), ("b", 1.0, 1.0, 1.0), ("b", None, 2.0, 2.0), (None, 4.0, 6.0, 5.0)]
+    got = {r.k: r for r in metrics.paired_skill(spark.createDataFrame(rows, "k string, actual double, forecast double, naive double"), "k").collect()}
+    d = np.array([1 - 2, 0 - 3, 2 - 1.0])
+    assert (got["a"].n, got["a"].as_good, got[None].as_good) == (3, 1, 0)
+    assert got["a"].t_value == pytest.approx(d.mean() / (d.std(ddof=1) / 3 ** 0.5)) and got["b"].t_value is None
+    assert (got["b"].n, got["b"].mae_model) == (1, 0.0)
+
+
+def test_models_on_given_table(spark, sf_small):
+    """No model is worse than the naive mean over the given table, and every forecast is there."""
+    from tillroll.plans.catalog import queries
+    skill = queries()["forecast_skill"](spark, sf_small).toPandas()
+    total = skill.assign(m=skill.mae_model * skill.n, b=skill.mae_base * skill.n).groupby("model")[["m", "b"]].sum()
+    assert set(total.index) <= {"products", "styles"} and len(total)
+    assert (total.m <= total.b).all(), total
+    shares = queries()["feature_importance_rows"](spark, sf_small).toPandas()
+    for _, own in shares.groupby("model"):
+        own = own.sort_values("cum_importance")
+        running = 0.0  # the kept set, by a loop over the features
+        for row in own.itertuples():
+            running += row.importance
+            assert row.keep == int(running <= 0.98 + 1e-9) or abs(running - 0.98) < 1e-6

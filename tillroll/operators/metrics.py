@@ -119,3 +119,17 @@ def long_form(wide: DataFrame, row: str) -> DataFrame:
     """(row, name, v) of a wide table's cells that hold a value."""
     values = [F.col(f"`{c}`") for c in wide.columns if c != row]
     return wide.unpivot(row, values, "name", "v").where("v IS NOT NULL")
+
+
+def paired_skill(rows: DataFrame, key: str, model: str = "forecast", base: str = "naive", actual: str = "actual") -> DataFrame:
+    """Paired comparison of two forecasts of the same days, per key: the days
+    that have both (``n``), both mean absolute errors, the mean of the paired
+    differences (negative: the model is better), their paired t statistic (null
+    under two days or without spread) and whether the model is at least as
+    good.  One aggregate; the sums are combined before the shuffle."""
+    a, b = F.abs(F.col(model) - F.col(actual)), F.abs(F.col(base) - F.col(actual))
+    both = rows.where(a.isNotNull() & b.isNotNull())
+    out = both.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mae_model"), F.avg(b).alias("mae_base"),
+                                F.avg(a - b).alias("mean_difference"), F.stddev_samp(a - b).alias("_sd"))
+    t = F.when(F.col("_sd") > 0, F.col("mean_difference") / (F.col("_sd") / F.sqrt(F.col("n").cast("double"))))
+    return out.withColumn("t_value", t).withColumn("as_good", (F.col("mean_difference") <= 0).cast("int")).drop("_sd")
