@@ -105,7 +105,6 @@ def test_anchors_do_not_depend_on_steps(monkeypatch):
 def test_packing_is_whole_and_dense(spark, docs):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in queries.op3(spark, SF).collect():
         by_doc[r.doc_id].append(r)
@@ -130,6 +129,17 @@ def test_packing_is_whole_and_dense(spark, docs):
     assert padding < 0.01 * 2048 * len(by_seq)
 
 
+def test_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["a <|endoftext|> b", "<|startoftext|>Hello<|endoftext|>", "A <|ENDOFTEXT|> B", "x<|endoftext|", "é <|EndOfText|>é  <|endoftext|>\n",
+             "plain words, no marker", "", "<|endoftext|>" * 3]
+    own = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
+    got = [np.frombuffer(b, own.dtype).tolist() for b in own.encode([x.encode() for x in texts])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert got[0] == [320, 49407, 321]
+
+
 def test_first_fit_decreasing_by_definition():
     rng = random.Random(1)
     for n in (0, 1, 7, 200):

@@ -59,12 +59,17 @@ class WordEncoder:
     The tokenizer ignores case, drops white space and never merges across it,
     so ASCII letters are lowered, and words between ASCII white space are
     encoded one by one and cached.  A word of lower-case Latin letters passes
-    its normaliser and splitter unchanged and goes to the merges directly."""
+    its normaliser and splitter unchanged and goes to the merges directly.  A
+    text that holds one of the vocabulary's added tokens in any case is encoded
+    whole, because the library looks for those before it splits."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # for words, which hold no added token
+        self.whole = Tokenizer.from_file(path)
+        added = sorted({t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()} - {b""})
+        self.added = re.compile(b"|".join(map(re.escape, added)) if added else rb"(?!)")
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[bytes, bytes] = {}
@@ -86,14 +91,17 @@ class WordEncoder:
                 self.cache[raw] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [BEFORE_MARK.sub(b" ", t.lower()).split() for t in texts]
+        lowered = [t.lower() for t in texts]
+        marked = {k for k, t in enumerate(lowered) if self.added.search(t)}
+        split = [[] if k in marked else BEFORE_MARK.sub(b" ", t).split() for k, t in enumerate(lowered)]
         words = set().union(*split)
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(words)
         self._learn(new)
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in split]
+        return [array(self.code, self.whole.encode(texts[k].decode(), add_special_tokens=False).ids).tobytes() if k in marked
+                else b"".join(map(self.cache.__getitem__, ws)) for k, ws in enumerate(split)]
 
 
 @lru_cache(maxsize=2)
