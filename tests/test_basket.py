@@ -72,7 +72,7 @@ def test_pairs_match_brute_force_and_hot_path(spark, sf_small):
     cells = basket.basket_cells(rows, "prod_name")
     for hot in (1000, 2):   # 2 forces every basket through the salted path
         got = {(r["item"], r["partner"]): r["pair_cnt"]
-               for r in basket.pair_counts(cells, "prod_name", hot_basket_items=hot).collect()}
+               for r in basket.pair_counts(cells, "prod_name", slice_pairs=hot * hot).collect()}
         assert got == dict(want)
 
 
@@ -126,7 +126,7 @@ def test_penetration_filter_uses_unfiltered_counts(spark):
 
 def test_hot_basket_holding_a_third_of_rows(spark):
     """One order holds a third of all rows (300 distinct items, repeated);
-    with a small ``hot_basket_items`` it is split into slices, and the
+    with a small ``slice_pairs`` it is split into slices, and the
     result still equals the brute-force pair counts."""
     import random
     rnd = random.Random(7)
@@ -140,8 +140,8 @@ def test_hot_basket_holding_a_third_of_rows(spark):
     want = _brute_pairs(df.toPandas())
     cells = basket.basket_cells(df, "prod_name")
     got = {(r["item"], r["partner"]): r["pair_cnt"]
-           for r in basket.pair_counts(cells, "prod_name", hot_basket_items=50).collect()}
+           for r in basket.pair_counts(cells, "prod_name", slice_pairs=2500).collect()}
     assert got == dict(want)
-    rep = basket.co_purchase_report(df, "prod_name", 3, hot_basket_items=50).collect()
+    rep = basket.co_purchase_report(df, "prod_name", 3, slice_pairs=2500).collect()
     rep2 = basket.co_purchase_report(df, "prod_name", 3).collect()
     assert sorted(map(str, rep)) == sorted(map(str, rep2))

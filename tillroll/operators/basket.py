@@ -23,8 +23,8 @@ Plan
 2. Pairs: self equi-join of the cells on the order key, each unordered
    pair once with both row counts (half the join output; both sides share
    one shuffle of the cells).  Orders with more
-   than ``hot_basket_items`` distinct items are salted: the left side is
-   split by a hash of the item into ``ceil(d / hot_basket_items)`` slices
+   than ``slice_pairs`` distinct items are salted: the left side is
+   split by a hash of the item into ``ceil(d / slice_pairs)`` slices
    and the right side is replicated per slice, so one huge basket is spread
    over many tasks instead of one.
 3. ``groupBy(item, partner)`` with partial aggregation.
@@ -42,6 +42,8 @@ from tillroll.operators.ordered import one_row
 from tillroll.session import materialise
 
 ORDER_COLS = ("customer_id", "t_dat")
+#: Pairs of an order that one slice of it makes at most, about.
+SLICE_PAIRS = 1 << 20
 
 
 def basket_cells(rows: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
@@ -107,30 +109,45 @@ def item_support(rows: DataFrame, item: str, order_cols=ORDER_COLS, sized: DataF
 
 
 def pair_counts(cells: DataFrame, item: str, order_cols=ORDER_COLS,
-                hot_basket_items: int = 1000) -> DataFrame:
+                slice_pairs: int = SLICE_PAIRS) -> DataFrame:
     """J3 + A6: (item, partner, pair_cnt) over all co-occurring pairs.
     ``cells`` as from :func:`basket_cells` or :func:`sized_cells`."""
     sized = cells if "_d" in cells.columns else sized_cells_from(cells, item, order_cols)
-    return pair_counts_sized(sized, item, order_cols, hot_basket_items)
+    return pair_counts_sized(sized, item, order_cols, slice_pairs)
 
 
 def sized_cells_from(cells: DataFrame, item: str, order_cols=ORDER_COLS) -> DataFrame:
-    """Adds the basket size ``_d`` to cells built by :func:`basket_cells`."""
-    w = Window.partitionBy(*order_cols)
-    return cells.withColumn("_d", F.count(item).over(w))
+    """Adds the basket size ``_d`` to cells built by :func:`basket_cells`, by a
+    partially aggregated count that is joined back."""
+    sizes = cells.groupBy(*[F.col(c).alias(f"_o_{c}") for c in order_cols]).agg(F.count(item).alias("_d"))
+    same = F.lit(True)
+    for c in order_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return cells.join(sizes, same).drop(*[f"_o_{c}" for c in order_cols])
+
+
+def _slices(slice_pairs: int):
+    d = F.col("_d").cast("double")
+    return F.greatest(F.lit(1), F.ceil(d * d / F.lit(float(slice_pairs)))).cast("int")
+
+
+def _sliced_left(cells: DataFrame, item: str, slice_pairs: int):
+    return cells.withColumn("_slice", F.pmod(F.xxhash64(item), _slices(slice_pairs)).cast("int"))
+
+
+def _sliced_right(cells: DataFrame, slice_pairs: int):
+    return cells.withColumn("_slice", F.explode(F.sequence(F.lit(0), _slices(slice_pairs) - 1)))
 
 
 def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
-                      hot_basket_items: int = 1000, items=None) -> DataFrame:
+                      slice_pairs: int = SLICE_PAIRS, items=None) -> DataFrame:
     """Pairs from :func:`sized_cells`.
 
     Each unordered pair {a, b} of an order is joined once (``a < b``) and
     carries both row counts: ``n(o, b)`` adds to ``pair_cnt(a, b)`` and
     ``n(o, a)`` to ``pair_cnt(b, a)`` (both sums run over the orders holding
     a and b).  The two directions are split after the aggregation, so the
-    join output and the pair shuffle are half of an ordered-pair join, and
-    the two join sides project the same columns, so Spark shuffles the cells
-    once for both sides.
+    join output and the pair shuffle are half of an ordered-pair join.
 
     ``items`` (list or one-column DataFrame) keeps only pairs whose first
     item is listed (reports for a few items); then ordered pairs are joined
@@ -139,25 +156,12 @@ def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
     order_cols = list(order_cols)
     sized = sized.where(F.col(item).isNotNull())
     if items is not None:
-        return _directed_pairs(sized, item, order_cols, hot_basket_items, _restrict(sized, item, items))
-
-    normal = sized.where(F.col("_d") <= hot_basket_items).select(*order_cols, item, "n")
-    left = normal.select(*order_cols, F.col(item).alias("item"), F.col("n").alias("_na"))
-    right = normal.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"))
-    normal_pairs = left.join(right, order_cols).where(F.col("item") < F.col("partner"))
-
-    hot = sized.where(F.col("_d") > hot_basket_items)
-    n_slices = F.ceil(F.col("_d") / F.lit(hot_basket_items)).cast("int")
-    hot_left = hot.select(*order_cols, F.col(item).alias("item"), F.col("n").alias("_na"),
-                          F.pmod(F.xxhash64(F.col(item)), n_slices).cast("int").alias("_slice"))
-    hot_right = hot.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"),
-                           F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("_slice"))
-    hot_pairs = (hot_left.join(hot_right, order_cols + ["_slice"])
-                         .where(F.col("item") < F.col("partner")))
-
-    cols = ["item", "partner", "_na", "_nb"]
-    half = (normal_pairs.select(*cols).unionByName(hot_pairs.select(*cols))
-            .groupBy("item", "partner").agg(F.sum("_nb").alias("_ab"), F.sum("_na").alias("_ba")))
+        return _directed_pairs(sized, item, order_cols, slice_pairs, _restrict(sized, item, items))
+
+    left = _sliced_left(sized, item, slice_pairs).select(*order_cols, "_slice", F.col(item).alias("item"), F.col("n").alias("_na"))
+    right = _sliced_right(sized, slice_pairs).select(*order_cols, "_slice", F.col(item).alias("partner"), F.col("n").alias("_nb"))
+    pairs = left.join(right, [*order_cols, "_slice"]).where(F.col("item") < F.col("partner"))
+    half = pairs.groupBy("item", "partner").agg(F.sum("_nb").alias("_ab"), F.sum("_na").alias("_ba"))
     both = half.select(F.explode(F.array(
         F.struct(F.col("item").alias("item"), F.col("partner").alias("partner"), F.col("_ab").alias("pair_cnt")),
         F.struct(F.col("partner").alias("item"), F.col("item").alias("partner"), F.col("_ba").alias("pair_cnt")),
@@ -165,25 +169,12 @@ def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
     return both.select("_p.item", "_p.partner", "_p.pair_cnt")
 
 
-def _directed_pairs(sized: DataFrame, item: str, order_cols, hot_basket_items: int,
-                    left_cells: DataFrame) -> DataFrame:
-    """Ordered pairs (a, b), a from ``left_cells``, with the same salting."""
-    normal = sized.where(F.col("_d") <= hot_basket_items)
-    left = left_cells.where(F.col("_d") <= hot_basket_items).select(*order_cols, F.col(item).alias("item"))
-    right = normal.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"))
-    normal_pairs = left.join(right, order_cols).where(F.col("item") != F.col("partner"))
-
-    hot = sized.where(F.col("_d") > hot_basket_items)
-    n_slices = F.ceil(F.col("_d") / F.lit(hot_basket_items)).cast("int")
-    hot_left = left_cells.where(F.col("_d") > hot_basket_items).select(
-        *order_cols, F.col(item).alias("item"), F.pmod(F.xxhash64(F.col(item)), n_slices).cast("int").alias("_slice"))
-    hot_right = hot.select(*order_cols, F.col(item).alias("partner"), F.col("n").alias("_nb"),
-                           F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("_slice"))
-    hot_pairs = (hot_left.join(hot_right, order_cols + ["_slice"])
-                         .where(F.col("item") != F.col("partner")))
-    cols = ["item", "partner", "_nb"]
-    return (normal_pairs.select(*cols).unionByName(hot_pairs.select(*cols))
-            .groupBy("item", "partner").agg(F.sum("_nb").alias("pair_cnt")))
+def _directed_pairs(sized: DataFrame, item: str, order_cols, slice_pairs: int, left_cells: DataFrame) -> DataFrame:
+    """Ordered pairs (a, b), a from ``left_cells``, with the same slices."""
+    left = _sliced_left(left_cells, item, slice_pairs).select(*order_cols, "_slice", F.col(item).alias("item"))
+    right = _sliced_right(sized, slice_pairs).select(*order_cols, "_slice", F.col(item).alias("partner"), F.col("n").alias("_nb"))
+    pairs = left.join(right, [*order_cols, "_slice"]).where(F.col("item") != F.col("partner"))
+    return pairs.groupBy("item", "partner").agg(F.sum("_nb").alias("pair_cnt"))
 
 
 def ranked_partners(pairs: DataFrame, n: int, skip_top: int = 1) -> DataFrame:
@@ -226,7 +217,7 @@ def _restrict(df: DataFrame, col: str, prods) -> DataFrame:
 
 
 def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3,
-                       prods=None, skip_top: int = 1, hot_basket_items: int = 1000,
+                       prods=None, skip_top: int = 1, slice_pairs: int = SLICE_PAIRS,
                        order_cols=ORDER_COLS, keep_counts: bool = False,
                        sort: bool = True, materialize: bool = True,
                        sized: DataFrame | None = None) -> DataFrame:
@@ -244,7 +235,7 @@ def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3
         sized = materialized_cells(rows, hierarchy, order_cols, materialize)
     items = _restrict(item_order_counts(sized, hierarchy), hierarchy, prods) \
         .withColumnRenamed(hierarchy, "item")
-    pairs = pair_counts_sized(sized, hierarchy, order_cols, hot_basket_items, items=prods)
+    pairs = pair_counts_sized(sized, hierarchy, order_cols, slice_pairs, items=prods)
     lists = partner_lists(ranked_partners(pairs, n, skip_top))
     empty = F.array().cast("array<string>")
     report = (items.join(lists, "item", "left")
@@ -266,14 +257,14 @@ def co_purchase_report(rows: DataFrame, hierarchy: str = "prod_name", n: int = 3
 
 
 def pair_metrics(rows: DataFrame, item: str = "prod_name", order_cols=ORDER_COLS,
-                 hot_basket_items: int = 1000, materialize: bool = True) -> DataFrame:
+                 slice_pairs: int = SLICE_PAIRS, materialize: bool = True) -> DataFrame:
     """A6-A8 for every pair: (item, partner, pair_cnt, confidence, lift).
 
     confidence = pair_cnt / item_order_cnt(item);
     lift = (pair_cnt / n_order) / (support(item) * support(partner)).
     """
     sized = materialized_cells(rows, item, order_cols, materialize)
-    pairs = pair_counts_sized(sized, item, order_cols, hot_basket_items)
+    pairs = pair_counts_sized(sized, item, order_cols, slice_pairs)
     n_order = order_count_sized(sized)
     sup = (item_order_counts(sized, item).crossJoin(one_row(n_order))
            .select(F.col(item), "item_order_cnt", (F.col("item_order_cnt") / F.col("n_order")).alias("support")))
@@ -288,7 +279,7 @@ def pair_metrics(rows: DataFrame, item: str = "prod_name", order_cols=ORDER_COLS
 
 
 def co_purchase_detail(rows: DataFrame, articles: DataFrame, n: int = 3, names=None,
-                       skip_top: int = 1, hot_basket_items: int = 1000,
+                       skip_top: int = 1, slice_pairs: int = SLICE_PAIRS,
                        order_cols=ORDER_COLS, materialize: bool = True) -> DataFrame:
     """R4 at product-name grain, for the items in ``names`` (all when None).
 
@@ -299,7 +290,7 @@ def co_purchase_detail(rows: DataFrame, articles: DataFrame, n: int = 3, names=N
     """
     item = "prod_name"
     sized = materialized_cells(rows, item, order_cols, materialize)
-    base = co_purchase_report(rows, item, n, names, skip_top, hot_basket_items,
+    base = co_purchase_report(rows, item, n, names, skip_top, slice_pairs,
                               order_cols, keep_counts=True, sort=False, sized=sized)
     sup = item_support(rows, item, order_cols, sized=sized).select(
         F.col(item).alias("partner"), F.col("support").alias("_p_sup"))
