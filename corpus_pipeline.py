@@ -7,6 +7,16 @@ the columns of ``documents``; the last returns packed pieces with their ids.
 SQL cannot express the pipeline (trained classifier, random signatures,
 tokenizer), so ``ORACLE_SQL`` is None and the stages are tested against
 brute-force versions.
+
+Defined results, for every stage: an empty table gives an empty result; extra
+columns are dropped, also if their names clash with those of an operator;
+texts are taken whole, however long.  The rules reject null, empty and short
+texts; the classifier scores them like any other text; near-duplicate removal
+keeps null texts and texts without a word, each for itself, and one row of
+equal rows (the least doc_id of a class, null ids last); passage removal drops
+no row, keeps null and short texts, and counts repeated rows as copies; packing
+gives a null or empty text its end id and packs repeated rows and null ids like
+any other.  Ties in a score go to the threshold (kept at or above it).
 """
 
 from __future__ import annotations
