@@ -253,6 +253,18 @@ def test_languages_on_held_out_documents(spark):
     assert len(got) > 100 and np.mean([r.lang == r.lang_pred for r in got]) >= 0.95
 
 
+def test_rare_language_is_learned(spark):
+    """One document in a hundred, of which the sample would hold none by chance."""
+    rng = random.Random(4)
+    letters = {"aa": "abcdx", "bb": "mnopy", "rare": "stuvz"}
+    rows = [(k, " ".join(words(rng, 40, letters[lang])), lang) for k, lang in enumerate(["aa", "bb"] * 300 + ["rare"] * 6)]
+    df = spark.createDataFrame(rows + [(None, "12 34", "digits")] * 50, "doc_id long, text string, lang string")
+    model = langid.fit_languages(df, sample_rows=60)
+    got = {r.doc_id: r.lang_pred for r in langid.predict_languages(df, model).collect()}
+    assert np.mean([got[k] == lang for k, _, lang in rows]) > 0.99 and {got[k] for k, _, lang in rows if lang == "rare"} == {"rare"}
+    assert "digits" not in got.values() and got[None] == "und"
+
+
 def test_language_families():
     rng = random.Random(2)
     letters = {"aa": "abcdx", "ab": "abcdy", "ba": "mnopx", "bb": "mnopy"}

@@ -22,13 +22,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.text_features import gram_counts, parts, unit_rows
 
 TERMS = 2048
-#: Labelled documents the machines are fitted on (lowest hash first).
+#: Labelled documents the machines are fitted on (lowest hash first), shared
+#: evenly by the languages, and the least that a language gets.
 SAMPLE_ROWS = 3000
+LEAST_ROWS = 20
 PENALTY = 10.0
 STEPS = 80
 BIAS = 0.3
@@ -141,18 +144,25 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most ``sample_rows`` documents that ``usable`` admits: those
-    of lowest hash among rows with a language and a letter."""
+    """Fit on documents that ``usable`` admits, with a language and a letter:
+    of every language those of lowest hash, ``sample_rows`` / languages at most
+    but ``LEAST_ROWS`` of each, so that a rare language is learned too."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"),
                        (F.lit(True) if usable is None else usable).alias("u"))
-    # Only ids and hashes are sorted; the sample's texts are fetched after.
-    marked = rows.where(F.col("u") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64(F.col("i"), F.col("lang"))
-    cut = marked.select(order.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h").alias("top")).first()["top"]
-    if cut is None:
+    marked = rows.where(F.col("u") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")) \
+        .select("lang", "text", F.xxhash64("i", "lang").alias("h"))
+    # Only languages and hashes are sorted; the sample's texts are fetched after.
+    languages = marked.select("lang").distinct().count()
+    if not languages:
         return LanguageModel(None, [])
-    sample = marked.where((order <= cut) & F.col("text").rlike(r"\p{L}")).select("text", "lang").limit(2 * sample_rows)
+    each = max(LEAST_ROWS, sample_rows // languages)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = marked.select("lang", "h").withColumn("k", place).where(F.col("k") <= each).groupBy("lang").agg(F.max("h").alias("top"))
+    picked = marked.join(cuts, "lang").where("h <= top")
+    # Rows of one hash (copies) may be more than the place they share.
+    sample = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))) \
+        .where(F.col("k") <= each).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
