@@ -32,6 +32,8 @@ TERMS = 2048
 #: evenly by the languages, and the least that a language gets.
 SAMPLE_ROWS = 3000
 LEAST_ROWS = 20
+#: Languages whose sample bounds are sent to every task.
+SENT_LANGUAGES = 100_000
 PENALTY = 10.0
 STEPS = 80
 BIAS = 0.3
@@ -159,7 +161,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = max(LEAST_ROWS, sample_rows // languages)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     cuts = marked.select("lang", "h").withColumn("k", place).where(F.col("k") <= each).groupBy("lang").agg(F.max("h").alias("top"))
-    picked = marked.join(cuts, "lang").where("h <= top")
+    # One short row a language, and their number is known: texts stay where they are.
+    picked = marked.join(F.broadcast(cuts) if languages <= SENT_LANGUAGES else cuts, "lang").where("h <= top")
     # Rows of one hash (copies) may be more than the place they share.
     sample = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))) \
         .where(F.col("k") <= each).select("text", "lang")
