@@ -1,8 +1,10 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing
 columns and empty tables."""
 
+import re
+
 import pytest
-from helpers import LONG, edge_docs
+from helpers import LONG, MID, edge_docs
 from pyspark.sql import functions as F
 
 from tillroll.llm import bpe_codec, edit_counts, host_rules, langid, near_dedup, packing, quality_knn, suffix_dedup
@@ -81,6 +83,55 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_with_clashing_columns_and_long_address(spark):
+    long_url = "https://a.example.org/" + "p/" * 200_000 + "?" + "&".join(f"k{k}=1" for k in range(1000))
+    rows = [(1, long_url), (2, "http://b.net/es/1"), (3, "http://example.com/fr/1"), (4, None)]
+    names = ["label", "rule", "host", "path", "u", "rest", "tld", "suffix", "fold", "p", "probability", "features", "verdict"]
+    pages = spark.createDataFrame(rows, "page_id long, url string").select("*", *[F.lit("x").alias(n) for n in names])
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert got[1].path == "/" + "p/" * 200_000 and got[1].verdict in ("allow", "block")
+    assert (got[2].verdict, got[3].verdict, got[4].host) == ("block", "allow", "")
+
+
+def _rule_by_definition(host, path):
+    fits = [(len(h + p), h + p, a) for a, h, p in url_filter.RULES
+            if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_pages_by_definition(spark):
+    """Host, path and rule of every page, out-of-fold suffix rates by a loop,
+    and the verdict of the trees."""
+    pages = spark.read.parquet(f"{MID}/pages.parquet")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    ruled = agree = 0
+    for r in pages.select("page_id", "url").collect():
+        rest = (r.url or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        rule, action = _rule_by_definition(host.translate(low), path)
+        g = got.pop(r.page_id)
+        assert (g.host, g.path, g.rule) == (host.translate(low), path, rule)
+        assert g.verdict == (action or ("block" if g.block_score >= 0.5 else "allow"))
+        ruled += action is not None
+        agree += action is not None and (g.block_score >= 0.5) == (action == "block")
+    assert not got and ruled and agree / ruled >= 0.9
+
+
+def test_suffix_rates_leave_own_hosts_out(spark):
+    rows = [(f"h{k % 7}.{('net', 'com', 'org')[k % 3]}", ("net", "com", "org")[k % 3], (None, 1.0, 0.0)[k * k % 3 if k % 4 else 0])
+            for k in range(90)]
+    base = spark.createDataFrame(rows, "host string, tld string, label double").withColumn("suffix", F.col("host"))
+    fold = {r.host: r.f for r in base.select("host", F.expr(f"pmod(xxhash64(host), {url_filter.FOLDS})").alias("f")).collect()}
+    for r in url_filter.with_suffix_rates(base).collect():
+        for name, key in (("tld_rate", 1), ("suffix_rate", 0)):
+            seen = [x[2] for x in rows if x[key] == (r.tld, r.host)[name == "suffix_rate"] and x[2] is not None
+                    and (r.label is None or fold[x[0]] != fold[r.host])]
+            p = url_filter.SUFFIX_PRIOR
+            assert r[name] == pytest.approx((sum(seen) + p / 2) / (len(seen) + p))
+
+
 def test_vectors(spark):
     rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, -1.0]), (3, None), (4, [0.0, 0.0]),
             (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0]), (9, [])]

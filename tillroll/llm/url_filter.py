@@ -4,7 +4,9 @@ Explicit rules (host suffix plus path prefix, longest first) label part of
 the addresses; boosted trees trained on a bounded sample of those labels
 judge the rest from lexical features alone: lengths, depth, digit and symbol
 ratios, character entropy, parameter counts, and block rates of the host's
-suffixes among labelled addresses.
+suffixes among labelled addresses.  A labelled address takes the rates of the
+folds that hold other hosts only, so that the trees are not fitted on rates
+that contain the row's own label.
 
 Defined results: an address that is null, empty or has no ``://`` has an
 empty host and path and goes to the model like any other; if the labels hold
@@ -35,6 +37,8 @@ RULES = [
 TRAIN_ROWS = 20_000
 #: Documents a suffix needs before its own block rate outweighs the prior.
 SUFFIX_PRIOR = 20.0
+#: Folds of hosts for the rates of labelled addresses.
+FOLDS = 5
 FEATURES = ["url_len", "host_len", "path_len", "depth", "host_dots", "digit_ratio", "hyphens", "other_ratio",
             "entropy", "n_params", "has_fragment", "is_https", "tld_rate", "suffix_rate"]
 
@@ -99,10 +103,31 @@ def lexical_features(urls: DataFrame) -> DataFrame:
         F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)).alias("suffix"))
 
 
-def _suffix_rates(labelled: DataFrame, key: str, name: str) -> DataFrame:
-    """Block rate of each suffix among labelled addresses, shrunk to 1/2."""
-    return labelled.groupBy(F.col(key).alias(f"{name}_key")).agg(
-        ((F.sum("label") + 0.5 * SUFFIX_PRIOR) / (F.count(F.lit(1)) + SUFFIX_PRIOR)).alias(name))
+def _shrunk(blocked: Column, n: Column) -> Column:
+    return (blocked + 0.5 * SUFFIX_PRIOR) / (n + SUFFIX_PRIOR)
+
+
+def with_suffix_rates(base: DataFrame) -> DataFrame:
+    """``tld_rate`` and ``suffix_rate``: block rates among the labelled
+    addresses, shrunk to 1/2; for a labelled address among those of the other
+    folds of hosts."""
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    labelled = base.where("label is not null").withColumn("fold", fold)
+    rated = base
+    for key, name in (("tld", "tld_rate"), ("suffix", "suffix_rate")):
+        sums = [(F.sum(F.when(F.col("fold") == k, F.col("label")).otherwise(0.0)),
+                 F.sum(F.when(F.col("fold") == k, 1.0).otherwise(0.0))) for k in range(FOLDS)]
+        rates = labelled.groupBy(F.col(key).alias("_key")).agg(
+            F.array(*[b for b, _ in sums]).alias("_blocked"), F.array(*[n for _, n in sums]).alias("_n"))
+
+        def total(c: str) -> Column:
+            left_out = F.when(F.col("label").isNotNull(), F.get(F.col(c), fold)).otherwise(0.0)
+            return F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x) - left_out
+
+        rated = rated.join(rates, F.col(key) == F.col("_key"), "left") \
+            .withColumn(name, F.coalesce(_shrunk(total("_blocked"), total("_n")), F.lit(0.5))) \
+            .drop("_key", "_blocked", "_n")
+    return rated
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
@@ -116,10 +141,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     urls = split_url(pages, id_col, url_col).withColumn("rule", rule).withColumn(
         "label", F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0))
     base = written(lexical_features(urls), "url-features")
-    labelled = base.where("label is not null")
-    rated = base.join(_suffix_rates(labelled, "tld", "tld_rate"), F.col("tld") == F.col("tld_rate_key"), "left") \
-        .join(_suffix_rates(labelled, "suffix", "suffix_rate"), F.col("suffix") == F.col("suffix_rate_key"), "left") \
-        .fillna(0.5, ["tld_rate", "suffix_rate"])
+    rated = with_suffix_rates(base)
     order = F.xxhash64("page_id", "host", "path")
     train = written(rated.where("label is not null").orderBy(order).limit(train_rows).select("label", *FEATURES),
                     "url-train")
