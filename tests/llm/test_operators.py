@@ -18,7 +18,7 @@ from tillroll.llm import (ann, bpe_codec, edit_counts, host_rules, langid, near_
 from tillroll.llm.common import table
 from tillroll.llm.components import connected_components
 from tillroll.llm.pretokens import read_ranks
-from tillroll.llm.text_features import parts
+from tillroll.llm.text_features import CLASS_OF, CLASSES, gram_counts, parts, shape_counts, unit_rows, word_shares
 
 
 def words(rng, n, letters="abcdefgh"):
@@ -48,6 +48,53 @@ def test_quality_votes_by_definition():
         assert s == pytest.approx((w * y[near]).sum() / w.sum(), rel=1e-5)
 
 
+def test_quality_frequencies_and_scores_by_definition(spark, docs):
+    whole = table(spark, SF, "documents")
+    model = queries.learn_quality(spark, whole, SF)
+    texts = [(r.text or "").encode() for r in docs.values()]
+    low = [t.lower() for t in texts]
+    shapes = [{tuple(CLASS_OF[list(t[k:k + 3])]) for k in range(len(t) - 2)} for t in texts]
+    held = Counter(x for one in shapes for x in one)
+    want = np.ones(CLASSES ** 3) * (np.log(1 + len(texts)) + 1)
+    for (a, b, c), n in held.items():
+        want[(int(a) * CLASSES + int(b)) * CLASSES + int(c)] = np.log((1 + len(texts)) / (1 + n)) + 1
+    assert np.allclose(model.shape_idf, want, rtol=1e-5)
+    grams = Counter()
+    for t in low:
+        grams.update({((t[k] << 16 | t[k + 1] << 8 | t[k + 2]) * 2654435761 % 2 ** 32) >> 21 for k in range(len(t) - 2)})
+    assert np.allclose(model.gram_idf, [np.log((1 + len(texts)) / (1 + grams[g])) + 1 for g in range(2048)], rtol=1e-5)
+    scores = {r.doc_id: r.score for r in quality_knn.score_quality(whole, model).collect()}
+    for doc_id, r in docs.items():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        off = np.array([0, len(raw)])
+        x = unit_rows(model.terms(shape_counts(raw, off), gram_counts(raw, off), word_shares(raw, off)) @ model.axes)[0]
+        cosine = [float(np.dot(x, v)) for v in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[:quality_knn.NEIGHBOURS]
+        weight = [max(cosine[k], 0) ** quality_knn.POWER for k in near]
+        plain = sum(w * model.labels[k] for w, k in zip(weight, near)) / sum(weight) if sum(weight) else model.labels.mean()
+        assert scores[doc_id] == pytest.approx(plain, abs=1e-3)
+
+
+def test_word_shares_compare_whole_words():
+    start = "x" * 200
+    texts = [f"{start}a {start}b {start}c", f"{start}a {start}a b", "y" * (3 << 20) + " AB AB", ""]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0] + [len(t) for t in texts])
+    for got, t in zip(word_shares(raw, off), texts):
+        w = t.split()
+        n = max(len(w), 1)
+        assert got == pytest.approx([np.log1p(len(w)) / 10, sum(a == b for a, b in zip(w, w[1:])) / n,
+                                     1 - (len(set(w)) / n if w else 0), sum(sum(c.isupper() for c in x) >= 2 for x in w) / n,
+                                     min(sum(map(len, w)) / n, 30) / 30], abs=1e-6)
+
+
+def test_sample_takes_documents_that_are_there(spark):
+    labels = spark.range(100).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    docs = spark.range(90, 120).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    got = quality_knn.labelled_sample(docs, labels, "doc_id", "text", "quality", F.lit(True), 8).collect()
+    assert len(got) == 8 and all(r.label == int(r.text.split()[1]) % 2 for r in got)
+
+
 def test_passages_by_definition(spark):
     rng = random.Random(4)
     shared = "".join(rng.choice("abcdefghij é") for _ in range(2600))

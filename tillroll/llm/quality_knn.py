@@ -2,8 +2,8 @@
 
 Terms of a text are trigrams of byte classes (its "shape"), hashed trigrams
 of bytes and a few word shares (repeats, capitals).  Weighted by inverse
-document frequency they are projected on the leading singular vectors of a
-bounded sample of labelled documents.  The sample's vectors are broadcast
+document frequency, counted over all documents, they are projected on the
+leading singular vectors of a bounded sample of labelled documents.  The sample's vectors are broadcast
 (at most ``sample_rows`` x ``rank`` floats); every document's cosine with
 each of them is computed exactly, block by block, and the nearest
 ``neighbours`` vote with weight cosine ** ``power``.
@@ -69,13 +69,10 @@ class LatentVotes:
         return np.clip(out, 0.0, 1.0)
 
 
-def _idf(counts: np.ndarray) -> np.ndarray:
-    return (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-
-
-def fit_votes(shape: np.ndarray, gram: np.ndarray, shares: np.ndarray, labels: np.ndarray, rank: int = RANK) -> LatentVotes:
+def fit_votes(shape: np.ndarray, gram: np.ndarray, shares: np.ndarray, labels: np.ndarray, shape_idf: np.ndarray,
+              gram_idf: np.ndarray, rank: int = RANK) -> LatentVotes:
     """Leading right singular vectors by randomised subspace iteration."""
-    model = LatentVotes(_idf(shape), _idf(gram), np.empty((0, 0)), np.empty((0, 0)), labels)
+    model = LatentVotes(shape_idf, gram_idf, np.empty((0, 0)), np.empty((0, 0)), labels)
     x = model.terms(shape, gram, shares)
     rank = max(1, min(rank, len(x)))
     probe = np.random.default_rng(11).standard_normal((x.shape[1], rank + 16)).astype(np.float32)
@@ -92,16 +89,44 @@ def _counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield lo, hi, shape_counts(raw, offsets), gram_counts(raw, offsets), word_shares(raw, offsets)
 
 
+def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """log((1 + documents) / (1 + documents holding the term)) + 1 of the shape
+    and the gram terms, over every row of ``docs``.
+
+    Each task adds up its own rows; Spark sums the (term, documents) pairs.
+    """
+    shapes, width = _splits()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(width + 1, np.int64)  # the last counts rows
+        for b in batches:
+            for lo, hi, raw, offsets in parts(b.column(0)):
+                held[:shapes] += (shape_counts(raw, offsets) > 0).sum(axis=0)
+                held[shapes:width] += (gram_counts(raw, offsets) > 0).sum(axis=0)
+                held[width] += hi - lo
+        term = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(held[term])], ["term", "docs"])
+
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term int, docs long") \
+        .groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()  # one row a term
+    held = np.zeros(width + 1, np.int64)
+    held[sums.column("term").to_numpy()] = sums.column("docs").to_numpy()
+    idf = (np.log((1 + held[width]) / (1 + held[:width])) + 1).astype(np.float32)
+    return idf[:shapes], idf[shapes:]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                     usable: Column, sample_rows: int) -> DataFrame:
-    """At most ``sample_rows`` documents with their mean label: the labelled
-    ids of lowest hash, one text each."""
+    """At most ``sample_rows`` of the documents that have a label, with their
+    mean label: the ids of lowest hash, one text (the smallest) each."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable) \
         .groupBy(F.col(id_col).alias("sample_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label")) \
+        .join(docs.select(F.col(id_col).alias("sample_id")), "sample_id", "left_semi") \
         .orderBy(F.xxhash64("sample_id"), "sample_id").limit(sample_rows)
     # The limit bounds the broadcast: an id and a number a row.
     return docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).cast("string").alias("text")) \
-        .join(F.broadcast(chosen), "sample_id").dropDuplicates(["sample_id"]).select("text", "label")
+        .join(F.broadcast(chosen), "sample_id").groupBy("sample_id", "label").agg(F.min("text").alias("text")) \
+        .select("text", "label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -126,7 +151,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     order = np.lexsort((rows[:, -5], rows @ np.random.default_rng(5).standard_normal(width), labels_of))
     rows, labels_of = rows[order], labels_of[order]
     a, b = _splits()
-    return fit_votes(rows[:, :a], rows[:, a:b], rows[:, b:], labels_of) if len(labels_of) else \
+    return fit_votes(rows[:, :a], rows[:, a:b], rows[:, b:], labels_of, *inverse_frequencies(docs, text_col)) if len(labels_of) else \
         LatentVotes(np.ones(a, np.float32), np.ones(b - a, np.float32), np.zeros((b + 3, 1), np.float32),
                     np.zeros((0, 1), np.float32), labels_of)
 

@@ -34,9 +34,10 @@ def _steps(raw: np.ndarray, offsets: np.ndarray):
         lo = hi
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every word (run of bytes other than ASCII white space)."""
-    rows, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+def word_steps(raw: np.ndarray, offsets: np.ndarray):
+    """Per step: row of each byte, the bytes, which of them are no white space,
+    where each word starts, and the words' hashes (words are runs of bytes
+    other than ASCII white space; none is cut by a step)."""
     for lo, hi in _steps(raw, offsets):
         first = int(np.searchsorted(offsets, lo, side="right")) - 1
         last = int(np.searchsorted(offsets, hi, side="left"))
@@ -54,7 +55,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         power[0] = 1
         code = _BYTE[b] * np.multiply.accumulate(power)[place]
         code[~ink] = 0
-        hashes.append(mix(np.add.reduceat(code, start)))
+        yield row, b, ink, start, mix(np.add.reduceat(code, start))
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word (run of bytes other than ASCII white space)."""
+    rows, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for row, _, _, start, hashed in word_steps(raw, offsets):
+        hashes.append(hashed)
         rows.append(row[start])
     return np.concatenate(rows), np.concatenate(hashes)
 

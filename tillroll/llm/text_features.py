@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from tillroll.llm.common import joined_bytes, slices, text_bytes
+from tillroll.llm.shingles import word_steps
 
 #: Bytes and rows that one vectorised step takes.
 STEP = 1 << 20
@@ -34,9 +35,6 @@ CLASS_OF = _class_table()
 SHAPE_TERMS = CLASSES ** 3
 LOWER = np.arange(256, dtype=np.uint32)
 LOWER[ord("A"):ord("Z") + 1] += 32
-_RANDOM = np.random.default_rng(20240607)
-_BYTE_CODE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
-_PLACE = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,37 +93,24 @@ def word_shares(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per row: log words, share of words equal to the one before, share of
     words seen earlier in the text, share of words in capitals, mean length.
 
-    Words are runs of bytes other than ASCII white space, compared by hash of
-    their first 64 bytes.  A word cut by a step counts as two.
+    Words are whole runs of bytes other than ASCII white space, compared by
+    hash.
     """
     n = len(offsets) - 1
-    words, again, caps, chars = (np.zeros(n) for _ in range(4))
+    caps, chars = np.zeros(n), np.zeros(n)
     keys, key_rows = [], []
-    for lo, hi, row in _windows(offsets, 0):
-        b = raw[lo:hi]
-        blank = (CLASS_OF[b] == 3) | (CLASS_OF[b] == 4)
-        edge = np.ones(len(b), bool)
-        edge[1:] = blank[:-1] | (row[1:] != row[:-1])
-        start = np.flatnonzero(edge & ~blank)
-        if not len(start):
-            continue
-        where = np.cumsum(edge & ~blank) - 1
-        place = np.arange(len(b)) - start[np.maximum(where, 0)]
-        code = np.where(blank | (where < 0), np.uint64(0), _BYTE_CODE[b] * _PLACE[np.minimum(place, 63)])
-        code[place >= 64] = 0
-        key = np.add.reduceat(code, start)
+    for row, b, ink, start, key in word_steps(raw, offsets):
         r = row[start]
-        words += np.bincount(r, minlength=n)
-        same = np.flatnonzero((key[1:] == key[:-1]) & (r[1:] == r[:-1]))
-        again += np.bincount(r[1:][same], minlength=n)
         upper = np.add.reduceat((CLASS_OF[b] == 1).astype(np.int64), start)
         caps += np.bincount(r, weights=upper >= 2, minlength=n)
-        chars += np.bincount(row[~blank], minlength=n)
+        chars += np.bincount(row[ink], minlength=n)
         keys.append(key)
         key_rows.append(r)
     if not keys:
         return np.zeros((n, 5), np.float32)
     key, r = np.concatenate(keys), np.concatenate(key_rows)
+    words = np.bincount(r, minlength=n)
+    again = np.bincount(r[1:][(key[1:] == key[:-1]) & (r[1:] == r[:-1])], minlength=n)
     order = np.lexsort((key, r))
     key, r = key[order], r[order]
     fresh = np.ones(len(key), bool)
