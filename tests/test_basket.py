@@ -145,3 +145,33 @@ def test_hot_basket_holding_a_third_of_rows(spark):
     rep = basket.co_purchase_report(df, "prod_name", 3, slice_pairs=2500).collect()
     rep2 = basket.co_purchase_report(df, "prod_name", 3).collect()
     assert sorted(map(str, rep)) == sorted(map(str, rep2))
+
+
+def test_partner_tops_by_definition(spark):
+    import random
+    rng = random.Random(8)
+    rows = [(c, d, rng.choice("abcdefgh")) for c in range(30) for d in range(2) for _ in range(rng.randint(1, 6))]
+    rows += [(99, 0, f"x{k}") for k in range(40)]  # one wide order
+    orders = defaultdict(Counter)
+    for c, d, i in rows:
+        orders[c, d][i] += 1
+    held, pairs = Counter(), Counter()
+    for o in orders.values():
+        held.update(o.keys())
+        for a in o:
+            for b in o:
+                if a != b:
+                    pairs[a, b] += o[b]
+    n_orders = len(orders)
+    want = set()
+    for item in held:
+        own = [(b, n) for (a, b), n in pairs.items() if a == item]
+        lists = {"often": sorted(own, key=lambda p: (-p[1], p[0])), "lift": sorted(own, key=lambda p: (-p[1] / held[p[0]], p[0])),
+                 "rare": sorted(sorted(own, key=lambda p: p[0], reverse=True), key=lambda p: p[1])}
+        want |= {(item, kind, k + 1, b, n, round(n / held[item], 9), round(n * n_orders / (held[item] * held[b]), 9))
+                 for kind, ps in lists.items() for k, (b, n) in enumerate(ps[:3])}
+    for limit in (1 << 20, 16):
+        got = basket.partner_tops(rows_df(spark, rows), "prod_name", 3, slice_pairs=limit).collect()
+        assert {(r.item, r.kind, r["rank"], r.partner, r.pair_cnt, round(r.confidence, 9), round(r.lift, 9)) for r in got} == want
+        assert len(got) == len(want)
+    assert basket.partner_tops(rows_df(spark, []), "prod_name", 3).count() == 0

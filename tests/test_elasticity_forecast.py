@@ -216,6 +216,32 @@ def test_paired_skill(spark):
     assert (got["b"].n, got["b"].mae_model) == (1, 0.0)
 
 
+def test_permutation_importance_equals_a_loop(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    x = rng.normal(0, 1, (n, 4))
+    y = 5 * x[:, 0] + 2 * x[:, 1] + 0.01 * rng.normal(0, 1, n)
+    rows = [(i // 7, i % 7, *map(float, x[i]), float(y[i])) for i in range(n)]
+    names = [f"x{k}" for k in range(4)]
+    frame = spark.createDataFrame(rows, "k int, d int, x0 double, x1 double, x2 double, x3 double, target double").repartition(3)
+    model = forecast.rf_pipeline(names, num_trees=8).fit(frame)
+    got = {r.feature: r for r in forecast.permutation_importance(model, frame, ["k", "d"]).collect()}
+    hashed = frame.selectExpr("*", "concat_ws('|', cast(k as string), cast(d as string)) AS id") \
+        .selectExpr("*", "xxhash64(id, 42) AS a", "xxhash64(id, 43) AS b").collect()
+    own = sorted(hashed, key=lambda r: (-r.a, r.id))
+    donors = sorted(hashed, key=lambda r: (-r.b, r.id))
+    def mae(feature):
+        swapped = [tuple(float(z[c] if c == feature else r[c]) for c in names) + (r.target,) for r, z in zip(own, donors)]
+        df = spark.createDataFrame(swapped, ", ".join(f"{c} double" for c in names) + ", target double")
+        return model.transform(df).agg(F.avg(F.abs(F.col("prediction") - F.col("target")))).first()[0]
+    bare = mae(None)
+    for c in names:
+        assert got[c].mae == pytest.approx(mae(c), rel=1e-9)
+        assert got[c].importance == pytest.approx(mae(c) - bare, abs=1e-9)
+    assert got["x0"].keep == 1 and got["x1"].keep == 1 and got["x0"].importance > got["x1"].importance > got["x2"].importance
+    assert sum(r.share for r in got.values()) == pytest.approx(1)
+
+
 def test_models_on_given_table(spark, sf_small):
     """No model is worse than the naive mean over the given table, and every forecast is there."""
     from tillroll.plans.catalog import queries

@@ -87,6 +87,28 @@ def test_profile_moments_match_pandas(spark):
     assert r["missing"] == 1 and r["n"] == 8 and r["distinct"] == 6
 
 
+def test_describe_many_columns_in_one_pass(spark):
+    import numpy as np
+    import pandas as pd
+    from tillroll.operators import explore
+    rng = np.random.default_rng(2)
+    n = 700
+    d = pd.DataFrame({"a": rng.normal(0, 5, n), "b": np.where(rng.random(n) < 0.4, 3.0, rng.integers(0, 9, n)),
+                      "c": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(1, n)), "e": [None] * (n - 1) + [4.0], "f": [None] * n})
+    rows = [tuple(None if pd.isna(x) else float(x) for x in r) for r in d.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, e double, f double").repartition(5)
+    got = {r["column"]: r for r in explore.describe(df, list("abcef")).collect()}
+    for c in "abce":
+        want = d[c].astype(float).describe()
+        for ours, theirs in [("count", "count"), ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("min", "min"), ("max", "max")]:
+            assert got[c][ours] == want[theirs], (c, ours)
+    assert got["f"]["count"] == 0 and got["f"]["p50"] is None
+    plan = explore.exact_quantiles(df, list("abcef"), [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "ranged-" in plan  # the input is read once, for all columns; the rest reads its counts
+    empty = explore.describe(df.limit(0), ["a", "b"]).collect()
+    assert [r["count"] for r in empty] == [0, 0] and empty[0]["p25"] is None
+
+
 def test_describe_matches_pandas(spark):
     import pandas as pd
     from tillroll.operators import explore

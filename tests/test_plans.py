@@ -27,6 +27,14 @@ def test_partner_ranks_limit_before_the_shuffle(spark, sf_small):
     assert any("Exchange" in a and "WindowGroupLimit" in b for a, b in zip(lines, lines[1:]))
 
 
+def test_partner_tops_shuffle_no_table_of_all_pairs(spark, sf_small):
+    plan = final_plan(basket.partner_tops(_prepared(spark, sf_small), "prod_name", 3)).split("\n\n(")[0]
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line or "Exchange" in line or "Join" in line]
+    # the only exchange above the pairs' sums takes what a partial limit left
+    first = next(k for k, line in enumerate(limits) if "Exchange" in line and "Broadcast" not in line)
+    assert "WindowGroupLimit" in limits[first - 1] and "WindowGroupLimit" in limits[first + 1]
+
+
 def test_pairs_come_from_one_join(spark, sf_small):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

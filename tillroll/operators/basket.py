@@ -140,7 +140,7 @@ def _sliced_right(cells: DataFrame, slice_pairs: int):
 
 
 def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
-                      slice_pairs: int = SLICE_PAIRS, items=None) -> DataFrame:
+                      slice_pairs: int = SLICE_PAIRS, items=None, carried: str | None = None) -> DataFrame:
     """Pairs from :func:`sized_cells`.
 
     Each unordered pair {a, b} of an order is joined once (``a < b``) and
@@ -152,21 +152,32 @@ def pair_counts_sized(sized: DataFrame, item: str, order_cols=ORDER_COLS,
     ``items`` (list or one-column DataFrame) keeps only pairs whose first
     item is listed (reports for a few items); then ordered pairs are joined
     directly with the listed items on the left.
+
+    ``carried`` names a column of the cells that is the same in all cells of
+    an item; without ``items`` the pairs then hold it for both sides
+    (``item_{carried}``, ``partner_{carried}``), so they need no join for it.
     """
     order_cols = list(order_cols)
     sized = sized.where(F.col(item).isNotNull())
     if items is not None:
         return _directed_pairs(sized, item, order_cols, slice_pairs, _restrict(sized, item, items))
 
-    left = _sliced_left(sized, item, slice_pairs).select(*order_cols, "_slice", F.col(item).alias("item"), F.col("n").alias("_na"))
-    right = _sliced_right(sized, slice_pairs).select(*order_cols, "_slice", F.col(item).alias("partner"), F.col("n").alias("_nb"))
+    of = lambda side: [F.col(carried).alias(side)] if carried else []
+    left = _sliced_left(sized, item, slice_pairs).select(
+        *order_cols, "_slice", F.col(item).alias("item"), F.col("n").alias("_na"), *of("_ca"))
+    right = _sliced_right(sized, slice_pairs).select(
+        *order_cols, "_slice", F.col(item).alias("partner"), F.col("n").alias("_nb"), *of("_cb"))
     pairs = left.join(right, [*order_cols, "_slice"]).where(F.col("item") < F.col("partner"))
-    half = pairs.groupBy("item", "partner").agg(F.sum("_nb").alias("_ab"), F.sum("_na").alias("_ba"))
-    both = half.select(F.explode(F.array(
-        F.struct(F.col("item").alias("item"), F.col("partner").alias("partner"), F.col("_ab").alias("pair_cnt")),
-        F.struct(F.col("partner").alias("item"), F.col("item").alias("partner"), F.col("_ba").alias("pair_cnt")),
-    )).alias("_p"))
-    return both.select("_p.item", "_p.partner", "_p.pair_cnt")
+    same = [F.max(c).alias(c) for c in ("_ca", "_cb")] if carried else []
+    half = pairs.groupBy("item", "partner").agg(F.sum("_nb").alias("_ab"), F.sum("_na").alias("_ba"), *same)
+
+    def way(a, b, count, ca, cb):
+        extra = [F.col(ca).alias(f"item_{carried}"), F.col(cb).alias(f"partner_{carried}")] if carried else []
+        return F.struct(F.col(a).alias("item"), F.col(b).alias("partner"), F.col(count).alias("pair_cnt"), *extra)
+
+    both = half.select(F.explode(F.array(way("item", "partner", "_ab", "_ca", "_cb"),
+                                         way("partner", "item", "_ba", "_cb", "_ca"))).alias("_p"))
+    return both.select("_p.*")
 
 
 def _directed_pairs(sized: DataFrame, item: str, order_cols, slice_pairs: int, left_cells: DataFrame) -> DataFrame:
@@ -278,6 +289,39 @@ def pair_metrics(rows: DataFrame, item: str = "prod_name", order_cols=ORDER_COLS
                          ((F.col("pair_cnt") / F.col("n_order")) / (F.col("_a_sup") * F.col("_b_sup"))).alias("lift")))
 
 
+def partner_tops(rows: DataFrame, item: str = "prod_name", n: int = 3, order_cols=ORDER_COLS,
+                 slice_pairs: int = SLICE_PAIRS, materialize: bool = True) -> DataFrame:
+    """A6-A8 as bounded lists: per item the ``n`` partners of the highest count
+    (``often``), the lowest (``rare``) and the highest lift (``lift``), with
+    count, confidence and lift as in :func:`pair_metrics`.  Ties go to the
+    smaller partner, in ``rare`` to the larger.
+
+    The order counts of the items travel in the cells, so lift is known where
+    the pairs are summed; each pair stands for all three lists there and is
+    dropped before the shuffle unless it is among the ``n`` best of its task
+    (a partial group limit).  No table of all pairs is shuffled by item or
+    written.
+    """
+    sized = materialized_cells(rows, item, order_cols, materialize)
+    counts = item_order_counts(sized, item)
+    pairs = pair_counts_sized(sized.join(counts, item), item, order_cols, slice_pairs, carried="item_order_cnt")
+    a, b, cnt = (F.col(c).cast("double") for c in ("item_item_order_cnt", "partner_item_order_cnt", "pair_cnt"))
+    none = F.lit(None).cast(sized.schema[item].dataType)
+
+    def entry(kind, value, up, down):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("_by"), up.alias("_up"), down.alias("_down"))
+
+    lists = F.array(entry("often", -cnt, F.col("partner"), none), entry("rare", cnt, none, F.col("partner")),
+                    entry("lift", -cnt / b, F.col("partner"), none))
+    w = Window.partitionBy("item", "kind").orderBy("_by", "_up", F.col("_down").desc())
+    best = pairs.select("*", F.explode(lists).alias("_l")).select("*", "_l.*") \
+        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    orders = F.col("n_order").cast("double")
+    return best.crossJoin(one_row(order_count_sized(sized))).select(
+        "item", "kind", F.col("rank").cast("bigint").alias("rank"), "partner", "pair_cnt",
+        (cnt / a).alias("confidence"), ((cnt / orders) / ((a / orders) * (b / orders))).alias("lift"))
+
+
 def co_purchase_detail(rows: DataFrame, articles: DataFrame, n: int = 3, names=None,
                        skip_top: int = 1, slice_pairs: int = SLICE_PAIRS,
                        order_cols=ORDER_COLS, materialize: bool = True) -> DataFrame:

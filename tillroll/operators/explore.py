@@ -86,33 +86,36 @@ def pairwise_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def exact_quantiles_of(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
-    """One row ``{column}__q``: quantiles interpolated linearly between
-    neighbours, like pandas.
-
-    The distinct values are counted and ranked by the distributed running
-    sum; a quantile reads the values that cover its two positions, so no
-    buffer holds a column's values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")) \
-               .agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_sum_desc(counts, "v", "v", "cum", summed="c")
-    total = counts.agg(F.sum("c").alias("n"))
-    before = F.col("n") - F.col("cum")  # rows with a smaller value
-    parts = []
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """(column, q): the quantiles of every column that holds a value,
+    interpolated linearly between neighbours, like pandas.
+
+    One pass for all columns: the distinct (column, value) pairs are counted
+    and ranked by one distributed running sum; a quantile reads the values
+    that cover its two positions, so no buffer holds a column's values.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
+                                          for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    counts = cells.where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_sum_desc(counts, "i", "v", "cum", summed="c")
+    # One row a column: its rows, and the rows ranked before its first.
+    ends = ranked.groupBy("i").agg(F.sum("c").alias("n"), (F.max("cum") - F.sum("c")).alias("first"))
+    before = F.col("cum") - F.col("first") - F.col("c")  # rows of the column with a smaller value
+    parts, value = [], []
     for k, p in enumerate(probs):
         at = p * (F.col("n") - 1)
         parts += [F.max(F.when((before <= i) & (i < before + F.col("c")), F.col("v"))).alias(f"{end}{k}")
                   for end, i in (("lo", F.floor(at)), ("hi", F.ceil(at)))]
-    found = ranked.crossJoin(one_row(total)).agg(F.max("n").alias("n"), *parts)
-    value = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1)))
-             for k, p in enumerate(probs)]
-    return found.select(F.array(*value).alias(f"{column}__q"))
+        value.append(F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (at - F.floor(at)))
+    found = ranked.join(F.broadcast(ends), "i").groupBy("i").agg(F.max("n").alias("n"), *parts)
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    return found.select(name.alias("column"), F.array(*value).alias("q"))
 
 
-def describe(df: DataFrame, columns: list[str], exact_quantiles: bool = True) -> DataFrame:
+def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max per numeric
     column (``describe``).  Exact quartiles interpolate linearly like pandas;
-    with ``exact_quantiles=False`` they come from ``percentile_approx`` (one
+    with ``exact=False`` they come from ``percentile_approx`` (one
     pass, fixed memory)."""
     aggs = []
     probs = [0.25, 0.5, 0.75]
@@ -120,18 +123,16 @@ def describe(df: DataFrame, columns: list[str], exact_quantiles: bool = True) ->
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        if not exact_quantiles:
+        if not exact:
             aggs.append(F.percentile_approx(x, probs, 10000).cast("array<double>").alias(f"{c}__q"))
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-                              F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                              F.col(f"{c}__min").alias("min"), F.get(F.col(f"{c}__q"), 0).alias("p25"),
-                              F.get(F.col(f"{c}__q"), 1).alias("p50"), F.get(F.col(f"{c}__q"), 2).alias("p75"),
-                              F.col(f"{c}__max").alias("max"))
-                     for c in columns])
-    wide = df.agg(*aggs)
-    for c in columns if exact_quantiles else []:
-        wide = wide.crossJoin(one_row(exact_quantiles_of(df, c, probs)))
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    approximate = lambda c: F.lit(None).cast("array<double>") if exact else F.col(f"{c}__q")
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").alias(s) for s in ("count", "mean", "std", "min", "max")],
+                              approximate(c).alias("q")) for c in columns])
+    long = df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    if exact:
+        long = long.drop("q").join(exact_quantiles(df, columns, probs), "column", "left")
+    return long.select("column", "count", "mean", "std", "min",
+                       *[F.get("q", F.lit(k)).alias(name) for k, name in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def histogram(values: DataFrame, value: str, bins: int = 100) -> DataFrame:

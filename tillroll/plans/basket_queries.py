@@ -159,6 +159,19 @@ def pair_lift(spark, sf_dir):
                   .select("item", "partner", "pair_cnt", "lift"))
 
 
+@query("partner_tops", _pairs_sql(f"""
+SELECT item, kind, CAST(rank AS BIGINT) AS rank, partner, pair_cnt, confidence, lift FROM (
+    SELECT m.*, k.kind, row_number() OVER (PARTITION BY m.item, k.kind ORDER BY
+               CASE k.kind WHEN 'often' THEN -CAST(m.pair_cnt AS DOUBLE) WHEN 'rare' THEN CAST(m.pair_cnt AS DOUBLE)
+                           ELSE -CAST(m.pair_cnt AS DOUBLE) / CAST(c.item_order_cnt AS DOUBLE) END,
+               CASE WHEN k.kind <> 'rare' THEN m.partner END, CASE WHEN k.kind = 'rare' THEN m.partner END DESC) AS rank
+    FROM ({_PAIR_METRICS}) m JOIN item_orders c ON m.partner = c.item
+         CROSS JOIN (SELECT unnest(['often', 'rare', 'lift']) AS kind) k)
+WHERE rank <= {BASKET_N}"""))
+def partner_tops(spark, sf_dir):
+    return finish(basket.partner_tops(_prepared(spark, sf_dir), "prod_name", BASKET_N))
+
+
 @query("often_partners", _pairs_sql(
     f"SELECT item, rn_often - 1 AS rank, partner, pair_cnt FROM ranked WHERE rn_often > 1 AND rn_often <= {BASKET_N + 1}"))
 def often_partners(spark, sf_dir):
