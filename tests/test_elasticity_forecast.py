@@ -58,7 +58,7 @@ def test_no_intercept_ols_matches_lstsq(spark):
 
 
 def test_p_values_against_known_values():
-    from tillroll.functions.linear import normal_cdf, solve_normal, t_test_p
+    from tillroll.functions.linear import fit_triangles, normal_cdf, t_test_p
     # Tables of Student's t: two-sided 5 % points.
     got = t_test_p(np.array([12.706205, 2.228139, 1.983972]), np.array([1, 10, 100]))
     np.testing.assert_allclose(got, 0.05, atol=1e-6)
@@ -66,8 +66,8 @@ def test_p_values_against_known_values():
     np.testing.assert_allclose(t_test_p(np.array([0.3]), np.array([1])), 1 - 2 * np.arctan(0.3) / np.pi, rtol=1e-9)
     assert np.isnan(t_test_p(np.array([np.nan, 1.0]), np.array([3, 0]))).all()
     assert abs(normal_cdf(1.959963985) - 0.975) < 1e-9
-    xx = np.array([[[1.0, 2.0], [2.0, 4.0]]])  # dependent columns
-    assert not solve_normal(xx, np.ones((1, 2)))[2][0]
+    rows = np.array([[1.0, 2.0, 1.0], [2.0, 4.0, 3.0], [3.0, 6.0, 2.0]])  # dependent columns
+    assert not fit_triangles(np.linalg.qr(rows, mode="r")[None])[4][0]
 
 
 def test_regression_design_complete_cases(spark):

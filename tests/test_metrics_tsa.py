@@ -174,6 +174,36 @@ def test_adf_search_query_by_definition(spark, sf_small):
             assert r[f"crit_{level[:-1]}pct"] == pytest.approx(sum(v / n ** i for i, v in enumerate(c)), abs=2e-6)
 
 
+def test_adf_undefined_series(spark):
+    """Constant, perfectly fitted, gapped and empty series are rows of nulls, beside a usable one."""
+    rng = np.random.default_rng(8)
+    series = {"flat": [3.0] * 40, "line": [float(i) for i in range(40)], "gap": [1.0, None, 2.0] * 12, "nan": [float("nan")] * 30,
+              "two": [1.0, 2.0], "good": [float(v) for v in rng.normal(0, 1, 40)]}
+    df = spark.createDataFrame([(k, i, v) for k, y in series.items() for i, v in enumerate(y)], "k string, t int, y double")
+    res = {r["k"]: r for r in tsa.adf_test(df, "k", "t", "y").collect()}
+    assert res.keys() == series.keys() and res["good"]["adf_stat"] < -2 and res["good"]["p_value"] < 0.5
+    for k in ("flat", "line"):  # regressions exist, their columns depend on each other or leave no residual
+        assert res[k]["adf_stat"] is None and res[k]["p_value"] is None and res[k]["n_obs"] == 39 - res[k]["used_lag"]
+    for k in ("gap", "nan", "two"):
+        assert res[k]["n_obs"] == 0 and res[k]["used_lag"] is None and res[k]["crit_5pct"] is None
+    assert tsa.adf_test(df.limit(0), "k", "t", "y").count() == 0
+
+
+def test_elimination_holds_every_nested_regression():
+    from tillroll.functions.linear import eliminate_in_order
+    rng = np.random.default_rng(4)
+    rows = rng.normal(0, 1, (3, 50, 6)) + 100.0
+    rows[:, :, 3] = rows[:, :, 1] + rows[:, :, 2]  # dependent: takes nothing out
+    live, norm, dot, rest = eliminate_in_order(rows)
+    assert live.tolist() == [[True, True, True, False, True]] * 3
+    for i in range(3):
+        for k in range(1, 6):
+            x, y = rows[i, :, :k], rows[i, :, 5]
+            beta = np.linalg.lstsq(x, y, rcond=None)[0]
+            assert rest[i, k - 1] == pytest.approx(((y - x @ beta) ** 2).sum(), rel=1e-9)
+        assert dot[i, 4] / norm[i, 4] == pytest.approx(np.linalg.lstsq(rows[i][:, [0, 1, 2, 4]], rows[i, :, 5], rcond=None)[0][-1], rel=1e-9)
+
+
 def test_adf_p_values_at_known_points():
     # The 5 % and 10 % points of the statistic in large samples.
     assert tsa.adf_p_value(-2.86154) == pytest.approx(0.05, abs=2e-3)

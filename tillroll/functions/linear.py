@@ -13,25 +13,29 @@ PIVOT_FLOOR = 1e-9
 RESIDUAL_FLOOR = 1e-20
 
 
-def solve_normal(xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, diagonal of the inverse and a mask of the regular
-    systems, for stacked normal matrices (n, k, k) and right sides (n, k).
-
-    Gauss-Jordan elimination in column order without row exchanges (normal
-    matrices are positive definite); the SQL oracles take the same steps.
+def eliminate_in_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Take the columns of stacked designs (n, rows, k + 1) out of the columns
+    after them, one by one (modified Gram-Schmidt); the last is the response.
+
+    Per column, as (n, k): whether it is independent of those before it, its
+    squared length by then, its product with what is left of the response, and
+    the response's residual sum of squares after it, which is that of the
+    regression on the columns so far.  Dependent columns take nothing out.
     """
-    n, k = xy.shape
-    a = np.concatenate([xx, xy[:, :, None], np.broadcast_to(np.eye(k), (n, k, k))], axis=2).astype(np.float64)
-    diagonal = a[:, np.arange(k), np.arange(k)].copy()
-    regular = np.ones(n, bool)
+    a = rows.astype(np.float64, copy=True)
+    own = (a ** 2).sum(axis=1)
+    n, k = len(a), a.shape[2] - 1
+    live, norm, dot, rest = np.zeros((n, k), bool), np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
     for j in range(k):
-        pivot = a[:, j, j].copy()
-        regular &= pivot > PIVOT_FLOOR * diagonal[:, j]
-        row = a[:, j, :] / np.where(regular, pivot, 1.0)[:, None]
-        factor = a[:, :, j].copy()
-        a = a - factor[:, :, None] * row[:, None, :]
-        a[:, j, :] = row
-    return a[:, :, k], a[:, np.arange(k), k + 1 + np.arange(k)], regular
+        pivot = a[:, :, j]
+        norm[:, j] = (pivot ** 2).sum(axis=1)
+        live[:, j] = norm[:, j] > PIVOT_FLOOR * own[:, j]
+        shared = np.einsum("nr,nrc->nc", pivot, a[:, :, j + 1:])
+        dot[:, j] = shared[:, -1]
+        factor = np.where(live[:, j], 1.0 / np.where(live[:, j], norm[:, j], 1.0), 0.0)
+        a[:, :, j + 1:] -= pivot[:, :, None] * (shared * factor[:, None])[:, None, :]
+        rest[:, j] = (a[:, :, k] ** 2).sum(axis=1)
+    return live, norm, dot, np.where(rest > RESIDUAL_FLOOR * own[:, k:], rest, 0.0)
 
 
 def stacked_triangles(rows: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -132,7 +132,8 @@ def horizon_table(panel: DataFrame, key: str, date: str, value: str, lags: int =
     (``lag_1`` = value at the origin); ``target`` is the value ``h`` rows
     after the origin; ``exog`` columns are taken at the target row (known
     future prices); ``origin_cols`` are carried from the origin row.  Rows
-    without a full lag window or target are dropped.
+    without a full lag window or target are dropped.  The coming rows are one
+    array a row, made by one window frame whatever the number of ``exog``.
     """
     exog = list(exog or [])
     origin_cols = list(origin_cols)
@@ -140,12 +141,10 @@ def horizon_table(panel: DataFrame, key: str, date: str, value: str, lags: int =
     base = panel.select(
         key, F.col(date).alias("origin_date"), *origin_cols,
         *[F.lag(value, k - 1).over(w).alias(f"lag_{k}") for k in range(1, lags + 1)],
-        F.array(*[F.struct(F.lit(h).alias("h"), F.lead(value, h).over(w).alias("target"),
-                           *[F.lead(c, h).over(w).alias(c) for c in exog])
-                  for h in range(1, horizon + 1)]).alias("_hz"))
-    out = base.select(key, "origin_date", *origin_cols, *[f"lag_{k}" for k in range(1, lags + 1)],
-                      F.explode("_hz").alias("_z"))
-    out = out.select(key, "origin_date", *origin_cols, F.col("_z.h").alias("h"),
+        F.collect_list(F.struct(F.col(value).alias("target"), *exog)).over(w.rowsBetween(1, horizon)).alias("_hz"))
+    out = base.where(F.col(f"lag_{lags}").isNotNull()).select(
+        key, "origin_date", *origin_cols, *[f"lag_{k}" for k in range(1, lags + 1)], F.posexplode("_hz").alias("_h", "_z"))
+    out = out.select(key, "origin_date", *origin_cols, (F.col("_h") + 1).alias("h"),
                      *[f"lag_{k}" for k in range(1, lags + 1)],
                      *[F.col(f"_z.{c}").alias(c) for c in exog], F.col("_z.target").alias("target"))
-    return out.where(F.col(f"lag_{lags}").isNotNull() & F.col("target").isNotNull())
+    return out.where(F.col("target").isNotNull())

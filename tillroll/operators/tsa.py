@@ -1,9 +1,8 @@
 """Time-series analysis per series key.
 
 Decomposition, deseasonalising and detrending are window and aggregate
-expressions.  The lags and normal equations of the ADF regression are too; its
-small solves and the periodogram's transforms (one row per series) run in
-numpy, a batch of series at a time.
+expressions.  The ADF regressions and the periodogram's transforms (one row per
+series) run in numpy, a batch of series at a time.
 """
 
 from __future__ import annotations
@@ -11,13 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.linear import normal_cdf, solve_normal
-from tillroll.operators.prep import small_table
+from tillroll.functions.linear import eliminate_in_order, normal_cdf
 
 
 def _indexed(panel: DataFrame, key: str, order_col: str, out: str = "_t") -> DataFrame:
@@ -146,38 +143,53 @@ def default_max_lag(n: int) -> int:
     return int(max(0, min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))))
 
 
-def _adf_moments(lagged: DataFrame, key: str, lags: int, lag_col: str) -> DataFrame:
-    """Per key the sums of products of 1, y(t-1), dy(t-1) .. dy(t-lags) and
-    dy(t) over the rows where the key's ``lag_col`` lags exist; lags beyond
-    that are taken as 0."""
-    inside = F.col("_t") >= F.col(lag_col) + 2
-    names = ["_one", "_level", *[f"_d{j}" for j in range(1, lags + 1)], "_dy"]
-    rows = lagged.where(inside).select(
-        key, lag_col, F.lit(1.0).alias("_one"), "_level",
-        *[F.when(F.col(lag_col) >= j, F.col(f"_d{j}")).otherwise(0.0).alias(f"_d{j}") for j in range(1, lags + 1)], "_dy")
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"m_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
-    return rows.groupBy(key, lag_col).agg(F.count(F.lit(1)).alias("n"), *sums)
-
-
-def _adf_matrix(pdf: pd.DataFrame, size: int) -> np.ndarray:
-    return np.stack([np.stack([pdf[f"m_{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(size)], 1)
-                     for i in range(size)], 1)
-
-
-def _adf_fit(m: np.ndarray, n: np.ndarray, lags: int):
-    """Statistic and residual sum of squares with ``lags`` lags, for stacked
-    moment matrices whose last row belongs to dy."""
-    keep = np.arange(2 + lags)
-    beta, inverse, regular = solve_normal(m[:, keep][:, :, keep], m[:, keep, -1])
-    fitted = np.zeros(len(m))
-    for i in keep:
-        fitted = fitted + beta[:, i] * m[:, i, -1]
-    ssr = np.maximum(m[:, -1, -1] - fitted, 0.0)
-    dof = n - 2 - lags
-    with np.errstate(divide="ignore", invalid="ignore"):
-        se = np.sqrt(np.where(dof > 0, ssr / dof, np.nan) * inverse[:, 1])
-        stat = np.where(regular & (se > 0), beta[:, 1] / se, np.nan)
-    return stat, ssr
+#: Numbers that one step of the ADF regressions holds at a time.
+ADF_STEP = 1 << 22
+
+
+def _adf_designs(y: np.ndarray, lags: int, level_last: bool) -> np.ndarray:
+    """Stacked regressions (series, rows, columns) of series of one length:
+    1, y(t-1), dy(t-1) .. dy(t-lags), dy(t), or with y(t-1) behind the lags."""
+    dy = np.diff(y, axis=1)
+    rows = dy.shape[1] - lags
+    before = [dy[:, lags - j:lags - j + rows] for j in range(1, lags + 1)]
+    level = [y[:, lags:-1]]
+    return np.stack([np.ones((len(y), rows)), *(before + level if level_last else level + before), dy[:, lags:]], 2)
+
+
+def _adf_blocks(series: list[np.ndarray], lags: np.ndarray, level_last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, designs) of the series of equal length and lags, in steps."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, y in enumerate(series):
+        groups.setdefault((len(y), int(lags[i])), []).append(i)
+    for (n, p), own in groups.items():
+        step = max(1, ADF_STEP // (n * (p + 3)))
+        for lo in range(0, len(own), step):
+            part = np.array(own[lo:lo + step])
+            yield part, _adf_designs(np.stack([series[i] for i in part]), p, level_last)
+
+
+def _adf_lags(series: list[np.ndarray], caps: np.ndarray) -> np.ndarray:
+    """Lag of the least AIC in 0..cap on the rows that all of them have.  One
+    elimination holds every lag: its residual after 2 + p columns is p's."""
+    used = np.zeros(len(series), np.int64)
+    for part, rows in _adf_blocks(series, caps, False):
+        rest = eliminate_in_order(rows)[3][:, 1:]
+        n, p = rows.shape[1], np.arange(rest.shape[1])
+        used[part] = np.argmin(n * np.log(np.where(rest > 0, rest / n, 1e-300)) + 2 * (2 + p), axis=1)
+    return used
+
+
+def _adf_stats(series: list[np.ndarray], lags: np.ndarray) -> np.ndarray:
+    """t-value of y(t-1), the last regressor of the elimination."""
+    stat = np.full(len(series), np.nan)
+    for part, rows in _adf_blocks(series, lags, True):
+        live, norm, dot, rest = eliminate_in_order(rows)
+        dof = rows.shape[1] - norm.shape[1]
+        fits = live.all(axis=1) & (rest[:, -1] > 0) & (dof > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stat[part] = np.where(fits, dot[:, -1] / np.sqrt(norm[:, -1] * rest[:, -1] / dof), np.nan)
+    return stat
 
 
 def adf_test(panel: DataFrame, key: str, order_col: str, value: str,
@@ -191,62 +203,35 @@ def adf_test(panel: DataFrame, key: str, order_col: str, value: str,
     each series' length.  Critical values and the p-value come from the
     published response surfaces.
 
-    Lags and differences are windows, the normal equations one aggregate per
-    key; what is left (one row per key) is solved in batches.
+    A key's series is one sorted array (a value a period of its history).  The
+    nested lags are one elimination, a column at a time, and so is the test:
+    no system is solved.  Series too short for the lags, or with missing
+    values, keep a row of nulls with ``n_obs`` 0; dependent columns or a
+    perfect fit give a null statistic.
     """
-    w = Window.partitionBy(key).orderBy(order_col)
-    y = F.col(value).cast("double")
-    idx = panel.select(key, F.col(order_col), y.alias("_y")).withColumn("_t", F.row_number().over(w)) \
-               .withColumn("_level", F.lag("_y").over(w))
-    sizes = small_table(idx.groupBy(key).agg(F.count(F.lit(1)).alias("_size")))
-    longest = sizes.agg(F.max("_size")).first()[0] or 0  # one number
-    limit = [max_lag if max_lag is not None else default_max_lag(n) for n in range(longest + 1)]
-    lags = max(limit, default=0)
-    cap = F.lit(max_lag) if max_lag is not None else F.least(
-        F.floor(F.col("_size") / 2) - 2, F.ceil(12 * F.pow(F.col("_size") / 100, F.lit(0.25))))
-    caps = sizes.select(key, F.greatest(F.lit(0), cap).cast("int").alias("_cap"), "_size") \
-                .withColumn("_fits", F.col("_size") >= F.col("_cap") + 4)
-    lagged = idx.withColumn("_dy", F.col("_y") - F.col("_level"))
-    lagged = small_table(lagged.select(key, "_t", "_level", "_dy", *[F.coalesce(F.lag("_dy", j).over(w), F.lit(0.0)).alias(f"_d{j}")
-                                                                    for j in range(1, lags + 1)]))
+    y = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    arrays = panel.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("t"), y.alias("y"))))["y"].alias("y"))
     key_type = panel.schema[key].dataType.simpleString()
-    usable = caps.where("_fits")
-
-    def choose(batches):
-        for pdf in batches:
-            m, n, cap_of = _adf_matrix(pdf, lags + 3), pdf["n"].to_numpy(float), pdf["_cap"].to_numpy()
-            best = np.full(len(pdf), np.inf)
-            used = np.zeros(len(pdf), np.int64)
-            for p in range(lags + 1):
-                _, ssr = _adf_fit(m, n, p)
-                aic = n * np.log(np.where(ssr > 0, ssr / n, 1e-300)) + 2 * (2 + p)
-                better = (p <= cap_of) & (aic < best)
-                best, used = np.where(better, aic, best), np.where(better, p, used)
-            yield pd.DataFrame({key: pdf[key], "_lag": used.astype("int32")})
-
-    def test(batches):
-        for pdf in batches:
-            m, n, used = _adf_matrix(pdf, lags + 3), pdf["n"].to_numpy(float), pdf["_lag"].to_numpy()
-            stat = np.full(len(pdf), np.nan)
-            for p in np.unique(used):
-                pick = used == p
-                stat[pick] = _adf_fit(m[pick], n[pick], int(p))[0]
-            out = {key: pdf[key], "adf_stat": stat, "p_value": [adf_p_value(s) for s in stat],
-                   "used_lag": used.astype("int32"), "n_obs": n.astype("int32")}
-            for level, c0, c1, c2, c3 in ADF_CRITICAL_CONSTANT:
-                out[f"crit_{level[:-1]}pct"] = c0 + c1 / n + c2 / n ** 2 + c3 / n ** 3
-            yield pd.DataFrame(out)
-
-    if autolag:
-        chosen = _adf_moments(lagged.join(usable, key), key, lags, "_cap").mapInPandas(choose, f"{key} {key_type}, _lag int")
-    else:
-        chosen = usable.select(key, F.col("_cap").alias("_lag"))
-    found = _adf_moments(lagged.join(chosen, key), key, lags, "_lag").mapInPandas(
-        test, f"{key} {key_type}, adf_stat double, p_value double, used_lag int, n_obs int, "
-              "crit_1pct double, crit_5pct double, crit_10pct double")
-    # Series too short for the lags keep a row of nulls.
-    numbers = ["adf_stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct"]
-    joined = caps.select(key).join(found, key, "left")
-    return joined.select(key, *[F.when(~F.isnan(c), F.col(c)).alias(c) if c in numbers else
-                                F.coalesce(c, F.lit(0)).alias(c) if c == "n_obs" else F.col(c)
-                                for c in found.columns if c != key])
+    crit = [f"crit_{level[:-1]}pct" for level, *_ in ADF_CRITICAL_CONSTANT]
+    numbers = ["adf_stat", "p_value", *crit]
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, size = b.column(1).flatten().to_numpy(zero_copy_only=False), b.column(1).value_lengths().to_numpy()
+            every = np.split(values, np.cumsum(size)[:-1])
+            cap = np.array([default_max_lag(n) if max_lag is None else max_lag for n in size], np.int64)
+            fits = np.array([n >= c + 4 and bool(np.isfinite(v).all()) for n, c, v in zip(size, cap, every)], bool)
+            series = [v for v, ok in zip(every, fits) if ok]
+            lags = _adf_lags(series, cap[fits]) if autolag else cap[fits]
+            n = (size[fits] - lags - 1).astype(float)
+            stat = _adf_stats(series, lags)
+            found = [stat, np.array([adf_p_value(s) for s in stat], float),
+                     *(c0 + c1 / n + c2 / n ** 2 + c3 / n ** 3 for _, c0, c1, c2, c3 in ADF_CRITICAL_CONSTANT)]
+            place = pa.array(np.where(fits, np.cumsum(fits) - 1, 0), mask=~fits)
+            columns = [pa.array(c, from_pandas=True).take(place) for c in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *columns, pa.array(lags, pa.int32()).take(place), pa.array(n, pa.int32()).take(place).fill_null(0)],
+                [key, *numbers, "used_lag", "n_obs"])
+
+    schema = ", ".join([f"`{key}` {key_type}", *(f"{c} double" for c in numbers), "used_lag int", "n_obs int"])
+    return arrays.mapInArrow(test, schema).select(key, "adf_stat", "p_value", "used_lag", "n_obs", *crit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tillroll.operators import panel, tsa
 from tillroll.plans.panel_queries import _NAME_DAILY, name_daily
 from tillroll.plans.registry import finish, query
-from tillroll.plans.sqlparts import elimination_ctes, with_ctes
+from tillroll.plans.sqlparts import elimination_ctes, r6, with_ctes
 
 WEEKLY_PERIOD = 52
 DAILY_PERIOD = 90
@@ -108,8 +108,67 @@ def adf_stat(spark, sf_dir):
     return finish(out.select("prod_name", "adf_stat", "used_lag", "n_obs"))
 
 
-@query("adf_search")
+def _normal_cdf_sql(x: str) -> str:
+    """The normal distribution by the series of its density."""
+    return (f"0.5 + sign({x}) * list_sum(list_transform(range(0, 400), lambda m: exp((2 * m + 1) * ln(greatest(abs({x}), 1e-300)) "
+            f"- {x} * {x} / 2 - lgamma(2.0 * m + 2) + m * ln(2.0) + lgamma(m + 1.0)))) / sqrt(2 * pi())")
+
+
+def _adf_design_sql(lags: str, level_last: bool) -> str:
+    """Columns of the regression from list ``y`` of ``size`` values."""
+    t = f"range({lags} + 2, size + 1)"
+    level = f"[list_transform({t}, lambda t: y[t - 1])]"
+    before = f"list_transform(range(1, {lags} + 1), lambda j: list_transform({t}, lambda t: y[t - j] - y[t - j - 1]))"
+    order = [before, level] if level_last else [level, before]
+    ends = f"[list_transform({t}, lambda t: 1.0::DOUBLE)]", f"[list_transform({t}, lambda t: y[t] - y[t - 1])]"
+    return f"list_concat({', '.join([ends[0], *order, ends[1]])})"
+
+
+def _adf_elimination_sql(name: str, source: str) -> tuple[str, str]:
+    """One row per eliminated column j: its squared length, its product with
+    the response, whether it is independent, and the response's residual."""
+    own = "list_transform(cols, lambda c: list_inner_product(c, c))"
+    return name, f"""
+SELECT prod_name, 0 AS j, cols, {own} AS own, true AS live, 0.0::DOUBLE AS norm, 0.0::DOUBLE AS dot, 0.0::DOUBLE AS rest FROM {source}
+UNION ALL
+SELECT prod_name, j, cols, own, live, norm, dot,
+       CASE WHEN list_inner_product(cols[-1], cols[-1]) > 1e-20 * own[-1] THEN list_inner_product(cols[-1], cols[-1]) ELSE 0 END
+FROM (SELECT prod_name, j + 1 AS j, own, live, norm, list_inner_product(lead_col, after[-1]) AS dot,
+             list_transform(list_transform(after, lambda c: {{'c': c, 'g': list_inner_product(c, lead_col) * CASE WHEN live THEN 1 / norm ELSE 0 END}}),
+                            lambda z: list_transform(list_zip(z.c, lead_col), lambda v: v[1] - z.g * v[2])) AS cols
+      FROM (SELECT *, norm > 1e-9 * own[j + 1] AS live
+            FROM (SELECT prod_name, j, own, cols[1] AS lead_col, cols[2:] AS after, list_inner_product(cols[1], cols[1]) AS norm
+                  FROM {name} WHERE len(cols) > 1)))"""
+
+
+def _adf_search_sql() -> str:
+    surface = ", ".join(f"{r6(f'{c0} + {c1} / n + {c2} / (n * n) + {c3} / (n * n * n)')} AS crit_{level[:-1]}pct"
+                        for level, c0, c1, c2, c3 in tsa.ADF_CRITICAL_CONSTANT)
+    low, high = ("(" + " + ".join(f"{c} * pow(stat, {i})" for i, c in enumerate(p)) + ")" for p in (tsa.ADF_P_LOW, tsa.ADF_P_HIGH))
+    ctes = [
+        *_WEEKLY,
+        ("adfy", "SELECT prod_name, list(CAST(sales AS DOUBLE) ORDER BY week_end) AS y, count(*) AS size FROM wk GROUP BY prod_name"),
+        ("adfc", "SELECT *, greatest(0, least(size // 2 - 2, CAST(ceil(12 * pow(size / 100.0, 0.25)) AS BIGINT))) AS cap FROM adfy"),
+        ("adf1", f"SELECT prod_name, {_adf_design_sql('cap', False)} AS cols FROM adfc WHERE size >= cap + 4"),
+        _adf_elimination_sql("adfe", "adf1"),
+        ("adfa", """SELECT prod_name, j - 2 AS p, len(cols[-1]) * ln(CASE WHEN rest > 0 THEN rest / len(cols[-1]) ELSE 1e-300 END) + 2 * j AS aic
+                    FROM adfe WHERE j >= 2"""),
+        ("adfp", "SELECT prod_name, arg_min(p, (aic, p)) AS p FROM adfa GROUP BY prod_name"),
+        ("adf2", f"SELECT prod_name, {_adf_design_sql('p', True)} AS cols FROM adfc JOIN adfp USING (prod_name)"),
+        _adf_elimination_sql("adff", "adf2"),
+        ("adft", """SELECT prod_name, max(len(cols[-1])) AS n, bool_and(live) AS live, max(j) AS k, arg_max(norm, j) AS norm, arg_max(dot, j) AS dot,
+                           arg_max(rest, j) AS rest FROM adff GROUP BY prod_name"""),
+        ("adfs", "SELECT *, CASE WHEN live AND rest > 0 AND n > k THEN dot / sqrt(norm * rest / (n - k)) END AS stat FROM adft"),
+        ("adfx", f"SELECT *, CASE WHEN stat <= {tsa.ADF_P_SPLIT} THEN {low} ELSE {high} END AS x FROM adfs")]
+    p_value = f"CASE WHEN stat > {tsa.ADF_P_MAX} THEN 1 WHEN stat < {tsa.ADF_P_MIN} THEN 0 ELSE {_normal_cdf_sql('x')} END"
+    return with_ctes(f"""
+SELECT prod_name, {r6('stat')} AS adf_stat, {r6(f'CASE WHEN stat IS NOT NULL THEN {p_value} END')} AS p_value,
+       CAST(p AS INTEGER) AS used_lag, CAST(coalesce(n, 0) AS INTEGER) AS n_obs, {surface}
+FROM adfc LEFT JOIN adfx USING (prod_name) LEFT JOIN adfp USING (prod_name)""", *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("adf_search", _adf_search_sql())
 def adf_search(spark, sf_dir):
     """T2 in full: the lag chosen by AIC up to Schwert's bound, critical
-    values and p-value.  SQL cannot state the search."""
+    values and p-value."""
     return finish(tsa.adf_test(weekly_name_sales(spark, sf_dir), "prod_name", "week_end", "sales"))
