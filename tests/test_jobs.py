@@ -27,3 +27,26 @@ def test_train_and_score_jobs(spark, sf_small):
     assert spark.read.parquet(paths["metrics"]).count() <= n_products
     wide = spark.read.option("header", "true").csv(paths["backtest_wide"])
     assert wide.count() == 14
+
+
+def test_workers_import_the_package_from_another_folder(sf_small, tmp_path):
+    """A session of a process that runs elsewhere, without PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+    repo = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', 2).config('spark.ui.enabled', 'false')
+         .config('spark.checkpoint.dir', {str(tmp_path)!r}).getOrCreate())
+for _ in range(2):
+    print('rows', e.queries()['adf_search'](spark, {str(sf_small)!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.count("rows 62") == 2, done.stderr[-2000:]
+    assert len(list(tmp_path.glob("tillroll-*.zip"))) == 1

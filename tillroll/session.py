@@ -8,8 +8,12 @@ and Arrow transfer for the few grouped pandas functions.
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -43,9 +47,38 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: its modules go as one archive
+    into the shared folder and from there to the executors, once a
+    session.  Nothing is sent if ``PYTHONPATH`` already names the package's
+    folder, which workers then have too."""
+    package = Path(__file__).resolve().parent
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for module in sorted(package.rglob("*.py")):
+            z.write(module, module.relative_to(package.parent))
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, package.name) + ".zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(archive.getvalue())
+    finally:
+        out.close()
+    sc.addPyFile(path.toString())
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
