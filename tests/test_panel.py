@@ -64,3 +64,16 @@ def test_daily_style_panel_means_and_sums(spark):
     r = panel.daily_style_panel(grid).first()
     assert r["units_sold"] == 5 and r["sales_price"] == 11.0 and r["final_price"] == 10.5
     assert r["is_promotion"] == 0.5
+
+
+def test_horizon_rows_are_made_of_rounded_prices_and_no_sales_are_summed(spark, sf_small, monkeypatch):
+    """Prices are rounded a panel row, not in each of its horizon rows, and the
+    statistics of a preparation without a sales share read no prices."""
+    from tillroll.operators import prep
+    from tillroll.plans import catalog
+    summed, pairs = [], prep.customer_pairs
+    monkeypatch.setattr(prep, "customer_pairs", lambda *a, **k: summed.append(k.get("value")) or pairs(*a, **k))
+    out = catalog.queries()["horizon_table"](spark, sf_small)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert summed == [None] and "round(" not in above and "round(" in below

@@ -231,7 +231,8 @@ def prepare_forecast_rows(transactions: DataFrame, articles: DataFrame,
     lifespan_filter = first_by is not None or last_from is not None
     if not (penetration_min > 0 or cum_sales_fraction > 0 or lifespan_filter or relative_penetration > 0):
         return df
-    pairs = customer_pairs(df, "product_code", value="price", date="t_dat")
+    # The share alone needs the sales; without it the pass reads no prices.
+    pairs = customer_pairs(df, "product_code", value="price" if cum_sales_fraction > 0 else None, date="t_dat")
     stats = key_stats(pairs, "product_code")
     if relative_penetration > 0:
         stats = (stats.crossJoin(one_row(mean_customers(stats)))

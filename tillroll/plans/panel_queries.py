@@ -348,5 +348,6 @@ def cv_folds(spark, sf_dir):
     + " FROM daily) x, LATERAL (VALUES " + ", ".join(f"({h}, t_{h}, p_{h})" for h in range(1, HORIZON + 1))
     + f") v(h, target, price)) WHERE lag_{LAGS} IS NOT NULL AND target IS NOT NULL", *_FC))
 def horizon_table(spark, sf_dir):
-    return finish(panel.horizon_table(product_daily(spark, sf_dir), "product_code", "date", "sales",
-                                      LAGS, HORIZON, exog=["price"]))
+    # Prices are rounded a panel row, not in each of the rows made of it.
+    return panel.horizon_table(finish(product_daily(spark, sf_dir)), "product_code", "date", "sales",
+                               LAGS, HORIZON, exog=["price"])
