@@ -159,6 +159,30 @@ def test_gbt_search_beats_naive_on_periodic_series(spark):
     assert (pdf["actual"] - pdf["forecast"]).abs().mean() <= (naive["actual"] - naive["forecast"]).abs().mean()
 
 
+def test_gbt_search_equals_plain_fits(spark):
+    """The held rows of a fold group give the fits on the assembled frame; no table of vectors is written and nothing stays cached."""
+    from pathlib import Path
+    from tillroll.session import checkpoint_dir
+    daily = _periodic_panel(spark, keys=2, days=120)
+    frame = forecast.supervised_frame(daily, "product_code", "date", "sales", 20, 14, 14).coalesce(1).checkpoint(eager=True)
+    found = lambda: {p.name for p in Path(checkpoint_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith("aggregate-")}
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    written, held = found(), cached()
+    model, best, results = forecast.gbt_search(frame, 20, n_draws=2, max_iter=3)
+    assert found() == written and cached() == held
+    groups, role = forecast.fold_groups(horizon=14)
+    for setting, error in results:
+        sums = rows = 0
+        for g in range(groups):
+            stage = forecast._assembler(forecast.feature_columns(min(setting["window"], 20)))
+            own = stage.transform(frame.where(role(g).isNotNull()).withColumn("_valid", role(g) == "valid"))
+            fitted = forecast._boosted(setting, 3, 42, validationIndicatorCol="_valid").fit(own)
+            scored = fitted.transform(own.where("_valid")).select("prediction", "target").toPandas()
+            sums, rows = sums + (scored.prediction - scored.target).abs().sum(), rows + len(scored)
+        assert error == pytest.approx(sums / rows, rel=1e-12)
+    assert best == min(results, key=lambda r: r[1])[0] and model.stages[0].getInputCols()
+
+
 def test_fold_groups_by_definition(spark):
     """Windows of 15 rows and horizons of 14, every 14 rows from row 30 on, over the whole history."""
     daily = _periodic_panel(spark, keys=1, days=150)
