@@ -88,3 +88,28 @@ def test_forecast_panel_reads_the_input_once_more_after_its_statistics(spark, sf
     lineitem = [i for i in ids if "lineitem.parquet" in details.get(i, "")]
     # The statistics pass has been written; the main pass is left.
     assert len(lineitem) == 1
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A table is judged by its rows, whatever the size of its files."""
+    from pyspark.sql import functions as F
+    from tillroll.operators import prep
+    from tillroll.sources import testdata
+    k = F.col("id")
+    spark.range(3_000).select(k.alias("p_partkey"), F.lit("red small").alias("p_name"), F.lit("B").alias("p_brand"), F.lit("TIN").alias("p_type"),
+                              F.lit(10.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(50).select(k.alias("o_orderkey"), (k % 9).alias("o_custkey"), F.expr("timestamp'2022-01-01'").alias("o_orderdate"),
+                           F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(400).select((k % 60).alias("l_orderkey"), (k * 11 % 4_000).alias("l_partkey"), F.lit(0.1).alias("l_discount"), F.lit(2.0).alias("l_quantity"),
+                            F.expr("timestamp'2022-01-02'").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def loaded():
+        t = testdata.load_retail_tables(spark, str(tmp_path))
+        return prep.prepare_forecast_rows(t.transactions, t.articles), t.transaction_grid
+
+    joins = lambda df: [final_plan(df).split("\n\n(")[0].count(j) for j in ("BroadcastHashJoin", "SortMergeJoin")]
+    small = [sorted(map(str, df.collect())) for df in loaded()]
+    monkeypatch.setattr(testdata, "BROADCAST_ROWS", 1_000)  # orders may be broadcast, parts not
+    rows, grid = loaded()
+    assert [sorted(map(str, df.collect())) for df in (rows, grid)] == small and all(small)
+    assert joins(rows) == [1, 2] and joins(grid) == [0, 1]
