@@ -53,7 +53,7 @@ def train_forecast_job(transactions: DataFrame, articles: DataFrame, out: str,
     daily = (rows.groupBy("product_code", F.col("t_dat").alias("date"))
                  .agg(F.count(F.lit(1)).alias("sales"), F.avg("price").alias("price")))
     frame = forecast.supervised_frame(daily, "product_code", "date", "sales", lags, horizon, horizon,
-                                      transforms=transforms)
+                                      transforms=transforms, spread="origins")
     frame = materialise(forecast.with_product_features(frame), "frame")
     scored, model = forecast.rf_forecast(frame, "product_code", lags, forecast.PRODUCT_MODEL_FEATURES)
     # The backtest is read by the wide table and by both metric tables.
